@@ -22,6 +22,7 @@ from cuemill.llm.encoding import Mender
 from cuemill.llm.labels import code_of
 
 MARGIN = 0.08
+LONE_MARGIN = 0.45
 _NOTE = re.compile(r"[\[(（【*♪♫][^\])）】*♪♫]*[\])）】*♪♫]?")
 _LABEL = re.compile(r"^\s*(?:\[?[A-Z]+_\d+\]?\s*:|>>+)\s*")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -97,7 +98,9 @@ def foreign_cues(cues: DataFrame, tracks: DataFrame) -> DataFrame:
     """Rows of ``classify`` (with ``row_id``) in another language than their track's.
 
     A rejected cue with words takes the language of its neighbours where both are the
-    same foreign one.  Result: ``row_id``, ``track_id``, ``cue_idx``, ``lang``, ``confidence``.
+    same foreign one; a cue with no cue of its language within two positions needs
+    ``LONE_MARGIN``, as names and scraps are often nearer to a wrong language.
+    Result: ``row_id``, ``track_id``, ``cue_idx``, ``lang``, ``confidence``.
     """
     order = Window.partitionBy("track_id").orderBy("cue_idx", "row_id")
     joined = cues.join(tracks.select("track_id", F.col("lang").alias("home")), "track_id").where("home is not null")
@@ -105,11 +108,13 @@ def foreign_cues(cues: DataFrame, tracks: DataFrame) -> DataFrame:
         "*",
         F.lag("lang").over(order).alias("before"),
         F.lead("lang").over(order).alias("after"),
+        *(F.lag("lang", k).over(order).alias(f"near{k}") for k in (-2, -1, 1, 2)),
     )
     taken = F.when(
         F.col("lang").isNull() & (F.col("confidence") > 0) & (F.col("before") == F.col("after")) & (F.col("before") != F.col("home")), F.col("before")
     ).otherwise(F.col("lang"))
-    return around.withColumn("lang", taken).where("lang <> home").select("row_id", "track_id", "cue_idx", "lang", "confidence")
+    backed = (F.col("confidence") >= LONE_MARGIN) | F.greatest(*(F.coalesce((F.col(f"near{k}") == taken).cast("int"), F.lit(0)) for k in (-2, -1, 1, 2))).cast("boolean")
+    return around.withColumn("backed", backed).withColumn("lang", taken).where("lang <> home and backed").select("row_id", "track_id", "cue_idx", "lang", "confidence")
 
 
 def stretches(foreign: DataFrame) -> DataFrame:
