@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("encoding_queries", "language_queries", "runs_queries", "sentences_queries", "turns_queries", "bitext_queries")
+MODULES = ("encoding_queries", "language_queries", "runs_queries", "sentences_queries", "turns_queries", "bitext_queries", "corpus_queries")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:
