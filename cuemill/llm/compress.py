@@ -109,13 +109,11 @@ def collect(cues: DataFrame, lexicon: DataFrame, sample_rows: int = SAMPLE_ROWS)
         for label, text in ((lang, term), (target, target_term)):
             if (code := code_of(label)) and text:
                 terms[code].append(text)
-    rows = (
-        cues.where("text is not null and length(text) between 4 and 400 and language is not null and language <> ''")
-        .select("text", "language", F.xxhash64("text").alias("h"))
-        .orderBy("h", "text", "language")
-        .limit(sample_rows)
-        .collect()
-    )
+    usable = cues.where("text is not null and length(text) between 4 and 400 and language is not null and language <> ''").select("text", "language")
+    # the share is cut in the tasks and copies are joined there, so no task sends more than its part of the bound
+    share = min(1.0, sample_rows / max(1, usable.count()))
+    drawn = usable.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).distinct()
+    rows = drawn.orderBy("h", "text", "language").limit(sample_rows).collect()
     texts: dict[str, dict[str, None]] = defaultdict(dict)
     for text, label, _ in rows:
         if (code := code_of(label)) and not _SPOILT.search(text):
