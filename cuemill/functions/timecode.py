@@ -135,3 +135,16 @@ class TimecodeOffset:
     @property
     def total_seconds(self) -> float:
         return self.hours * 3600 + self.minutes * 60 + self.seconds + (self.frames / self.fps if self.fps else 0.0)
+
+
+def vtt_stamp_comma(seconds: Column) -> Column:
+    """``HH:MM:SS,mmm``, milliseconds rounded half to even."""
+    return F.translate(vtt_stamp(seconds), ".", ",")
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Decimal text with so many digits, half to even."""
+    unit = 10**digits
+    total = F.rint(value * unit).cast("long")
+    sign = F.when(total < 0, "-").otherwise("")
+    return F.concat(sign, _pattern(f"%d.%0{digits}d", F.floor(F.abs(total) / unit), F.pmod(F.abs(total), F.lit(unit))))
