@@ -1,0 +1,153 @@
+from __future__ import annotations
+
+import glob
+import math
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from cuemill.functions import text, timecode
+from cuemill.operators import segments, timing
+from cuemill.plans import collect
+from cuemill.sources import registry
+
+QUERIES, ORACLES = collect()
+
+
+def value(x):
+    if x is None or isinstance(x, float) and math.isnan(x) or str(x) in ("NaT", "<NA>", "None"):
+        return "null"
+    if hasattr(x, "tolist") and not isinstance(x, str | bytes):
+        x = x.tolist()
+    if isinstance(x, bool):
+        return str(x)
+    if isinstance(x, int | float):
+        return str(int(x)) if x == int(x) else f"{x:.6g}"
+    return str(x)
+
+
+@pytest.fixture(scope="module")
+def duck(data):
+    c = duckdb.connect()
+    c.execute("set timezone='UTC'")
+    for path in glob.glob(data + "/*.parquet"):
+        c.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_equals_sql(spark, duck, data, name):
+    got = QUERIES[name](spark, data).toPandas()
+    if name not in ORACLES:
+        assert list(got.columns)
+        return
+    want = duck.sql(ORACLES[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    rows = lambda f: sorted(tuple(map(value, r)) for r in f[columns].itertuples(index=False, name=None))
+    assert rows(got) == rows(want)
+
+
+def test_entry_runs(spark):
+    assert entry.entry(spark).limit(1).count() == 1
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def test_stamps_of_known_values(spark):
+    assert one(spark, timecode.srt_stamp(F.lit(3661.5))) == "01:01:01,500"
+    assert one(spark, timecode.srt_stamp(F.lit(1.234))) == "00:00:01,234"
+    assert one(spark, timecode.lrc_stamp(F.lit(59.9996))) == "01:00.000"
+    assert one(spark, timecode.drop_frame_timecode(F.lit(60.06))) == "00:01:00;02"
+    assert one(spark, timecode.drop_frame_timecode(F.lit(600.6))) == "00:10:00;18"
+    assert timecode.TimecodeOffset.of("01:00:00:12", 24).total_seconds == 3600.5
+    with pytest.raises(ValueError):
+        timecode.TimecodeOffset.of("12")
+
+
+def test_text_of_known_values(spark):
+    assert one(spark, text.normalize_text(F.lit(" don’t &amp;lt; wait…\n now "))) == "don't < wait now"
+    assert one(spark, text.normalize_text(F.lit(None).cast("string"))) == ""
+    assert one(spark, text.speaker_of(F.lit(">> Ann: hi")))[0] == ">> Ann:"
+    assert one(spark, text.speaker_of(F.lit("not a label")))[0] is None
+    assert one(spark, text.wrap(F.lit("aa bb cc dd"), 5)) == "aa bb\ncc dd"
+    assert one(spark, text.wrap(F.lit("aa bb cc dd ee ff"), 5, 2)) == "aa bb\ncc dd"
+    assert one(spark, text.cjk_ratio(F.lit("中文ab"))) == 0.5
+    assert one(spark, text.script(F.lit("123"))) is None
+
+
+CUES = "track_id long, cue_idx int, start double, duration double, speaker string, text string"
+
+
+def test_overlaps_of_the_three_modes(spark):
+    cues = spark.createDataFrame([(1, 0, 0.0, 3.0, "A", "a"), (1, 1, 2.0, 2.0, "B", "b"), (1, 2, 5.0, 2.0, "A", "c")], CUES)
+    assert [tuple(r) for r in timing.overlap_pairs(cues).collect()] == [(1, 0, 1)]
+    merged = sorted(timing.merge_overlaps(cues).collect(), key=lambda r: r.start)
+    assert [(r.start, r.end, r.speaker, r.text) for r in merged] == [(0.0, 4.0, None, "- A: a\n- B: b"), (5.0, 7.0, "A", "c")]
+    trimmed = {r.cue_idx: round(r.duration, 3) for r in timing.trim_overlaps(cues).collect()}
+    assert trimmed == {0: 1.95, 1: 2.0, 2: 2.0}
+
+
+def test_overlaps_across_many_bins_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(1, k, rng.uniform(0, 900), rng.choice([0.5, 40.0, 200.0]), None, "t") for k in range(150)]
+    want = {(a[1], b[1]) for a in rows for b in rows if (b[2], b[1]) > (a[2], a[1]) and b[2] < a[2] + a[3]}
+    got = timing.overlap_pairs(spark.createDataFrame(rows, CUES)).collect()
+    assert len(got) == len(want) and {(r.first, r.second) for r in got} == want
+
+
+def test_sanitize_and_shift(spark):
+    cues = spark.createDataFrame([(1, 0, 0.0, 2.0, None, "a"), (1, 1, 2.02, 2.0, None, "b"), (1, 2, 9.0, 0.3, None, "c")], CUES)
+    out = {r.cue_idx: (r.start_ms, r.duration_ms) for r in timing.sanitize_timeline(cues).collect()}
+    assert out == {0: (0, 1940), 1: (2020, 2000), 2: (9000, 800)}
+    assert [(r.start, r.duration) for r in timing.shift_time(cues, -3.0).orderBy("cue_idx").collect()] == [(0.0, pytest.approx(1.02)), (6.0, 0.3)]
+
+
+def test_operators_on_empty_and_null(spark):
+    empty = spark.createDataFrame([], CUES)
+    nulls = spark.createDataFrame([(1, 0, None, None, None, None), (None, 1, 1.0, 1.0, None, None)], CUES)
+    for df in (empty, nulls):
+        for f in (timing.overlap_pairs, timing.merge_overlaps, timing.trim_overlaps, timing.validate, timing.sanitize_timeline, segments.merge_same_speaker, segments.split_long_lines, segments.bilingual_mode, segments.merge_pairs):
+            f(df).collect()
+        assert timing.overlap_pairs(df).count() == 0
+
+
+def test_formats_read_foreign_documents(spark):
+    docs = {
+        "srt": "﻿1\r\n00:00:00,480 --> 00:00:03,980\r\nJOHN: Hi there\r\n",
+        "vtt": "WEBVTT\n\nNOTE x\n\n00:01.000 --> 00:02.500 align:start\n<v Ann>Hello</v>\n",
+        "sbv": "0:00:00.000,0:00:02.500\nhello\n",
+        "ass": "[Script Info]\nScriptType: v4.00+\n[Events]\nFormat: Layer\nDialogue: 0,0:00:01.00,0:00:02.00,Default,Bob,0,0,0,,{\\i1}one,\\Ntwo\n",
+        "json3": '{"events":[{"tStartMs":0,"dDurationMs":1000,"segs":[{"utf8":"a"},{"utf8":" b"}]},{"tStartMs":1,"dDurationMs":5,"aAppend":1,"segs":[{"utf8":"\\n"}]}]}',
+        "ttml": '<tt xmlns="http://www.w3.org/ns/ttml"><body><div><p begin="1s" dur="500ms">x<br/>y</p></div></body></tt>',
+        "markdown": "---\na: b\n---\n## [00:00:00] Part\n\n**Ann:** Hello there. [00:00:05]\n\n[Applause] [00:00:08]\n",
+        "lrc": "[ti:x]\n[00:01.00]a\n[00:03.50]b\n",
+        "txt": "[1.0-2.5] hi\nplain\n",
+    }
+    want = {
+        "srt": [(0.48, 3.5, "JOHN:", "Hi there")], "vtt": [(1.0, 1.5, "Ann", "Hello")], "sbv": [(0.0, 2.5, None, "hello")], "ass": [(1.0, 1.0, "Bob", "one,\ntwo")], "json3": [(0.0, 1.0, None, "a b")],
+        "ttml": [(1.0, 0.5, None, "x\ny")], "lrc": [(1.0, 2.5, None, "a"), (3.5, 5.0, None, "b")], "txt": [(1.0, 1.5, None, "hi"), (0.0, 0.0, None, "plain")],
+    }
+    for fmt, content in docs.items():
+        df = spark.createDataFrame([(1, content), (2, None), (3, "")], "doc_id long, content string")
+        got = [(round(r.start, 3), round(r.duration, 3), r.speaker, r.text) for r in registry.read(df, fmt).where("doc_id = 1").orderBy("cue_idx").collect()]
+        if fmt in want:
+            assert got == want[fmt], fmt
+        else:
+            assert [g[3] for g in got] == ["Hello there.", "[Applause]"] and got[0][0] == 5.0
+        assert df.where("doc_id = 1").select(registry.detect_format(F.col("content")).alias("f")).first().f == fmt or fmt == "txt"
+    with pytest.raises(registry.FormatNotSupportedError):
+        registry.read(df, "nope")
+
+
+def test_conversion_between_formats(spark):
+    df = spark.createDataFrame([(1, "1\n00:00:01,000 --> 00:00:02,000\nhi\n\n2\n00:00:03,000 --> 00:00:04,500\ntwo\nlines\n")], "doc_id long, content string")
+    vtt = registry.convert(df, "srt", "vtt")
+    assert registry.convert(vtt, "vtt", "srt").first().content == df.first().content
