@@ -73,10 +73,8 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def lowered(text: str) -> str:
-    """Text mainly in capitals in small letters, as the dictionaries hold running text."""
-    small = text.lower()
-    changed = sum(a != b for a, b in zip(text, small, strict=False))
-    return small if changed > 3 and changed * 2 > sum(map(str.isalpha, text)) else text
+    """Text in capitals in small letters, as the dictionaries hold running text."""
+    return text.lower() if text.isupper() else text
 
 
 def bare(text: str) -> str:

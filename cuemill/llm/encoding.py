@@ -74,6 +74,12 @@ def _to_byte(charset: str) -> dict[str, int]:
     return table
 
 
+@lru_cache(maxsize=16)
+def _to_latin(charset: str) -> dict[int, str]:
+    """The same table for ``str.translate``, bytes as the characters of equal number."""
+    return {ord(c): chr(b) for c, b in _to_byte(charset).items()}
+
+
 @lru_cache(maxsize=16)
 def _span(charset: str) -> re.Pattern:
     return re.compile("[\x00-\x7f" + re.escape("".join(_to_byte(charset))) + "]+")
@@ -108,13 +114,13 @@ def _undo(text: str, read: str, written: str) -> str | None:
         if not high or back.count(LOST) > 0.25 * high / 2:
             return None
         return back
-    table = _to_byte(read)
+    table = _to_latin(read)
 
     def span(m: re.Match) -> str:
         part = m.group()
         if not _HIGH.search(part):
             return part
-        data = bytes(table.get(c, ord(c) if ord(c) < 256 else 63) for c in part)
+        data = part.translate(table).encode("latin-1", "replace")
         if written == "utf-8":
             out, at = [], 0
             for x in _UTF8.finditer(data):
@@ -153,8 +159,12 @@ class Mender:
         self.odd = re.compile(f"{self.rare.pattern}|{_RISE.pattern}")
 
     def bits(self, text: str) -> float:
-        chars = self.profiles.chars
-        return sum(40.0 if _BROKEN.match(c) else chars.get(c, RARE_BITS) for c in _HIGH.findall(text)) + 12.0 * len(_RISE.findall(text))
+        get = self.profiles.chars.get
+        high = _HIGH.findall(text)
+        total = sum([get(c, RARE_BITS) for c in high])
+        if len(high) > 1 or total >= RARE_BITS:
+            total += (40.0 - RARE_BITS) * len(_BROKEN.findall(text))
+        return total + 12.0 * len(_RISE.findall(text))
 
     def candidates(self, text: str) -> Iterator[tuple[str, str, int]]:
         """Whole-text candidates first; parts only where those leave rare characters."""

@@ -41,6 +41,7 @@ SCRIPTS = {
     "greek": "Ͱ-Ͽ",
 }
 _SCRIPT_PATTERNS = {name: re.compile(f"[{chars}]") for name, chars in SCRIPTS.items()}
+_OTHER_SCRIPT = re.compile("[" + "".join(chars for name, chars in SCRIPTS.items() if name != "latin") + "]")
 
 
 def code_of(label: str | None) -> str | None:
@@ -53,6 +54,8 @@ def code_of(label: str | None) -> str | None:
 
 def script_of(text: str) -> str | None:
     """The script with most letters; kana outweighs Han, as Japanese mixes them."""
+    if text.isascii() or not _OTHER_SCRIPT.search(text):
+        return "latin" if _SCRIPT_PATTERNS["latin"].search(text) else None
     counts = {name: len(p.findall(text)) for name, p in _SCRIPT_PATTERNS.items()}
     best = max(counts, key=counts.__getitem__)
     if not counts[best]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,26 +26,30 @@ MARGIN = 0.08
 LONE_MARGIN = 0.45
 _NOTE = re.compile(r"[\[(（【*♪♫][^\])）】*♪♫]*[\])）】*♪♫]?")
 _LABEL = re.compile(r"^\s*(?:\[?[A-Z]+_\d+\]?\s*:|>>+)\s*")
-_LETTER = re.compile(r"[^\W\d_]")
+_MARKED = re.compile(r"[\[(（【*♪♫<{_>]")
+_FOUR = re.compile(r"(?s)(?:[^\W\d_].*?){4}")
+_TWO = re.compile(r"(?s)(?:[^\W\d_].*?){2}")
 
 
 def _spoken(text: str) -> str:
     """Text without tags, machine labels and sound notes; empty for a bare sound note."""
+    if not _MARKED.search(text):
+        return " ".join(text.split())
     return bare(_NOTE.sub(" ", _LABEL.sub("", bare(text))))
 
 
 class Classifier:
     def __init__(self, profiles: Profiles, margin: float = MARGIN):
         self.profiles, self.margin, self.mender = profiles, margin, Mender(profiles)
+        self.classify = lru_cache(20_000)(self._classify)  # neighbours often repeat a text
 
-    def classify(self, text: str | None) -> tuple[str | None, float]:
+    def _classify(self, text: str | None) -> tuple[str | None, float]:
         """(language or None, confidence 0..1); None for no letters, a sound note, garbling or a narrow margin."""
         if not text:
             return None, 0.0
         spoken = _spoken(text)
-        if len(_LETTER.findall(spoken)) < 4 or self.mender.odd.search(spoken) and self.mender.mend(text)[0]:
-            if len(_LETTER.findall(spoken)) < 2 or spoken.isascii() or self.mender.mend(text)[0]:
-                return None, 0.0
+        if not (_FOUR if spoken.isascii() else _TWO).search(spoken) or not spoken.isascii() and self.mender.odd.search(spoken) and self.mender.mend(text)[0]:
+            return None, 0.0
         sizes = self.profiles.sizes(spoken)
         ranked = sorted(sizes.items(), key=lambda x: (x[1], x[0]))
         best, least = ranked[0]
