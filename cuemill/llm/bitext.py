@@ -91,7 +91,7 @@ class Bitext:
             for found, words in read:
                 df.update({c for c, _ in found} | {w for w, _ in words})
         total = max(2, self.n + self.m)
-        self.weight = {c: max(0.3, math.log(total / k)) * (1.6 if c[0] == "#" else 1.0) for c, k in df.items()}
+        self.weight = {c: max(0.3, math.log((total + 8) / k)) * (1.6 if c[0] == "#" else 1.0) for c, k in df.items()}
 
     def points(self) -> list[tuple[float, float, float, int, int]]:
         """(x, y, weight, i, j) of every correspondence whose row and column are not crowded."""

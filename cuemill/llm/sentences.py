@@ -79,7 +79,7 @@ def _kind(rest: str) -> tuple[str, str]:
 def evidence(text: str) -> Iterator[tuple[str, str, str]]:
     """(what, word, follower) facts of one text: plain, lower, small, number, big."""
     found = list(_TOKEN.finditer(text))
-    for m, nxt in zip(found, [*found[1:], None], strict=True):
+    for m, nxt in zip(found, [*found[1:], None], strict=False):
         token = m.group()
         dotted = token.endswith(".")
         word = token.rstrip(".")
