@@ -187,7 +187,9 @@ class Bitext:
                 if score > 0:
                     heap.append((score - 0.12 * abs(j - expected[i]), i, j))
         heap.sort(key=lambda z: (-z[0], z[1], z[2]))
-        total = [[self.mass(b) for b in bags] for bags in (left, right)]
+        self.vocabulary = [set().union(*bags) for bags in (left, right)]
+        self.known: list[dict[str, bool]] = [{}, {}]
+        total = [[self.mass(b, side) for b in bags] for side, bags in enumerate((left, right))]
         out = []
         used_left, used_right = [Counter(b) for b in left], [Counter(b) for b in right]
         for _, i, j in heap:
@@ -241,14 +243,14 @@ class Bitext:
                 share = score / max(min(total[0][i], total[1][j]), 1e-9)
                 if numbers[0] and numbers[1] and not numbers[0] & numbers[1]:
                     continue
-                if score >= (1.2 if free else 1.8) and share >= (0.2 if free else 0.3):
+                if score >= (1.2 if free else 1.8) and share >= (FILL_COVER if free else LEAST_COVER):
                     heap.append((share, score, i, j))
         out = []
         for _, _, i, j in sorted(heap, reverse=True):
             score, spent = self.shared(i, j, left[i], right[j])
             share = score / max(min(total[0][i], total[1][j]), 1e-9)
             free = i not in taken_left and j not in taken_right
-            if score >= (1.2 if free else 1.8) and share >= (0.2 if free else 0.3):
+            if score >= (1.2 if free else 1.8) and share >= (FILL_COVER if free else LEAST_COVER):
                 left[i] -= spent
                 right[j] -= spent
                 taken_left.add(i)
@@ -256,13 +258,21 @@ class Bitext:
                 out.append((i, j, score, share))
         return out
 
-    def mass(self, bag: Counter) -> float:
-        """Weight of the tokens of a sentence that could have a counterpart."""
-        return sum(self.weight.get(c.lstrip("*"), 1.0) * k for c, k in bag.items() if c[0] in "#*" or c in self.learned)
+    def mass(self, bag: Counter, side: int) -> float:
+        """Weight of the tokens of a sentence that the other side is known to have words for."""
+        return sum(self.weight.get(c.lstrip("*"), 1.0) * k for c, k in bag.items() if c[0] == "#" or self.expressed(c, side))
+
+    def expressed(self, token: str, side: int) -> bool:
+        known = self.known[side].get(token)
+        if known is None:
+            other = self.vocabulary[1 - side]
+            known = self.known[side][token] = token[0] == "*" and token in other or any(p in other for p in self.learned.get(token, ()))
+        return known
 
 
 LEAST_SCORE = 2.0
 LEAST_COVER = 0.4
+FILL_COVER = 0.34
 MOVED_SCORE = 3.5
 MOVED_COVER = 0.55
 
