@@ -107,19 +107,17 @@ def foreign_cues(cues: DataFrame, tracks: DataFrame) -> DataFrame:
     ``LONE_MARGIN``, as names and scraps are often nearer to a wrong language.
     Result: ``row_id``, ``track_id``, ``cue_idx``, ``lang``, ``confidence``.
     """
-    order = Window.partitionBy("track_id").orderBy("cue_idx", "row_id")
-    joined = cues.join(tracks.select("track_id", F.col("lang").alias("home")), "track_id").where("home is not null")
-    around = joined.select(
-        "*",
-        F.lag("lang").over(order).alias("before"),
-        F.lead("lang").over(order).alias("after"),
-        *(F.lag("lang", k).over(order).alias(f"near{k}") for k in (-2, -1, 1, 2)),
-    )
-    taken = F.when(
-        F.col("lang").isNull() & (F.col("confidence") > 0) & (F.col("before") == F.col("after")) & (F.col("before") != F.col("home")), F.col("before")
-    ).otherwise(F.col("lang"))
-    backed = (F.col("confidence") >= LONE_MARGIN) | F.greatest(*(F.coalesce((F.col(f"near{k}") == taken).cast("int"), F.lit(0)) for k in (-2, -1, 1, 2))).cast("boolean")
-    return around.withColumn("backed", backed).withColumn("lang", taken).where("lang <> home and backed").select("row_id", "track_id", "cue_idx", "lang", "confidence")
+    home = tracks.where("lang is not null").select("track_id", F.col("lang").alias("home"))
+    odd = cues.where("confidence > 0 or lang is not null").join(home, "track_id").where("lang is null or lang <> home")
+    sure = odd.where("lang is not null").select("track_id", "cue_idx", "lang").distinct()
+    # neighbours by position, so that no track is ever one task
+    at = lambda k, name: sure.select("track_id", (F.col("cue_idx") + k).alias("cue_idx"), F.col("lang").alias(name))
+    doubtful = odd.where("lang is null").drop("lang").join(at(1, "before"), ["track_id", "cue_idx"]).join(at(-1, "after"), ["track_id", "cue_idx"])
+    taken = doubtful.where("before = after").select("row_id", "track_id", "cue_idx", F.col("before").alias("lang"), "confidence")
+    near = sure.withColumn("k", F.explode(F.array(*map(F.lit, (-2, -1, 1, 2))))).select("track_id", (F.col("cue_idx") + F.col("k")).alias("cue_idx"), "lang").distinct()
+    judged = odd.where("lang is not null").select("row_id", "track_id", "cue_idx", "lang", "confidence")
+    backed = judged.where(F.col("confidence") < LONE_MARGIN).join(near, ["track_id", "cue_idx", "lang"], "left_semi").select(judged.columns)
+    return judged.where(F.col("confidence") >= LONE_MARGIN).unionAll(backed).unionAll(taken)
 
 
 def stretches(foreign: DataFrame) -> DataFrame:
