@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ SCRIPT_RANGES = {
 }
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize_text(text: Column, keep_newlines: bool = False) -> Column:
     """Entities decoded, straight apostrophes in contractions, blanks joined, ends trimmed; null becomes empty."""
     out = F.coalesce(text, F.lit(""))

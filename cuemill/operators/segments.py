@@ -14,10 +14,12 @@ def words_of(text: Column) -> Column:
 
 def with_even_words(cues: DataFrame) -> DataFrame:
     """``words``: the text's words in equal parts of the cue, for cues that come without word times."""
-    w = words_of(F.col("text"))
-    part = F.col("duration") / F.size(w)
-    item = F.transform(w, lambda x, i: F.struct(x.alias("symbol"), (F.col("start") + i * part).alias("start"), part.alias("duration")))
-    return cues.withColumn("words", F.when(F.size(w) > 0, item))
+
+    def even(w: Column) -> Column:
+        part = F.col("duration") / F.size(w)
+        return F.when(F.size(w) > 0, F.transform(w, lambda x, i: F.struct(x.alias("symbol"), (F.col("start") + i * part).alias("start"), part.alias("duration"))))
+
+    return cues.withColumn("words", T.let(words_of(F.col("text")), even))
 
 
 def expand_words(cues: DataFrame) -> DataFrame:

@@ -22,18 +22,24 @@ def word_offsets(text: Column, words: Column) -> Column:
 
 def karaoke_text(words: Column, effect: str = "kf") -> Column:
     """Override tags with each word's length in centiseconds, at least 1, up to the next word's start."""
-    n = F.size(words)
-    length = lambda w, i: F.when(i < n - 1, F.get(words, i + 1)["start"] - w["start"]).otherwise(w["duration"])
-    tag = lambda w, i: F.concat(F.lit(f"{{\\{effect}"), F.greatest(F.lit(1), F.rint(length(w, i) * 100).cast("int")).cast("string"), F.lit("}"), w["symbol"])
-    return F.array_join(F.transform(words, tag), " ")
+
+    def tagged(ws: Column) -> Column:
+        length = lambda w, i: F.when(i < F.size(ws) - 1, F.get(ws, i + 1)["start"] - w["start"]).otherwise(w["duration"])
+        return F.transform(ws, lambda w, i: F.concat(F.lit(f"{{\\{effect}"), F.greatest(F.lit(1), F.rint(length(w, i) * 100).cast("int")).cast("string"), F.lit("}"), w["symbol"]))
+
+    return F.array_join(T.let(words, tagged), " ")
 
 
 def parse_karaoke(raw: Column) -> Column:
     """Syllables of a text with karaoke tags: symbol, start and duration in seconds from the line's start."""
     p = F.lit("\\{[^}]*?\\\\(?:k[fo]?|K)(\\d+)[^}]*\\}([^{]*)")
-    marks, said = F.regexp_extract_all(raw, p, F.lit(1)), F.regexp_extract_all(raw, p, F.lit(2))
-    before = lambda i: F.aggregate(F.slice(marks, F.lit(1), i), F.lit(0), lambda a, x: a + x.cast("int"))
-    return F.transform(said, lambda s, i: F.struct(s.alias("symbol"), F.round(before(i) / 100.0, 4).alias("start"), F.round(F.get(marks, i).cast("int") / 100.0, 4).alias("duration")))
+    both = F.struct(F.regexp_extract_all(raw, p, F.lit(1)).alias("marks"), F.regexp_extract_all(raw, p, F.lit(2)).alias("said"))
+
+    def timed(x: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(x["marks"], F.lit(1), i), F.lit(0), lambda a, y: a + y.cast("int"))
+        return F.transform(x["said"], lambda s, i: F.struct(s.alias("symbol"), F.round(before(i) / 100.0, 4).alias("start"), F.round(F.get(x["marks"], i).cast("int") / 100.0, 4).alias("duration")))
+
+    return T.let(both, timed)
 
 
 def split_with_words(cues: DataFrame, max_chars: int = 42, max_duration: float = 7.0) -> DataFrame:

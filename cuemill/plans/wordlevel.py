@@ -9,8 +9,10 @@ from cuemill.functions import color
 from cuemill.functions import text as T
 from cuemill.operators import segments, words
 from cuemill.plans.analysis import _SQUASH, _WORDS
+from cuemill.plans.formats import _SOURCE, cues_of
 from cuemill.plans.timing import _CUES, _cues
 from cuemill.session import table
+from cuemill.sources import document_formats, text_formats
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -117,3 +119,35 @@ def xp10_alignable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xp08_has_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "markdown_segments", "track_id", "translation")
     return lines.groupBy("track_id").agg(F.bool_or(F.col("translation") != "").alias("has_translation"), F.count_if(F.col("translation") != "").alias("translated"))
+
+
+def _word_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = segments.with_even_words(cues_of(spark, sf_dir).where("not contains(text, '<') and not contains(text, '>') and not contains(text, '&')"))
+    return cues.where("duration >= 0.02 * size(words)")
+
+
+@query(None)
+def k04_word_vtt_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_formats.write_word_vtt(_word_documents(spark, sf_dir)).select("doc_id", F.length("content").alias("chars"))
+
+
+@query(None)
+def k23_word_lrc_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_formats.write_word_lrc(_word_documents(spark, sf_dir)).select("doc_id", F.length("content").alias("chars"))
+
+
+@query(None)
+def k06_word_ass_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_formats.write_word_ass(_word_documents(spark, sf_dir)).select("doc_id", F.length("content").alias("chars"))
+
+
+@query(
+    "with " + _SOURCE + f""", w as (select *, {_WORDS} ws from cues where not contains(text, '<') and not contains(text, '>') and not contains(text, '&')),
+ k as (select * from w where len(ws) > 1 and duration >= 0.02 * len(ws))
+ select doc_id, cast(round_even(1000 * "start", 0) as bigint) first, cast(len(ws) as bigint) as "words", array_to_string(ws, ' ') said from k"""
+)
+def r03_word_vtt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-level documents of all cues of two words or more, read back with their words."""
+    cues = _word_documents(spark, sf_dir).where("size(words) > 1")
+    back = document_formats.read_word_vtt(text_formats.write_word_vtt(cues))
+    return back.select("doc_id", F.rint(F.col("start") * 1000).cast("long").alias("first"), F.size("words").cast("long").alias("words"), F.col("text").alias("said"))

@@ -217,3 +217,71 @@ def reader(parse: Callable[[str], list[Cue]]) -> Callable[..., DataFrame]:
         return docs.where("content is not null").select("doc_id", "content").mapInArrow(work, SCHEMA)
 
     return read
+
+
+# ---- captions with a stamp on each word, as video sites deliver them
+
+WORD_SCHEMA = SCHEMA + ", words array<struct<symbol:string,start:double,duration:double>>"
+_CUE_LINE = re.compile(r"^((?:\d+:)?\d+:\d+\.\d+)\s+-->\s+((?:\d+:)?\d+:\d+\.\d+)")
+_WORD_STAMP = re.compile(r"<((?:\d+:)?\d+:\d+\.\d+)>")
+ECHO = 0.010
+
+
+def rolling_words(content: str) -> list[tuple[float, float, str | None, str, list[tuple[str, float, float]]]]:
+    """Cues of a rolling word-level document.
+
+    Only the line with word stamps is new in a cue; the line above repeats what was
+    shown.  Echo cues of 10 ms hold no stamps and are dropped, and so is an unstamped cue
+    that directly follows one, but for its last line, which ends the cue before.  A word
+    lasts to the next word's stamp, the last to the cue's end, 10 ms at least.
+    """
+    cues: list[list] = []
+    for line in content.replace("\r\n", "\n").split("\n"):
+        m = _CUE_LINE.match(line.strip())
+        if m:
+            cues.append([clock(m[1]), clock(m[2]), []])
+        elif cues and line.strip():
+            cues[-1][2].append(line)
+    out: list = []
+    after_echo = None
+    for start, end, lines in cues:
+        stamped = [x for x in lines if _WORD_STAMP.search(x)]
+        if not stamped:
+            if abs(end - start - ECHO) < 0.001:
+                after_echo = end
+            elif after_echo is not None and abs(start - after_echo) < 0.001 and out and len(lines) > 1:
+                tail = re.sub(r"<[^>]*>", "", lines[-1]).strip()
+                first, length, who, said, words = out[-1]
+                out[-1] = (first, length, who, f"{said} {tail}", [*words, (tail, first + length, ECHO)])
+            continue
+        speaker, words, now = None, [], start
+        for k, piece in enumerate(_WORD_STAMP.split(" ".join(stamped))):
+            if k % 2:
+                now = clock(piece)
+                continue
+            symbol = re.sub(r"<[^>]*>", "", piece).strip()  # class tags
+            m = re.match(r"^(?:>>|&gt;&gt;)\s*(.*)$", symbol)
+            if m:
+                speaker, symbol = ">>", m[1]
+            if symbol:
+                words.append([symbol, now])
+        timed = [(s, t, max(0.01, (words[k + 1][1] if k + 1 < len(words) else end) - t)) for k, (s, t) in enumerate(words)]
+        if timed:
+            out.append((start, end - start, speaker, " ".join(s for s, _, _ in timed), timed))
+    return out
+
+
+def read_word_vtt(docs: DataFrame) -> DataFrame:
+    """Word-level documents with their ``words``; a null content gives no cue."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.list_(pa.struct([("symbol", pa.string()), ("start", pa.float64()), ("duration", pa.float64())])))
+        for batch in batches:
+            rows = []
+            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k, (start, length, speaker, said, words) in enumerate(rolling_words(content or "")):
+                    rows.append((doc, k, start, length, speaker, said, [{"symbol": s, "start": a, "duration": d} for s, a, d in words]))
+            c = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["doc_id", "cue_idx", "start", "duration", "speaker", "text", "words"])
+
+    return docs.where("content is not null").select("doc_id", "content").mapInArrow(work, WORD_SCHEMA)

@@ -382,3 +382,24 @@ def write_textgrid(cues: DataFrame, speakers: bool = True) -> DataFrame:
     )
     head = F.concat(F.lit('File type = "ooTextFile"\nObject class = "TextGrid"\n\nxmin = 0\nxmax = '), K.fixed(F.col("xmax"), 3), F.lit("\ntiers? <exists>\nsize = "), F.size("t").cast("string"), F.lit("\nitem []:\n"))
     return joined.select("doc_id", F.concat(head, one).alias("content"))
+
+
+def write_word_vtt(cues: DataFrame) -> DataFrame:
+    """WebVTT with a stamp in front of every word but the first; the cue spans its words."""
+    first, last = F.get("words", F.lit(0)), F.element_at("words", -1)
+    timed = cues.where("size(words) > 0").withColumns({"start": first["start"], "duration": last["start"] + last["duration"] - first["start"]})
+    tagged = F.concat(first["symbol"], F.array_join(F.transform(F.slice("words", 2, 1_000_000), lambda w: F.concat(F.lit("<"), K.vtt_stamp(w["start"]), F.lit("><c> "), w["symbol"], F.lit("</c>"))), ""))
+    return gathered(timed, F.concat(K.vtt_stamp(F.col("start")), F.lit(" --> "), K.vtt_stamp(_end()), F.lit("\n"), tagged), "\n\n", head="WEBVTT\nKind: captions\n\n", tail="\n")
+
+
+def write_word_lrc(cues: DataFrame) -> DataFrame:
+    """Enhanced LRC: a stamp per line and per word."""
+    tagged = F.array_join(F.transform("words", lambda w: F.concat(F.lit("<"), K.lrc_stamp(w["start"]), F.lit(">"), w["symbol"])), " ")
+    return gathered(cues.where("size(words) > 0"), F.concat(F.lit("["), K.lrc_stamp(F.col("start")), F.lit("]"), tagged), "\n", tail="\n")
+
+
+def write_word_ass(cues: DataFrame) -> DataFrame:
+    """Karaoke events."""
+    from cuemill.operators.words import karaoke_text
+
+    return write_ass(cues.where("size(words) > 0").withColumn("text", karaoke_text(F.col("words"))))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cuemill.functions import text, timecode
-from cuemill.operators import segments, timing
+from cuemill import config
+from cuemill.operators import segments, timing, words
 from cuemill.plans import collect
-from cuemill.sources import registry
+from cuemill.sources import document_formats, registry
 
 QUERIES, ORACLES = collect()
 
@@ -151,3 +152,57 @@ def test_conversion_between_formats(spark):
     df = spark.createDataFrame([(1, "1\n00:00:01,000 --> 00:00:02,000\nhi\n\n2\n00:00:03,000 --> 00:00:04,500\ntwo\nlines\n")], "doc_id long, content string")
     vtt = registry.convert(df, "srt", "vtt")
     assert registry.convert(vtt, "vtt", "srt").first().content == df.first().content
+
+
+def test_rolling_word_captions(spark):
+    content = """WEBVTT
+Kind: captions
+
+00:00:00.000 --> 00:00:02.000 align:start position:0%
+
+&gt;&gt; hello<00:00:00.500><c> big</c><00:00:01.000><c> world</c>
+
+00:00:02.000 --> 00:00:02.010 align:start position:0%
+hello big world
+
+00:00:02.010 --> 00:00:04.000 align:start position:0%
+hello big world
+next<00:00:03.000><c> one</c>
+
+00:00:04.000 --> 00:00:04.010
+next one
+
+00:00:04.010 --> 00:00:05.000
+next one
+tail
+"""
+    rows = document_formats.read_word_vtt(spark.createDataFrame([(1, content), (2, None)], "doc_id long, content string")).orderBy("cue_idx").collect()
+    assert [(r.text, r.speaker, [(w.symbol, round(w.start, 2), round(w.duration, 2)) for w in r.words]) for r in rows] == [
+        ("hello big world", ">>", [("hello", 0.0, 0.5), ("big", 0.5, 0.5), ("world", 1.0, 1.0)]),
+        ("next one tail", None, [("next", 2.01, 0.99), ("one", 3.0, 1.0), ("tail", 4.0, 0.01)]),
+    ]
+
+
+def test_options_are_checked():
+    config.StandardizationConfig(), config.VTTConfig("center"), config.FrameRate(29.97, True), config.RenderConfig()
+    for wrong in (lambda: config.StandardizationConfig(min_duration=0), lambda: config.StandardizationConfig(margin_collision_mode="x"), lambda: config.VTTConfig("middle"), lambda: config.FrameRate(25, True)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_word_level_functions(spark):
+    raw = "{\\an8\\kf30}hel{\\k20}lo {\\K50}you"
+    assert [tuple(s) for s in one(spark, words.parse_karaoke(F.lit(raw)))] == [("hel", 0.0, 0.3), ("lo ", 0.3, 0.2), ("you", 0.5, 0.5)]
+    assert one(spark, words.word_offsets(F.lit("a bb a x"), F.array(*map(F.lit, ["a", "bb", "a", "q"])))) == [1, 3, 6, 0]
+    for t in ("", "abc", "水ポンプ、と橋。", "é́x y", "a b c d e f"):
+        parts = words.slices(t, [1.0, 3.0, 2.0])
+        assert "".join(parts) == t and len(parts) == 3
+    assert words.slices(None, [1.0]) is None and words.slices("a", []) is None
+    cues = spark.createDataFrame([(1, k, s, d, None, "x") for k, (s, d) in enumerate([(0.0, 2.0), (1.0, 2.0), (2.0, 1.0), (5.0, 1.0)])], CUES)
+    assert {r.cue_idx: r.tier for r in words.event_tiers(cues).collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
+
+
+def test_sentences_over_cue_borders(spark):
+    cues = spark.createDataFrame([(1, 0, 0.0, 2.0, "A", "One two. Three"), (1, 1, 2.0, 2.0, "A", "four! Five."), (1, 2, 5.0, 1.0, "B", "Six"), (2, 0, 0.0, 1.0, None, None)], CUES)
+    got = sorted((r.track_id, r.first_cue, r.last_cue, r.text) for r in words.split_sentences(cues).collect())
+    assert got == [(1, 0, 0, "One two."), (1, 0, 1, "Three four!"), (1, 1, 1, "Five."), (1, 2, 2, "Six")]
