@@ -32,7 +32,7 @@ CONTEXT = 48
 WIDTH = 6
 CHAIN_POINTS = 6
 LEAST_TOGETHER = 3
-LEARNED_LIMIT = 200_000
+LEAST_SHARE = 1e-5
 
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 _WORD = re.compile(r"[^\W\d_]+(?:[ऀ-ःऺ-ॏ]+[^\W\d_]*)*")
@@ -313,7 +313,12 @@ def _sides(rows: list[tuple]) -> tuple[list, list]:
 
 
 def learn(segments: DataFrame, lexicon: list[tuple[str, str]]) -> dict[str, dict[str, float]]:
-    """Terms that go together in pairs beyond doubt, both ways; only those seen often enough are kept."""
+    """Terms that go together in pairs beyond doubt, both ways.
+
+    A kept pair has at least ``LEAST_SHARE`` of all words of the sure pairs (and
+    ``LEAST_TOGETHER``), which bounds what the driver gets to some 1 / ``LEAST_SHARE``
+    pairs for each word of a sentence.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(lexicon)
@@ -344,17 +349,18 @@ def learn(segments: DataFrame, lexicon: list[tuple[str, str]]) -> dict[str, dict
 
     counts = _blocks(segments).mapInArrow(work, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TOGETHER)
     counts = counts.persist()
+    total = counts.where("b = ''").agg(F.sum("n")).first()[0] or 0
     left = counts.where("b = ''").select("a", F.col("n").alias("na"))
     right = counts.where("a = ''").select("b", F.col("n").alias("nb"))
     dice = 2 * F.col("n") / (F.col("na") + F.col("nb"))
     rows = (
         counts.where("a <> '' and b <> ''")
+        .where(F.col("n") >= LEAST_SHARE * total)
         .join(left, "a")
         .join(right, "b")
         .select("a", "b", dice.alias("dice"))
         .where("dice >= 0.35")
-        .orderBy(F.desc("dice"), "a", "b")
-        .limit(LEARNED_LIMIT)
+        .orderBy("a", "b")
         .collect()
     )
     counts.unpersist()

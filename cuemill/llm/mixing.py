@@ -20,6 +20,7 @@ from cuemill.session import cut
 
 STEPS = 60
 BLOCK_RECORDS = 512
+SOURCES = 100_000
 
 
 def normalised(weights: dict[str, float]) -> dict[str, float]:
@@ -65,6 +66,14 @@ def weights(own_tokens: dict[str, float], targets: dict[str, float], repeats: di
     return mixed(high), high
 
 
+def _few(sources: DataFrame) -> list:
+    """Rows of a table with one row per source; more than ``SOURCES`` are refused, not cut."""
+    rows = sources.limit(SOURCES + 1).collect()
+    if len(rows) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    return rows
+
+
 def mix(records: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(selection, shares).
 
@@ -80,8 +89,8 @@ def mix(records: DataFrame, targets: DataFrame, total_tokens: float | None = Non
             "doc_id", F.lower(F.trim("source")).alias("source"), F.col("tokens").cast("long").alias("tokens")
         ).where("source is not null")
     )
-    held = {r[0]: (r[1], r[2]) for r in clean.groupBy("source").agg(F.sum("tokens"), F.count("*")).limit(100_000).collect()}
-    aims = {r[0]: (r[1], r[2]) for r in targets.select(F.lower(F.trim("source")), "target_share", "max_repeats").where("target_share is not null").limit(100_000).collect()}
+    held = {r[0]: (r[1], r[2]) for r in _few(clean.groupBy("source").agg(F.sum("tokens"), F.count("*")))}
+    aims = {r[0]: (r[1], r[2]) for r in _few(targets.select(F.lower(F.trim("source")), "target_share", "max_repeats").where("target_share is not null"))}
     own_tokens = {k: float(v[0]) for k, v in held.items()}
     total = float(total_tokens or sum(v for k, v in own_tokens.items() if k in aims))
     repeats = {k: int(v[1] or 1) for k, v in aims.items()}
