@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from cuemill.functions import text, timecode
 from cuemill import config
-from cuemill.operators import segments, timing, words
+from cuemill.operators import pipelines, segments, timing, words
 from cuemill.plans import collect
 from cuemill.sources import document_formats, registry
 
@@ -206,3 +206,22 @@ def test_sentences_over_cue_borders(spark):
     cues = spark.createDataFrame([(1, 0, 0.0, 2.0, "A", "One two. Three"), (1, 1, 2.0, 2.0, "A", "four! Five."), (1, 2, 5.0, 1.0, "B", "Six"), (2, 0, 0.0, 1.0, None, None)], CUES)
     got = sorted((r.track_id, r.first_cue, r.last_cue, r.text) for r in words.split_sentences(cues).collect())
     assert got == [(1, 0, 0, "One two."), (1, 0, 1, "Three four!"), (1, 1, 1, "Five."), (1, 2, 2, "Six")]
+
+
+def test_standardized_cues_keep_limits_and_words(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    cues = spark.createDataFrame([(1, 0, 0.0, 20.0, "A", long), (1, 1, 20.02, 0.2, "B", "short"), (1, 2, None, 1.0, None, "x")], CUES)
+    rows = pipelines.standardize(cues).orderBy("cue_idx", "part").collect()
+    assert " ".join(" ".join(r.text.split()) for r in rows if r.cue_idx == 0) == long
+    assert all(len(line) <= 42 for r in rows for line in r.text.split("\n")) and all(r.duration <= 7.5 for r in rows)
+    assert [r.duration for r in rows if r.cue_idx == 1] == [0.8]
+
+
+def test_translations_of_another_number_are_refused(spark):
+    cues = spark.createDataFrame([(1, 0, 0.0, 1.0, None, "a"), (1, 1, 1.0, 1.0, None, "b")], CUES)
+    one_ = spark.createDataFrame([(1, 0, "x")], "track_id long, cue_idx int, translation string")
+    with pytest.raises(Exception, match="differ in number"):
+        pipelines.set_translations(cues, one_, "de").collect()
+    both = one_.union(spark.createDataFrame([(1, 1, "y")], one_.schema))
+    assert sorted(r.translation for r in pipelines.set_translations(cues, both, "de").collect()) == ["x", "y"]
+    assert {r.translation for r in pipelines.strip_translations(pipelines.set_translations(cues, both, "de")).collect()} == {None}
