@@ -49,7 +49,7 @@ _PRIVATE = re.compile("[\ue000-\uf8ff]")
 _LOST_OR_PRIVATE = re.compile("[�]")
 _HIGH = re.compile("[^\x00-\x7f]")
 _BROKEN = re.compile("[\u0080-\u009f�-]")
-_SPLIT_LEAD = re.compile("[a-zß-öø-ÿ][ÂÃ](?![A-ZÀ-Þ])")  # a lead byte whose follower is lost
+_SPLIT_LEAD = re.compile("[a-zß-öø-ÿ][À-ÖØ-Þ](?![A-ZÀ-ÖØ-Þ])")  # an accented capital inside a word: a lead byte or a misread letter
 _CYRILLIC = {"cp1251", "koi8-r", "cp866"}
 _WORD_EDGE = re.compile(r"\b")
 _RISE = re.compile("[a-zß-öø-ÿ][À-ÖØ-Þ]|[а-яё][А-ЯЁ]")
