@@ -1,11 +1,13 @@
 """Text that was written or read with a wrong encoding.
 
-Every row whose characters all belong to the everyday ones of some language is left
-unchanged at once.  For the rest, chains of "written as one charset, read as another"
-are undone, wholly or in part, and every candidate is compressed with the per-language
-dictionaries; the chain of least description length, its own cost included, wins.
+Chains of "written as one charset, read as another" are undone, wholly or in part, and
+every candidate is compressed with the per-language dictionaries; the chain of least
+description length, its own cost included, wins.
 A candidate is compressed only if its characters are likelier than those it replaces
-(an order-0 code length, the cheap bound before the real one).  Where no chain pays,
+(an order-0 code length, the cheap bound before the real one).  Texts of everyday
+characters are no exception: readings are passed over unseen only where no bytes of the
+text form a sequence they could undo, or where no result could be that much likelier.
+Where no chain pays,
 the text is left unchanged; it still counts as garbled if it holds replacement
 characters, which no chain can undo.
 """
@@ -20,7 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cuemill.llm.compress import SAMPLE_ROWS, Profiles, build, collect
+from cuemill.llm.compress import SAMPLE_ROWS, Profiles, build, collect, lowered
 
 # Charset a text was wrongly read as -> charsets it may have been written in.
 READINGS = {
@@ -40,6 +42,7 @@ MULTIBYTE = {"gb18030", "cp932", "euc_jp", "big5"}
 STEP_COST = 2
 CUT_COST = 2
 MAX_STEPS = 3
+LEAST_GAIN = 4
 BIT_WEIGHT = 1 / 6
 LOST = "�"
 RARE_BITS = 14.0
@@ -48,9 +51,12 @@ _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\x
 _PRIVATE = re.compile("[\ue000-\uf8ff]")
 _LOST_OR_PRIVATE = re.compile("[�]")
 _HIGH = re.compile("[^\x00-\x7f]")
+_TWO_HIGH = re.compile("[^\x00-\x7f]{2}")
+_HIGH_BYTES = bytes(range(128, 256))
 _BROKEN = re.compile("[\u0080-\u009f�-]")
 _SPLIT_LEAD = re.compile("[a-zß-öø-ÿ][À-ÖØ-Þ](?![A-ZÀ-ÖØ-Þ])")  # an accented capital inside a word: a lead byte or a misread letter
 _CYRILLIC = {"cp1251", "koi8-r", "cp866"}
+_WORD = re.compile(r"\S+")
 _WORD_EDGE = re.compile(r"\b")
 _RISE = re.compile("[a-zß-öø-ÿ][À-ÖØ-Þ]|[а-яё][А-ЯЁ]")
 _THIN = re.compile("\u00e2([\u00a0-\u00bf])")
@@ -80,6 +86,31 @@ def _to_latin(charset: str) -> dict[int, str]:
     return {ord(c): chr(b) for c, b in _to_byte(charset).items()}
 
 
+@lru_cache(maxsize=16)
+def _all_to_latin(charset: str) -> dict[int, str]:
+    """The same table, where every other character of Latin-1 becomes one that is not of it."""
+    return {b: "\uffff" for b in range(128, 256)} | _to_latin(charset)
+
+
+@lru_cache(maxsize=64)
+def _bytes_of(text: str, charset: str) -> bytes | None:
+    """The bytes of a text that lies wholly in a single-byte charset."""
+    try:
+        return text.translate(_all_to_latin(charset)).encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+
+
+@lru_cache(maxsize=16)
+def _sequence(charset: str) -> re.Pattern:
+    """Characters that stand for a valid UTF-8 sequence of two bytes or more."""
+    table = _to_byte(charset)
+    among = lambda a, b: "[" + re.escape("".join(c for c, x in table.items() if a <= x <= b)) + "]"
+    tail = among(0x80, 0xBF)
+    forms = [(0xC2, 0xDF, tail), (0xE0, 0xEF, tail * 2), (0xF0, 0xF4, tail * 3)]
+    return re.compile("|".join(among(a, b) + rest for a, b, rest in forms if any(a <= x <= b for x in table.values())))
+
+
 @lru_cache(maxsize=16)
 def _span(charset: str) -> re.Pattern:
     return re.compile("[\x00-\x7f" + re.escape("".join(_to_byte(charset))) + "]+")
@@ -109,11 +140,15 @@ def _undo(text: str, read: str, written: str) -> str | None:
             data = text.encode(read, "replace")
             if data.count(b"?") > text.count("?") + text.count(LOST) + len(_PRIVATE.findall(text)):
                 return None
+        high = len(data) - len(data.translate(None, _HIGH_BYTES))
+        if not high or not _UTF8.search(data):
+            return None
         back = data.decode("utf-8", "replace")
-        high = sum(b > 127 for b in data)
-        if not high or back.count(LOST) > 0.25 * high / 2:
+        if back.count(LOST) > 0.25 * high / 2:
             return None
         return back
+    if written != "utf-8" and (data := _bytes_of(text, read)) is not None:
+        return _decode(data, written) or text
     table = _to_latin(read)
 
     def span(m: re.Match) -> str:
@@ -157,6 +192,13 @@ class Mender:
         common = "".join(re.escape(c) for c, bits in profiles.chars.items() if bits < 13.5)
         self.rare = re.compile(f"[^\x00-\x7f{common}]")
         self.odd = re.compile(f"{self.rare.pattern}|{_RISE.pattern}")
+        self.gains = {(read, written): self.gain(read, written) for read, writings in READINGS.items() for written in writings if read not in MULTIBYTE and written not in MULTIBYTE and written != "utf-8"}
+
+        self.ups = {pair: {c: g for c, g in gains.items() if g > 0} for pair, gains in self.gains.items()}
+        self.most: dict[str, float] = {}
+        for gains in self.ups.values():
+            for c, g in gains.items():
+                self.most[c] = max(g, self.most.get(c, 0.0))
 
     def bits(self, text: str) -> float:
         get = self.profiles.chars.get
@@ -166,23 +208,75 @@ class Mender:
             total += (40.0 - RARE_BITS) * len(_BROKEN.findall(text))
         return total + 12.0 * len(_RISE.findall(text))
 
-    def candidates(self, text: str) -> Iterator[tuple[str, str, int]]:
-        """Whole-text candidates first; parts only where those leave rare characters."""
-        bits, solved = self.bits(text), False
+    def gain(self, read: str, written: str) -> dict[str, float]:
+        """Bits each character would lose if read anew; below 0 where it would gain."""
+        get, gains = self.profiles.chars.get, {}
+        for c, b in _to_byte(read).items():
+            back = bytes([b]).decode(written, "replace")
+            if c > "\x7f" and back != LOST:
+                gains[c] = get(c, RARE_BITS) - (get(back, RARE_BITS) if back > "\x7f" else 0.0)
+        return gains
+
+    def open_readings(self, text: str, bits: float) -> list[tuple[str, str]]:
+        """Every reading but those that have nothing to undo or cannot make the text likelier by enough, whole or in part."""
+        if bits <= LEAST_GAIN:
+            return []
+        high = _HIGH.findall(text)
+        # what may go besides the characters' own bits
+        more = bits - sum([self.profiles.chars.get(c, RARE_BITS) for c in high])
+        single = more + sum([self.most.get(c, 0.0) for c in high]) > LEAST_GAIN
+        two = _TWO_HIGH.search(text)
+        out = []
         for read, writings in READINGS.items():
+            if read not in MULTIBYTE and _to_byte(read).keys().isdisjoint(high):
+                continue
             for written in writings:
-                back = _undo(text, read, written)
-                if back is not None and back != text and self.plausible(back, bits):
-                    solved |= not self.rare.search(back)
-                    yield back, f"{read}>{written}", STEP_COST
+                gains = self.ups.get((read, written))
+                if gains is not None:
+                    if single and more + sum([gains.get(c, 0.0) for c in high]) > LEAST_GAIN:
+                        out.append((read, written))
+                elif read in MULTIBYTE or written != "utf-8" or two and _sequence(read).search(text):
+                    out.append((read, written))
+        return out
+
+    def words(self, text: str, read: str, written: str) -> tuple[int, int] | None:
+        """The run of words that gains most bits if read anew."""
+        gains, where = self.gains[read, written], None
+        best = sum_ = 0.0
+        start = 0
+        for m in _WORD.finditer(text):
+            high = _HIGH.findall(m.group())
+            if sum_ <= 0:
+                sum_, start = 0.0, m.start()
+            if high:
+                sum_ += sum([gains.get(c, 0.0) for c in high]) + 12.0 * len(_RISE.findall(m.group()))
+            if sum_ > best:
+                best, where = sum_, (start, m.end())
+        return where
+
+    def candidates(self, text: str) -> Iterator[tuple[str, str, int]]:
+        """Whole-text candidates first; parts only where those leave rare characters, or by words where there are none."""
+        bits, solved, odd = self.bits(text), False, self.odd.search(text)
+        readings = self.open_readings(text, bits)
+        for read, written in readings:
+            back = _undo(text, read, written)
+            if back is not None and back != text and self.plausible(back, bits) and (odd or written == "utf-8" or self.pays(text, back, STEP_COST)):
+                solved |= not self.rare.search(back)
+                yield back, f"{read}>{written}", STEP_COST
         back = _undo_thinned(text)
         if back != text and self.plausible(back, bits):
             yield back, "cp1252-thinned>utf-8", STEP_COST + 1
+        if not odd:
+            for read, written in readings:
+                if (read, written) in self.gains and (where := self.words(text, read, written)) and where != (0, len(text)):
+                    a, b = where
+                    whole = text[:a] + (_undo(text[a:b], read, written) or text[a:b]) + text[b:]
+                    if whole != text and self.plausible(whole, bits) and self.pays(text, whole, STEP_COST + CUT_COST):
+                        yield whole, f"{read}>{written}@{a}-{b}", STEP_COST + CUT_COST
+            return
         if solved:
             return
         at = [(m.end() - 1 if len(m.group()) > 1 else m.start()) for m in self.odd.finditer(text)]
-        if not at:
-            return
         near_starts = {0} | {max(0, at[0] - k) for k in range(4)}
         near_ends = {len(text)} | {min(len(text), at[-1] + 1 + k) for k in range(5)}
         words = [m.start() for m in _WORD_EDGE.finditer(text)]
@@ -202,26 +296,44 @@ class Mender:
                         if self.plausible(whole, bits):
                             yield whole, f"{read}>{written}@{a}-{b}", STEP_COST + CUT_COST
 
+    def pays(self, text: str, back: str, price: int) -> bool:
+        """Whether the words that differ pay on their own: one letter is less than the chance in the size of a whole frame."""
+        old, new = text.split(), back.split()
+        while old and new and old[0] == new[0]:
+            del old[0], new[0]
+        while old and new and old[-1] == new[-1]:
+            del old[-1], new[-1]
+        return self.cost(" ".join(new)) + price < self.cost(" ".join(old))
+
     def plausible(self, text: str, bits: float) -> bool:
-        return self.bits(text) < bits - 4 and len(_MIXED.findall(text)) <= 4
+        get = self.profiles.chars.get
+        if sum([get(c, RARE_BITS) for c in _HIGH.findall(text)]) >= bits - LEAST_GAIN:
+            return False
+        return self.bits(text) < bits - LEAST_GAIN and len(_MIXED.findall(text)) <= 4
 
     def cost(self, text: str) -> float:
         """Bytes under the best dictionary; whole bytes are too coarse for one character, so order-0 bits refine them."""
+        text = text.replace("\xa0", " ")  # a fixed blank says no more than a blank
         escapes = len(self.rare.findall(text)) + 4 * len(_MIXED.findall(text))
-        return self.profiles.cost(text) + escapes + self.bits(text) * BIT_WEIGHT
+        small = lowered(text)
+        size = self.profiles.cost(text)
+        if small is not text:  # dictionaries may hold capitals too
+            data = text.encode("utf-8", "surrogatepass")
+            size = min(size, *(self.profiles.size(x, data) for x in self.profiles.languages_of(text)))
+        return size + escapes + self.bits(small) * BIT_WEIGHT
 
     def mend(self, text: str | None) -> tuple[bool, str | None, str | None]:
         """(garbled, restored text or None, chain)."""
-        if not text or not self.odd.search(text):
+        if not text or not _HIGH.search(text):
             return False, None, None
         now, chain = unicodedata.normalize("NFC", text), []
         start = now
         for _ in range(MAX_STEPS):
-            if not self.odd.search(now):
+            ranked = sorted({c: (self.bits(c) + 8 * price, c, how, price) for c, how, price in self.candidates(now)}.values())
+            if not ranked:
                 break
             base = self.cost(now)
             best = None
-            ranked = sorted({c: (self.bits(c) + 8 * price, c, how, price) for c, how, price in self.candidates(now)}.values())
             for _, text_, how, price in ranked[:12]:
                 cost = self.cost(text_) + price
                 if cost < base and (best is None or cost < best[0]):

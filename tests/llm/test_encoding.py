@@ -54,6 +54,16 @@ def test_twice_partly_and_beyond_repair(profiles):
     assert mender.mend("Le greffier a d�fendu la carte.") == (True, None, None)
 
 
+@pytest.mark.parametrize(
+    ("spoilt", "original"),
+    [("â€“ 56 â€“", "– 56 –"), ("[ MÃºsica ]", "[ Música ]"), ("ЙОЦЕОЕТ РТПЧЕТЙМ УФБТХА ВБЫОА ЧЕУОПК", "инженер проверил старую башню весной"), ("«L’architecte a rejeté l’horaire le matin, et cela a pris 288 jours.Â»", "«L’architecte a rejeté l’horaire le matin, et cela a pris 288 jours.»")],
+)
+def test_misread_text_of_everyday_characters_only(profiles, spoilt, original):
+    mender = encoding.Mender(profiles)
+    assert mender.mend(spoilt)[:2] == (True, original)
+    assert not mender.mend(original)[0]
+
+
 def test_rows_in_and_out(spark, profiles):
     rows = [(1, "Der GÃ¤rtner lobte die BrÃ¼cke.", "x"), (1, "Der GÃ¤rtner lobte die BrÃ¼cke.", "x"), (2, None, "x"), (3, "", "x"), (4, "ok " * 50_000, "x"), (5, "é" * 30_000, None)]
     df = spark.createDataFrame(rows, "row_id long, text string, restored string")
