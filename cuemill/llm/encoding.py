@@ -92,6 +92,12 @@ def _all_to_latin(charset: str) -> dict[int, str]:
     return {b: "\uffff" for b in range(128, 256)} | _to_latin(charset)
 
 
+@lru_cache(maxsize=4096)
+def _utf8_alone(char: str) -> bool:
+    """Whether the bytes of one character in some multibyte charset hold a valid UTF-8 sequence."""
+    return any(_UTF8.search(char.encode(x, "ignore")) for x in MULTIBYTE)
+
+
 @lru_cache(maxsize=64)
 def _bytes_of(text: str, charset: str) -> bytes | None:
     """The bytes of a text that lies wholly in a single-byte charset."""
@@ -191,6 +197,7 @@ class Mender:
         self.profiles = profiles
         common = "".join(re.escape(c) for c, bits in profiles.chars.items() if bits < 13.5)
         self.rare = re.compile(f"[^\x00-\x7f{common}]")
+        self.empty = min(profiles.size(x, b"") for x in profiles.all)
         self.odd = re.compile(f"{self.rare.pattern}|{_RISE.pattern}")
         self.gains = {(read, written): self.gain(read, written) for read, writings in READINGS.items() for written in writings if read not in MULTIBYTE and written not in MULTIBYTE and written != "utf-8"}
 
@@ -219,13 +226,12 @@ class Mender:
 
     def open_readings(self, text: str, bits: float) -> list[tuple[str, str]]:
         """Every reading but those that have nothing to undo or cannot make the text likelier by enough, whole or in part."""
-        if bits <= LEAST_GAIN:
-            return []
         high = _HIGH.findall(text)
         # what may go besides the characters' own bits
         more = bits - sum([self.profiles.chars.get(c, RARE_BITS) for c in high])
         single = more + sum([self.most.get(c, 0.0) for c in high]) > LEAST_GAIN
-        two = _TWO_HIGH.search(text)
+        two = _TWO_HIGH.search(text) or LOST in text
+        many = two or any(map(_utf8_alone, high))
         out = []
         for read, writings in READINGS.items():
             if read not in MULTIBYTE and _to_byte(read).keys().isdisjoint(high):
@@ -235,7 +241,10 @@ class Mender:
                 if gains is not None:
                     if single and more + sum([gains.get(c, 0.0) for c in high]) > LEAST_GAIN:
                         out.append((read, written))
-                elif read in MULTIBYTE or written != "utf-8" or two and _sequence(read).search(text):
+                elif read in MULTIBYTE:
+                    if many:
+                        out.append((read, written))
+                elif two and _sequence(read).search(text) if written == "utf-8" else two or written != "euc_jp":  # EUC-JP has no ASCII in its pairs
                     out.append((read, written))
         return out
 
@@ -256,8 +265,11 @@ class Mender:
 
     def candidates(self, text: str) -> Iterator[tuple[str, str, int]]:
         """Whole-text candidates first; parts only where those leave rare characters, or by words where there are none."""
-        bits, solved, odd = self.bits(text), False, self.odd.search(text)
+        bits, solved = self.bits(text), False
+        if bits <= LEAST_GAIN:
+            return
         readings = self.open_readings(text, bits)
+        odd = self.odd.search(text)
         for read, written in readings:
             back = _undo(text, read, written)
             if back is not None and back != text and self.plausible(back, bits) and (odd or written == "utf-8" or self.pays(text, back, STEP_COST)):
@@ -311,16 +323,21 @@ class Mender:
             return False
         return self.bits(text) < bits - LEAST_GAIN and len(_MIXED.findall(text)) <= 4
 
+    def least(self, text: str) -> float:
+        """What ``cost`` cannot fall below: all but the frame, of which only the least size is known."""
+        text = text.replace("\xa0", " ")
+        escapes = len(self.rare.findall(text)) + 4 * len(_MIXED.findall(text))
+        return self.empty + escapes + self.bits(lowered(text)) * BIT_WEIGHT
+
     def cost(self, text: str) -> float:
         """Bytes under the best dictionary; whole bytes are too coarse for one character, so order-0 bits refine them."""
+        least = self.least(text)
         text = text.replace("\xa0", " ")  # a fixed blank says no more than a blank
-        escapes = len(self.rare.findall(text)) + 4 * len(_MIXED.findall(text))
-        small = lowered(text)
         size = self.profiles.cost(text)
-        if small is not text:  # dictionaries may hold capitals too
+        if lowered(text) is not text:  # dictionaries may hold capitals too
             data = text.encode("utf-8", "surrogatepass")
             size = min(size, *(self.profiles.size(x, data) for x in self.profiles.languages_of(text)))
-        return size + escapes + self.bits(small) * BIT_WEIGHT
+        return size - self.empty + least
 
     def mend(self, text: str | None) -> tuple[bool, str | None, str | None]:
         """(garbled, restored text or None, chain)."""
@@ -329,12 +346,14 @@ class Mender:
         now, chain = unicodedata.normalize("NFC", text), []
         start = now
         for _ in range(MAX_STEPS):
-            ranked = sorted({c: (self.bits(c) + 8 * price, c, how, price) for c, how, price in self.candidates(now)}.values())
+            ranked = sorted({c: (self.least(c) + price, self.bits(c), c, how, price) for c, how, price in self.candidates(now)}.values())
             if not ranked:
                 break
             base = self.cost(now)
             best = None
-            for _, text_, how, price in ranked[:12]:
+            for bound, _, text_, how, price in ranked:
+                if bound >= (best[0] if best else base):
+                    break  # no later one can cost less
                 cost = self.cost(text_) + price
                 if cost < base and (best is None or cost < best[0]):
                     best = (cost, text_, how)

@@ -64,6 +64,16 @@ def test_misread_text_of_everyday_characters_only(profiles, spoilt, original):
     assert not mender.mend(original)[0]
 
 
+def test_every_plausible_candidate_may_win(profiles, monkeypatch):
+    mender = encoding.Mender(profiles)
+    spoilt, original = "Der GÃ¤rtner lobte die BrÃ¼cke.", "Der Gärtner lobte die Brücke."
+    decoys = [(f"Der Gzq{chr(97 + k)}xkvner lobte die Brwj{chr(97 + k)}pcke.", "decoy", 2) for k in range(20)]
+    monkeypatch.setattr(mender, "candidates", lambda text: [*decoys, (original, "right", 2)] if text == spoilt else [])
+    assert mender.mend(spoilt) == (True, original, "right")
+    costs = [(mender.least(t), mender.cost(t)) for t in [*ORIGINALS, spoilt, "VOILÀ\xa0!", "�"]]
+    assert all(least <= cost for least, cost in costs)
+
+
 def test_rows_in_and_out(spark, profiles):
     rows = [(1, "Der GÃ¤rtner lobte die BrÃ¼cke.", "x"), (1, "Der GÃ¤rtner lobte die BrÃ¼cke.", "x"), (2, None, "x"), (3, "", "x"), (4, "ok " * 50_000, "x"), (5, "é" * 30_000, None)]
     df = spark.createDataFrame(rows, "row_id long, text string, restored string")
