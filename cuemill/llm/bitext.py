@@ -13,18 +13,21 @@ The lexicon is partial: a first pass pairs what is beyond doubt, words that go t
 in these pairs over all tracks are learned as further terms, and a second pass uses both.
 
 Tracks longer than ``BLOCK`` lines are read in blocks with ``CONTEXT`` lines around them.
+As omissions let the sides drift apart, the blocks are cut along a course of the whole
+track: the longest rising row of lines that share what few lines of the track hold.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
@@ -277,15 +280,107 @@ MOVED_SCORE = 3.5
 MOVED_COVER = 0.55
 
 
-def _blocks(segments: DataFrame) -> DataFrame:
-    at, home = F.col("line") % BLOCK, F.floor(F.col("line") / BLOCK)
-    blocks = F.array_compact(F.array(home, F.when((at < CONTEXT) & (home > 0), home - 1), F.when(at >= BLOCK - CONTEXT, home + 1)))
+COURSE_LINES = 4  # a sign is held by so many lines of a side at most
+COURSE_WORDS = 12  # longest line read whole for signs of two
+
+
+def _signs(segments: DataFrame, lexicon: list[tuple[str, str]], least: int) -> DataFrame:
+    """Numbers and terms of every line, alone and in twos, as ``track, side, line, sign``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(lexicon)
+        for batch in batches:
+            out = []
+            for track, line, *sides in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for side, text in enumerate(sides):
+                    found, words = terms.read(text) if text else ((), ())
+                    own = sorted({c for c, _ in found} | {w for w, _ in words if len(w) > 4})
+                    shown = own + [f"{a} {b}" for k, a in enumerate(own[:COURSE_WORDS]) for b in own[k + 1 : COURSE_WORDS]]
+                    out += [(track, side, line, sign) for sign in shown]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], ["track", "side", "line", "sign"])
+
+    long = segments.groupBy("track").agg(F.max("line").alias("last")).where(F.col("last") >= least).select("track")
+    lines = segments.join(long, "track", "left_semi").select("track", "line", "text", "translation").distinct()
+    return lines.mapInArrow(work, "track long, side int, line long, sign string")
+
+
+def rising(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest row of points that rises on both sides."""
+    points = sorted(set(points), key=lambda p: (p[0], -p[1]))
+    ends: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for k, (_, y) in enumerate(points):
+        n = bisect_left(ends, y)
+        before.append(at[n - 1] if n else -1)
+        if n == len(ends):
+            ends.append(y)
+            at.append(k)
+        else:
+            ends[n], at[n] = y, k
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(points[k])
+        k = before[k]
+    return out[::-1]
+
+
+def _course(segments: DataFrame, lexicon: list[tuple[str, str]], block: int, context: int) -> DataFrame:
+    """Range of translation lines of each block of text lines, ``track, block, low, high``, for tracks longer than a block."""
+    signs = _signs(segments, lexicon, block)
+    own = Window.partitionBy("track", "side", "sign")
+    signs = signs.withColumn("sign", F.xxhash64("sign")).withColumn("held", F.count("*").over(own)).where(F.col("held") <= COURSE_LINES)
+    left = signs.where("side = 0").select("track", "sign", F.col("line").alias("i"))
+    right = signs.where("side = 1").select("track", "sign", F.col("line").alias("j"))
+    points = left.join(right, ["track", "sign"])
+    # chance points lie off the course: a pair of lines must share two signs or more
+    points = points.groupBy("track", "i", "j").count().where("count >= 2").select("track", "i", "j")
+    sizes = segments.groupBy("track").agg(F.max(F.when(F.col("text") != "", F.col("line"))).alias("n"), F.max(F.when(F.col("translation") != "", F.col("line"))).alias("m")).where(F.greatest("n", "m") >= block)
+    ends = sizes.select("track", F.lit(-1).cast("long").alias("i"), F.coalesce("n", F.lit(0)).alias("j")).unionAll(sizes.select("track", F.lit(-2).cast("long").alias("i"), F.coalesce("m", F.lit(0)).alias("j")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        track = None
+
+        def ranges() -> pa.RecordBatch:
+            n, m = (max([j for _, i, j in rows if i == which], default=0) for which in (-1, -2))
+            way = rising([(i, j) for _, i, j in rows if i >= 0])
+            xs, ys = [-1.0, *(p[0] for p in way), n + 1.0], [-1.0, *(p[1] for p in way), m + 1.0]
+            firsts = np.arange(0, n + 1, block)
+            low = np.floor(np.interp(firsts, xs, ys)).astype(int) - context
+            high = np.ceil(np.interp(np.minimum(firsts + block, n + 1), xs, ys)).astype(int) + context
+            low[0], high[-1] = 0, max(m, high[-1])
+            return pa.RecordBatch.from_arrays([pa.array([track] * len(firsts), pa.int64()), pa.array(firsts // block, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["track", "block", "low", "high"])
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and r[0] != track:
+                    yield ranges()
+                    rows = []
+                track = r[0]
+                rows.append(r)
+        if rows:
+            yield ranges()
+
+    return points.unionAll(ends).repartition("track").sortWithinPartitions("track", "i", "j").mapInArrow(work, "track long, block long, low long, high long")
+
+
+def _blocks(segments: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
     clean = segments.where("track_id is not null and line_number is not null").select(
         F.col("track_id").cast("long").alias("track"), F.col("line_number").cast("long").alias("line"), "seg_id", "translation_id", "text", "translation"
     )
-    return clean.select("track", F.explode(blocks).alias("block"), "line", "seg_id", "translation_id", "text", "translation").repartition("track", "block").sortWithinPartitions(
-        "track", "block", "line", "seg_id"
-    )
+    at, home = F.col("line") % BLOCK, F.floor(F.col("line") / BLOCK)
+    blocks = F.array_compact(F.array(home, F.when((at < CONTEXT) & (home > 0), home - 1), F.when(at >= BLOCK - CONTEXT, home + 1)))
+    ranges = _course(clean, lexicon, BLOCK, CONTEXT)
+    none = F.lit(None).cast
+    left = clean.select("track", F.explode(blocks).alias("block"), "line", "seg_id", none("long").alias("translation_id"), "text", none("string").alias("translation"))
+    right = clean.select("track", "line", none("long").alias("seg_id"), "translation_id", none("string").alias("text"), "translation")
+    # tracks of one block have no course and need none
+    mine = ranges.groupBy("track").agg(F.collect_list(F.struct("block", "low", "high")).alias("ranges"))
+    there = F.transform(F.filter("ranges", lambda x: (F.col("line") >= x["low"]) & (F.col("line") <= x["high"])), lambda x: x["block"])
+    right = right.join(mine, "track", "left").select("track", F.explode(F.when(F.col("ranges").isNull(), F.array(F.lit(0).cast("long"))).otherwise(there)).alias("block"), "line", "seg_id", "translation_id", "text", "translation")
+    return left.unionByName(right).repartition("track", "block").sortWithinPartitions("track", "block", "line", "seg_id", "translation_id")
 
 
 def _per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -347,7 +442,7 @@ def learn(segments: DataFrame, lexicon: list[tuple[str, str]]) -> dict[str, dict
                 yield flush()
         yield flush()
 
-    counts = _blocks(segments).mapInArrow(work, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TOGETHER)
+    counts = _blocks(segments, lexicon).mapInArrow(work, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TOGETHER)
     counts = counts.persist()
     total = counts.where("b = ''").agg(F.sum("n")).first()[0] or 0
     left = counts.where("b = ''").select("a", F.col("n").alias("na"))
@@ -409,4 +504,4 @@ def align(segments: DataFrame, lexicon: DataFrame) -> DataFrame:
                 ["seg_id", "translation_id", "score", "cover"],
             )
 
-    return _blocks(segments).mapInArrow(work, "seg_id long, translation_id long, score double, cover double")
+    return _blocks(segments, terms_rows).mapInArrow(work, "seg_id long, translation_id long, score double, cover double")

@@ -53,6 +53,13 @@ def test_blocks_find_the_same(spark, monkeypatch):
     assert len(got & truth) >= 0.9 * len(truth) and len(got & truth) >= 0.9 * len(got)
 
 
+def test_sides_that_drift_apart(spark, monkeypatch):
+    rows, truth = corpus(3, tracks=1, lines=700)
+    monkeypatch.setattr(B, "BLOCK", 128)
+    got = {(r.seg_id, r.translation_id) for r in B.align(*frames(spark, rows)).collect()}
+    assert len(got & truth) >= 0.9 * len(truth) and len(got & truth) >= 0.9 * len(got)
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(1, 0, 1, "the mayor praised the bridge 5.", 2, "der Bürgermeister lobte die Brücke 5."), (1, 0, 3, "the mayor praised the bridge 5.", 2, "der Bürgermeister lobte die Brücke 5."), (1, 1, 4, None, None, None), (1, 2, 5, "", None, None), (None, 3, 6, "x", 7, "y"), (2, 0, 8, "the baker", None, None)]
     got = {(r.seg_id, r.translation_id) for r in B.align(*frames(spark, rows)).collect()}
