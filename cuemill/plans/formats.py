@@ -20,12 +20,18 @@ PRECISION = {
 ONE_LINE = {"csv", "tsv", "aud", "txt", "textgrid", "avid_ds", "audition_csv", "lrc"}
 
 
-def cues_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every position of every track with usable times and text without blank ends, as ``doc_id, cue_idx, ...``."""
+def positions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every position of every track with usable times and text, its text as delivered."""
     cues = table(spark, sf_dir, "supervisions", "track_id", "cue_idx", "row_id", "start", "duration", "text", "speaker")
     first = Window.partitionBy("track_id", "cue_idx").orderBy("row_id")
-    kept = cues.withColumn("nth", F.row_number().over(first)).where("nth = 1 and start >= 0 and duration >= 0.1 and length(trim(text)) > 0")
-    return kept.select(F.col("track_id").alias("doc_id"), "cue_idx", "start", "duration", F.regexp_replace("text", "[^\\x{20}-\\x{FFFD}\\n]|[\\x{7F}-\\x{9F}\\x{A0}\\x{3000}\\x{AD}]|[|{}\\\\]", " ").alias("text"), "speaker")
+    kept = cues.withColumn("nth", F.row_number().over(first)).where("nth = 1 and start >= 0 and duration > 0 and length(trim(text)) > 0")
+    return kept.select(F.col("track_id").alias("doc_id"), "cue_idx", "start", "duration", "text", "speaker")
+
+
+def cues_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every position of every track with usable times and text without blank ends, as ``doc_id, cue_idx, ...``."""
+    kept = positions_of(spark, sf_dir).where("duration >= 0.1")
+    return kept.select("doc_id", "cue_idx", "start", "duration", F.regexp_replace("text", "[^\\x{20}-\\x{FFFD}\\n]|[\\x{7F}-\\x{9F}\\x{A0}\\x{3000}\\x{AD}]|[|{}\\\\]", " ").alias("text"), "speaker")
 
 
 def _written(fmt: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -9,7 +9,7 @@ from cuemill.functions import color
 from cuemill.functions import text as T
 from cuemill.operators import segments, words
 from cuemill.plans.analysis import _SQUASH, _WORDS
-from cuemill.plans.formats import _SOURCE, cues_of
+from cuemill.plans.formats import _SOURCE, cues_of, positions_of
 from cuemill.plans.timing import _CUES, _cues
 from cuemill.session import table
 from cuemill.sources import document_formats, text_formats
@@ -122,8 +122,7 @@ def xp08_has_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _word_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = segments.with_even_words(cues_of(spark, sf_dir).where("not contains(text, '<') and not contains(text, '>') and not contains(text, '&')"))
-    return cues.where("duration >= 0.02 * size(words)")
+    return segments.with_even_words(positions_of(spark, sf_dir))
 
 
 @query(None)
@@ -147,7 +146,8 @@ def k06_word_ass_written(spark: SparkSession, sf_dir: str) -> DataFrame:
  select doc_id, cast(round_even(1000 * "start", 0) as bigint) first, cast(len(ws) as bigint) as "words", array_to_string(ws, ' ') said from k"""
 )
 def r03_word_vtt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word-level documents of all cues of two words or more, read back with their words."""
-    cues = _word_documents(spark, sf_dir).where("size(words) > 1")
+    """Word-level documents of the cues its SQL names, read back with their words."""
+    plain = cues_of(spark, sf_dir).where("not contains(text, '<') and not contains(text, '>') and not contains(text, '&')")
+    cues = segments.with_even_words(plain).where("size(words) > 1 and duration >= 0.02 * size(words)")
     back = document_formats.read_word_vtt(text_formats.write_word_vtt(cues))
     return back.select("doc_id", F.rint(F.col("start") * 1000).cast("long").alias("first"), F.size("words").cast("long").alias("words"), F.col("text").alias("said"))

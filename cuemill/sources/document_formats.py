@@ -227,6 +227,11 @@ _WORD_STAMP = re.compile(r"<((?:\d+:)?\d+:\d+\.\d+)>")
 ECHO = 0.010
 
 
+def _plain(text: str) -> str:
+    """The three escapes of WebVTT text undone."""
+    return text.replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&")
+
+
 def rolling_words(content: str) -> list[tuple[float, float, str | None, str, list[tuple[str, float, float]]]]:
     """Cues of a rolling word-level document.
 
@@ -250,7 +255,7 @@ def rolling_words(content: str) -> list[tuple[float, float, str | None, str, lis
             if abs(end - start - ECHO) < 0.001:
                 after_echo = end
             elif after_echo is not None and abs(start - after_echo) < 0.001 and out and len(lines) > 1:
-                tail = re.sub(r"<[^>]*>", "", lines[-1]).strip()
+                tail = _plain(re.sub(r"<[^>]*>", "", lines[-1]).strip())
                 first, length, who, said, words = out[-1]
                 out[-1] = (first, length, who, f"{said} {tail}", [*words, (tail, first + length, ECHO)])
             continue
@@ -264,7 +269,7 @@ def rolling_words(content: str) -> list[tuple[float, float, str | None, str, lis
             if m:
                 speaker, symbol = ">>", m[1]
             if symbol:
-                words.append([symbol, now])
+                words.append([_plain(symbol), now])
         timed = [(s, t, max(0.01, (words[k + 1][1] if k + 1 < len(words) else end) - t)) for k, (s, t) in enumerate(words)]
         if timed:
             out.append((start, end - start, speaker, " ".join(s for s, _, _ in timed), timed))

@@ -385,10 +385,11 @@ def write_textgrid(cues: DataFrame, speakers: bool = True) -> DataFrame:
 
 
 def write_word_vtt(cues: DataFrame) -> DataFrame:
-    """WebVTT with a stamp in front of every word but the first; the cue spans its words."""
+    """WebVTT with a stamp in front of every word but the first; the cue spans its words, marks of markup are escaped."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     first, last = F.get("words", F.lit(0)), F.element_at("words", -1)
     timed = cues.where("size(words) > 0").withColumns({"start": first["start"], "duration": last["start"] + last["duration"] - first["start"]})
-    tagged = F.concat(first["symbol"], F.array_join(F.transform(F.slice("words", 2, 1_000_000), lambda w: F.concat(F.lit("<"), K.vtt_stamp(w["start"]), F.lit("><c> "), w["symbol"], F.lit("</c>"))), ""))
+    tagged = F.concat(safe(first["symbol"]), F.array_join(F.transform(F.slice("words", 2, 1_000_000), lambda w: F.concat(F.lit("<"), K.vtt_stamp(w["start"]), F.lit("><c> "), safe(w["symbol"]), F.lit("</c>"))), ""))
     return gathered(timed, F.concat(K.vtt_stamp(F.col("start")), F.lit(" --> "), K.vtt_stamp(_end()), F.lit("\n"), tagged), "\n\n", head="WEBVTT\nKind: captions\n\n", tail="\n")
 
 
@@ -399,7 +400,9 @@ def write_word_lrc(cues: DataFrame) -> DataFrame:
 
 
 def write_word_ass(cues: DataFrame) -> DataFrame:
-    """Karaoke events."""
+    """Karaoke events; braces are escaped, and a word joiner keeps a backslash from being read with the letter behind it."""
     from cuemill.operators.words import karaoke_text
 
-    return write_ass(cues.where("size(words) > 0").withColumn("text", karaoke_text(F.col("words"))))
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\u2060")), F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}"))
+    words = F.transform("words", lambda w: w.withField("symbol", safe(w["symbol"])))
+    return write_ass(cues.where("size(words) > 0").withColumn("text", karaoke_text(words)))

@@ -12,8 +12,8 @@ import __spark_entry__ as entry
 from cuemill.functions import text, timecode
 from cuemill import config
 from cuemill.operators import pipelines, segments, timing, words
-from cuemill.plans import collect
-from cuemill.sources import document_formats, registry
+from cuemill.plans import collect, wordlevel
+from cuemill.sources import document_formats, registry, text_formats
 
 QUERIES, ORACLES = collect()
 
@@ -183,6 +183,22 @@ tail
     ]
 
 
+def test_word_documents_hold_every_cue(spark, data):
+    said = "Tom & <i>Jerry</i> &amp; {\\N} -->"
+    cue = spark.createDataFrame([(1, 0, 1.0, 0.07, said, None)], "doc_id long, cue_idx int, start double, duration double, text string, speaker string")
+    worded = segments.with_even_words(cue)
+    back = document_formats.read_word_vtt(text_formats.write_word_vtt(worded)).collect()
+    assert [r.text for r in back] == [said] and [w.symbol for w in back[0].words] == said.split()
+    ass = text_formats.write_word_ass(worded).first().content
+    assert ass.count("\\kf") == 6 and "\\{\\\u2060N\\}" in ass
+    cues = wordlevel._word_documents(spark, data)
+    expected = spark.read.parquet(f"{data}/supervisions.parquet").where("start >= 0 and duration > 0 and length(trim(text)) > 0")
+    first = spark.read.parquet(f"{data}/supervisions.parquet").groupBy("track_id", "cue_idx").agg({"row_id": "min"}).withColumnRenamed("min(row_id)", "row_id")
+    assert cues.count() == expected.join(first, "row_id", "left_semi").count()
+    written = text_formats.write_word_vtt(cues).selectExpr("sum(size(split(content, ' --> ')) - 1) AS n").first().n
+    assert written == cues.where("size(words) > 0").count()
+
+
 def test_options_are_checked():
     config.StandardizationConfig(), config.VTTConfig("center"), config.FrameRate(29.97, True), config.RenderConfig()
     for wrong in (lambda: config.StandardizationConfig(min_duration=0), lambda: config.StandardizationConfig(margin_collision_mode="x"), lambda: config.VTTConfig("middle"), lambda: config.FrameRate(25, True)):
