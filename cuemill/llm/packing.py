@@ -24,7 +24,6 @@ from cuemill.session import cut
 
 SHARD_BINS = 3000
 FULL = 0.97
-LOOK = 24
 
 
 @dataclass(frozen=True)
@@ -49,17 +48,18 @@ def best_fit(items: list[tuple[int, int]], cap: Capacity) -> list[list[int]]:
         cost = float(size) * size
         best = None
         at = bisect_left(order, (size, -1))
-        looked = 0
         while at < len(order):
             left, b = order[at]
+            if best is not None:
+                # what this and every later container leaves at least: tokens, and attention, of which no more is spent than tokens used squared
+                spare = max(0.0, cap.attention - float(cap.tokens - left) ** 2 - cost)
+                if wt * ((left - size) / cap.tokens) ** 2 + wa * (spare / cap.attention) ** 2 > best[0] + 1e-12:
+                    break
             bin_ = bins[b]
             if bin_[1] >= 1 and bin_[2] >= cost:
                 norm = wt * ((left - size) / cap.tokens) ** 2 + wd * ((bin_[1] - 1) / cap.documents) ** 2 + wa * ((bin_[2] - cost) / cap.attention) ** 2
                 if best is None or norm < best[0]:
                     best = (norm, at, b)
-                looked += 1
-                if looked >= LOOK:
-                    break
             at += 1
         if best is None:
             bins.append([cap.tokens - size, cap.documents - 1, cap.attention - cost, [number]])

@@ -53,6 +53,28 @@ def test_best_fit_prefers_the_least_rest():
     assert packing.best_fit([(0, 5), (1, 5)], Capacity(10, 9, 30.0)) == [[0], [1]]
 
 
+def test_best_fit_looks_at_every_container_that_may_be_best():
+    # many containers with a little less room, but only the last one has documents already
+    items = [(k, 90) for k in range(30)] + [(30, 45), (31, 44), (32, 5)]
+    assert [30, 31, 32] in packing.best_fit(items, Capacity(100, 50, 1e4, (1.0, 0.1, 0.0)))
+
+
+def test_best_fit_equals_a_search_of_all_containers():
+    rng = random.Random(6)
+    for cap in (Capacity(200, 6, 2e4), Capacity(200, 50, 4e4), Capacity(200, 9, 3e4, (0.2, 1.0, 0.5))):
+        items = [(k, rng.randrange(1, 160)) for k in range(400)]
+        bins, (wt, wd, wa) = [], cap.weights
+        for k, size in sorted(items, key=lambda x: (-x[1], x[0])):
+            open_ = [b for b in bins if b[0] >= size and b[1] >= 1 and b[2] >= size * size]
+            norm = lambda b, size=size: wt * ((b[0] - size) / cap.tokens) ** 2 + wd * ((b[1] - 1) / cap.documents) ** 2 + wa * ((b[2] - size * size) / cap.attention) ** 2
+            best = min(open_, key=lambda b: (norm(b), b[0], bins.index(b)), default=None)
+            if best is None:
+                bins.append(best := [cap.tokens, cap.documents, cap.attention, []])
+            best[0], best[1], best[2] = best[0] - size, best[1] - 1, best[2] - size * size
+            best[3].append(k)
+        assert packing.best_fit(items, cap) == [b[3] for b in bins]
+
+
 TARGETS = [("a", 0.5, 1), ("b", 0.3, 4), ("c", 0.2, 2), ("none", 0.1, 1)]
 
 
