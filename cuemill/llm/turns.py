@@ -249,7 +249,7 @@ def _swept(named: DataFrame) -> DataFrame:
 def _fresh(before, now):
     """What a line adds to the one before it: the longest suffix of whole words it repeats is dropped."""
     words, last = F.split(now, " "), F.split(before, " ")
-    sizes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(words), F.size(last), F.lit(40))))
+    sizes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(words), F.size(last))))
     shared = F.filter(sizes, lambda k: (k >= 3) & (F.slice(words, F.lit(1), k) == F.slice(last, F.size(last) - k + 1, k)))
     overlap = F.coalesce(F.array_max(shared), F.lit(0))
     return F.when(before.isNull() | (before == ""), now).otherwise(F.array_join(F.slice(words, overlap + 1, F.greatest(F.size(words) - overlap, F.lit(0))), " "))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cuemill.llm import turns as T
 
 PEOPLE = [(1, "Ann Griburest", "Ann", "Griburest", "Farm Bloc"), (2, "Bo Quiladör", "Bo", "Quiladör", "Civic Union"), (3, "Cleo Kedigar", "Cleo", "Kedigar", "Farm Bloc"), (4, "Dora Kedigar", "Dora", "Kedigar", "Green Dyke")]
@@ -66,3 +68,9 @@ def test_one_of_two_namesakes_by_the_track(spark):
 def test_empty(spark):
     assert found(spark, [(1, 0, False, 0.0, 1.0, "x", None)]).count() == 0
     assert T.turns(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "speaker_id long, full_name string, given_name string, surname string, party string")).count() == 0
+
+
+def test_overlaps_of_any_length_are_dropped(spark):
+    shown = [f"w{k}" for k in range(120)]
+    df = spark.createDataFrame([(" ".join(shown[:90]), " ".join(shown[10:]))], "before string, now string")
+    assert df.select(T._fresh(F.col("before"), F.col("now")).alias("x")).first().x == " ".join(shown[90:])
