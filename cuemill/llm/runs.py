@@ -91,6 +91,8 @@ def slips(a: str, b: str) -> list[tuple[str, str, int]] | None:
         if p == q:
             continue
         d = distance(p, q)
+        if d == 2 and ("ss" in p or "ss" in q):
+            d = min(d, distance(p.replace("ss", "ß"), q.replace("ss", "ß")))  # one letter before folding
         if d > 2 or not p.isalpha() or not q.isalpha() or not (_ALPHABETIC.search(p) and _ALPHABETIC.search(q)) or min(len(p), len(q)) < 3:
             return None
         found.append((p, q, d))
@@ -99,6 +101,17 @@ def slips(a: str, b: str) -> list[tuple[str, str, int]] | None:
     return found
 
 
+def thirds(a: str, b: str) -> set[str]:
+    """Other words one edit away from both, of the letters of both: what both may be slips of."""
+    letters = {*a, *b}
+    splits = [(a[:k], a[k:]) for k in range(len(a) + 1)]
+    near = {x + y[1:] for x, y in splits if y}
+    near |= {x + y[1] + y[0] + y[2:] for x, y in splits if len(y) > 1}
+    near |= {x + c + y for x, y in splits for c in letters}
+    near |= {x + c + y[1:] for x, y in splits if y for c in letters}
+    return {w for w in near - {a, b} if distance(w, b, 1) <= 1}
+
+
 def _reduced(events: DataFrame, track: str, position: str, text: str) -> DataFrame:
     schema = f"track long, position long, first double, last double, words string"
 
@@ -131,7 +144,7 @@ def _pairs(reduced: DataFrame) -> DataFrame:
     near = (
         follows
         & (F.abs(F.length("words") - F.length("before")) <= 2)
-        & (F.substring_index("words", " ", 1000).rlike("[a-zа-я]"))
+        & (F.col("words").rlike("[a-zа-я]"))
         & (F.levenshtein("words", "before", 4) >= 0)
     )
     return once.select(
@@ -142,28 +155,40 @@ def _pairs(reduced: DataFrame) -> DataFrame:
 
 
 def _slipped(pairs: DataFrame) -> DataFrame:
-    """Events that differ from their predecessor by a slip of the typist only: judged by how common the words are."""
-
-    @F.udf("array<struct<a:string,b:string,d:int>>")
-    def apart(a: str, b: str):
-        return slips(a, b)
-
-    found = (
-        pairs.where("before is not null")
-        .select("track", "position", apart("before", "words").alias("x"))
-        .where("x is not null")
-        .select("track", "position", F.posexplode("x").alias("nth", "x"))
-        .select("track", "position", "nth", "x.a", "x.b", "x.d")
-    )
+    """Events that differ from their predecessor by slips of the typist only.
+
+    A word is a slip of another one edit away if it is at most ``SLIP_SHARE`` times as
+    common; two words are slips of a third, one edit away from both, if both are.  Only
+    such ratios count, so a corpus of any size judges alike.
+    """
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for track, position, before, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += [(track, position, a, b, d) for a, b, d in slips(before, words) or ()]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["track", "position", "a", "b", "d"])
+
+    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(a, b, w) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in sorted(thirds(a, b))]
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["a", "b", "word"])
+
+    found = pairs.where("before is not null").select("track", "position", "before", "words").mapInArrow(apart, "track long, position long, a string, b string, d int")
     counts = pairs.select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counted = (
-        found.join(counts.withColumnsRenamed({"word": "a", "n": "na"}), "a").join(counts.withColumnsRenamed({"word": "b", "n": "nb"}), "b")
-    )
+    counted = found.join(counts.withColumnsRenamed({"word": "a", "n": "na"}), "a").join(counts.withColumnsRenamed({"word": "b", "n": "nb"}), "b")
     low, high = F.least("na", "nb"), F.greatest("na", "nb")
-    rare = (low <= SLIP_SHARE * high) | (low < 4)
-    one = (F.col("d") == 1) & rare
-    both = (F.col("d") == 2) & (high < 40)  # either word is a slip of a third
-    judged = counted.select("track", "position", (one | both).alias("ok"), F.when(F.col("na") < F.col("nb"), "a").otherwise("b").alias("side"), "d")
+    counted = cut(counted.withColumn("high", high).withColumn("clear", (F.col("d") == 1) & (low <= SLIP_SHARE * high)))
+    sources = counted.where("not clear").select("a", "b").distinct().mapInArrow(third, "a string, b string, word string")
+    common = sources.join(counts, "word").groupBy("a", "b").agg(F.max("n").alias("n"))
+    judged = counted.join(common, ["a", "b"], "left").select(
+        "track", "position",
+        (F.col("clear") | F.coalesce(F.col("high") <= SLIP_SHARE * F.col("n"), F.lit(False))).alias("ok"),
+        F.when(F.col("na") < F.col("nb"), "a").otherwise("b").alias("side"),
+    )
     return (
         judged.groupBy("track", "position")
         .agg(F.min("ok").alias("ok"), F.count("*").alias("n"), F.count_distinct("side").alias("sides"))

@@ -60,3 +60,19 @@ def test_nulls_empty_and_clashing_columns(spark):
 
 def test_distance():
     assert [runs.distance(*p) for p in (("abc", "abc"), ("abc", "acb"), ("abc", "ab"), ("abc", "xyz"), ("a", "abcd"))] == [0, 1, 1, 3, 3]
+
+
+def test_verdicts_do_not_depend_on_the_size_of_the_corpus(spark):
+    common = [(2, k, float(k), 1.0, f"The harbour and the mayor, {k}.") for k in range(40)]
+    rows = common + [
+        (1, 0, 0.0, 1.0, "A harbour was seen."), (1, 1, 1.0, 1.0, "A harbuor was seen."), (1, 2, 2.0, 1.0, "A hrabour was seen."),
+        (1, 3, 3.0, 1.0, "Zedrik left."), (1, 4, 4.0, 1.0, "Zedrok left."), (1, 5, 5.0, 1.0, "A grosser man."), (1, 6, 6.0, 1.0, "A harbur man."), (1, 7, 7.0, 1.0, "A habour man."),
+    ]
+    for times in (1, 20, 100):
+        copies = [(track + 10 * k, *r) for k in range(times) for track, *r in rows]
+        assert [x[1:] for x in found(spark, copies) if x[0] % 10 == 1] == [(0, 2), (6, 7)] * times
+
+
+def test_thirds_are_one_edit_from_both():
+    assert "harbour" in runs.thirds("harbuor", "hrabour") and "harbour" in runs.thirds("harbur", "habour") and "bridge" in runs.thirds("brdge", "brdige")
+    assert runs.slips("mit groer eile", "mit grosser eile") == [("groer", "grosser", 1)]
