@@ -9,13 +9,17 @@ it also stands at sentence ends (as in "etc."), which words are ordinary ones.
 bring terminators of their own; documents without any end mark are split at their blanks.
 
 Documents longer than ``BLOCK`` cues are read in blocks of that many cues with
-``CONTEXT`` cues of context on both sides, so no document is ever one unbounded task.
+``CONTEXT`` cues of context on both sides, so no document is ever one unbounded task;
+what the whole document shows of a word is joined to each of its blocks.  Neither these
+facts nor the corpus's ever pass through the driver: each block gets the words it asks
+for by a join.  All verdicts on the corpus are ratios of counts.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 2048
-CONTEXT = 4
-LEAST_SHARE = 1e-5
-QUOTE_REACH = 400
+CONTEXT = 64
+SMALL_SHARE = 0.02  # of a word's occurrences: followed by a small letter in spite of a period
+START_SHARE = 0.1  # of a word's periods: followed by an ordinary word in capitals
+LOWER_SHARE = 0.05  # of a word's occurrences: in small letters
 
 # End marks by script, closing and opening marks.
 FULL_STOPS = "。！？｡।॥؟۔።"
@@ -37,36 +42,45 @@ PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』",
 
 _TOKEN = re.compile(r"[^\W_]+(?:[ऀ-ःऺ-ॏ̀-ͯ][^\W_]*)*(?:[.’'-][^\W_]+[ऀ-ःऺ-ॏ]*)*(\.?)")
 _END = re.compile(r"(?:\.{2,}|…+|[.!?。！？｡।॥؟۔።]|(?<=\s)\|(?=\s|$))[!?！？]*")
-_WORD_BEFORE = re.compile(r"([^\s“”„«»\"(（「『¿¡—]*?)$")
-_SPACE = re.compile(r"\s")
+_NO_WORD = frozenset("“”„«»\"(（「『¿¡—")
+_SKIPPED = re.compile(r"[\s\-–♪>]*")
+_BLANKS = re.compile(r"\s*")
+_FOLLOWER = re.compile(r"[^\W_]*\.?")
+_ASKED = re.compile(r"([^\s“”„«»\"(（「『¿¡—.-]+)\.|\.\W*(?=([^\W_]+))")
+_FIRST = re.compile(r"[^\W_]+")
 
 
 @dataclass
 class Corpus:
-    """Counts over all documents, reduced to what can decide something."""
+    """What corpus and whole document show of the words one block asks for."""
 
     abbreviations: set[str] = field(default_factory=set)
     enders: set[str] = field(default_factory=set)
     ordinary: set[str] = field(default_factory=set)
+    abbreviated: set[str] = field(default_factory=set)
+    plain: set[str] = field(default_factory=set)
+    lower: set[str] = field(default_factory=set)
+    marked: bool = False
+
+
+# Bits of the facts joined to a block, in the order of Corpus.
+_ABBREVIATION, _ENDER, _ORDINARY, _SMALL, _PLAIN, _LOWER, _MARKED = (1 << k for k in range(7))
 
 
 def _cased(ch: str) -> bool:
     return ch.lower() != ch.upper()
 
 
-def _kind(rest: str) -> tuple[str, str]:
-    """Kind of what follows: e(nd) l(ower) u(pper) d(igit) o(pening) c(aseless) p(unctuation), and the word."""
-    i, quoted = 0, False
-    while i < len(rest) and (rest[i].isspace() or rest[i] in "-–♪>"):
-        i += 1
-    while i < len(rest) and rest[i] in OPENERS:
-        i, quoted = i + 1, True
-        while i < len(rest) and rest[i].isspace():
-            i += 1
-    if i >= len(rest):
+def _kind(text: str, i: int) -> tuple[str, str]:
+    """Kind of what follows position ``i``: e(nd) l(ower) u(pper) d(igit) o(pening) c(aseless) p(unctuation), and the word."""
+    quoted = False
+    i = _SKIPPED.match(text, i).end()
+    while i < len(text) and text[i] in OPENERS:
+        i, quoted = _BLANKS.match(text, i + 1).end(), True
+    if i >= len(text):
         return "e", ""
-    ch = rest[i]
-    word = re.match(r"[^\W_]*\.?", rest[i:]).group()
+    ch = text[i]
+    word = _FOLLOWER.match(text, i).group()
     if ch.isdigit():
         return ("o" if quoted else "d"), word
     if not ch.isalpha():
@@ -86,7 +100,7 @@ def evidence(text: str) -> Iterator[tuple[str, str, str]]:
         if not dotted:
             yield "plain", word.lower(), ""
             if word[0].islower():
-                yield "lower", word, ""
+                yield "lower", word.lower(), ""
             continue
         if nxt is None or nxt.start() - m.end() > 2 or not text[m.end() : nxt.start()].isspace():
             continue
@@ -125,40 +139,29 @@ def corpus_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return facts.groupBy("what", "word", "follower").agg(F.sum("n").alias("n"))
 
 
-def corpus(texts: DataFrame, text: str = "text", least_share: float = LEAST_SHARE) -> Corpus:
-    """Abbreviations, those that end sentences, and ordinary words.
+def corpus(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``word, flags`` of abbreviations, those that end sentences too, and ordinary words.
 
-    Each kept word has at least ``least_share`` of all its kind's occurrences (and two),
-    so no more than 1 / ``least_share`` words of a kind are ever sent to the driver.
+    A word is ordinary if a stated share of it is in small letters; an abbreviation if its
+    period stands before small letters, or before numbers or several capitalised words that
+    almost never begin sentences, unless it mostly stands without period and before no numbers.
     """
-    counts = corpus_counts(texts, text).persist()
-    total = counts.where("what = 'plain'").agg(F.sum("n")).first()[0] or 0
-    least = max(2.0, least_share * total)
-    ordinary = {r[0] for r in counts.where("what = 'lower'").where(F.col("n") >= least).select("word").collect()}
+    counts = corpus_counts(texts, text)
     by_word = counts.groupBy("word").agg(
-        *(F.sum(F.when(F.col("what") == w, F.col("n")).otherwise(0)).alias(w) for w in ("plain", "small", "number", "big"))
+        *(F.sum(F.when(F.col("what") == w, F.col("n")).otherwise(0)).alias(w) for w in ("plain", "lower", "small", "number", "big")),
+        F.sum(F.when(F.col("what") == "big", 1).when(F.col("what") == "number", 2).otherwise(0)).alias("variety"),
     )
-    dotted = by_word.where(F.col("small") + F.col("number") + F.col("big") >= least).collect()
-    starts = {
-        r["word"]: r["n"]
-        for r in counts.where("what = 'big'")
-        .join(counts.where("what = 'lower'").select(F.col("word").alias("follower"), F.col("n").alias("times")), "follower")
-        .where(F.col("times") >= least)
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least)
-        .collect()
-    }
-    abbreviations = set()
-    for r in dotted:
-        after = r["number"] + r["big"]
-        if r["word"].isdigit():
-            continue
-        if r["small"] > 0.02 * (after + r["plain"]) or after >= least and starts.get(r["word"], 0) <= 0.1 * after:
-            abbreviations.add(r["word"])
-    enders = {w for w in starts if w in abbreviations}
-    counts.unpersist()
-    return Corpus(abbreviations, enders, ordinary)
+    usual = by_word.where(F.col("lower") > LOWER_SHARE * F.col("plain")).select(F.col("word").alias("follower"))
+    starts = counts.where("what = 'big' and follower <> ''").join(usual, "follower").groupBy("word").agg(F.sum("n").alias("starts"))
+    judged = by_word.join(starts, "word", "left").withColumn("starts", F.coalesce("starts", F.lit(0))).withColumn("after", F.col("number") + F.col("big"))
+    silent = (F.col("variety") >= 2) & (F.col("starts") <= START_SHARE * F.col("after")) & ((F.col("plain") <= F.col("after")) | (2 * F.col("number") >= F.col("after")))
+    short = ~F.col("word").rlike("^[0-9]+$") & ((F.col("small") > SMALL_SHARE * (F.col("after") + F.col("plain"))) | silent)
+    flags = (
+        F.when(short, F.lit(_ABBREVIATION)).otherwise(0)
+        + F.when(short & (F.col("starts") >= 2), F.lit(_ENDER)).otherwise(0)
+        + F.when(F.col("lower") > LOWER_SHARE * F.col("plain"), F.lit(_ORDINARY)).otherwise(0)
+    )
+    return judged.select("word", flags.alias("flags")).where("flags > 0")
 
 
 class Document:
@@ -173,9 +176,9 @@ class Document:
             self.offsets.append(at)
             at += len(c) + 1
         facts = Counter(evidence(self.text.replace("\n", " ")))
-        self.abbreviated = {w for what, w, _ in facts if what == "small"}
-        self.plain = {w for what, w, _ in facts if what == "plain"}
-        self.lower = {w for what, w, _ in facts if what == "lower"}
+        self.abbreviated = {w for what, w, _ in facts if what == "small"} | stats.abbreviated
+        self.plain = {w for what, w, _ in facts if what == "plain"} | stats.plain
+        self.lower = {w for what, w, _ in facts if what == "lower"} | stats.lower
 
     def abbreviation(self, word: str) -> bool:
         word = re.split(r"[.-]", word)[-1] or word
@@ -192,22 +195,28 @@ class Document:
         return word.lower() in self.lower or word.lower() in self.stats.ordinary
 
     def quotes(self) -> list[tuple[int, int, bool]]:
-        """(open, close, introduced by a colon) of quotations that close within reach."""
-        found, i, text = [], 0, self.text
-        while i < len(text):
-            closers = PAIRS.get(text[i])
-            if closers and not (text[i] == "“" and i and not text[i - 1].isspace() and text[i - 1] in ".!?…%)"):
-                close = min((p for p in (text.find(c, i + 1, i + QUOTE_REACH) for c in closers) if p >= 0), default=-1)
-                if close > 0:
-                    found.append((i, close, text[:i].rstrip().endswith((":", "："))))
-                    i = close
-            i += 1
+        """(open, close, introduced by a colon) of quotations that close before the next one opens and within ``CONTEXT`` cues."""
+        found, text = [], self.text
+        places = {c: [m.start() for m in re.finditer(re.escape(c), text)] for c in {*PAIRS, *"".join(PAIRS.values())}}
+
+        def after(char: str, i: int) -> int:
+            at = bisect_right(places[char], i)
+            return places[char][at] if at < len(places[char]) else len(text)
+
+        i = -1
+        while (i := min(after(c, i) for c in PAIRS)) < len(text):
+            if text[i] == "“" and i and not text[i - 1].isspace() and text[i - 1] in ".!?…%)":
+                continue
+            close = min(after(c, i) for c in PAIRS[text[i]])
+            if close < after(text[i], i) and text.count("\n", i, close) <= CONTEXT:
+                found.append((i, close, text[:i].rstrip().endswith((":", "："))))
+                i = close
         return found
 
     def ends(self) -> list[int]:
         """Positions in the text behind each sentence."""
         text = self.text
-        if not any(self.terminal(m) for m in _END.finditer(text)):
+        if not self.stats.marked and not self.marked():
             return self.unmarked()
         quotes = self.quotes()
         low = {close for _, close, _ in quotes}
@@ -238,6 +247,9 @@ class Document:
             out.append(tail)
         return out
 
+    def marked(self) -> bool:
+        return any(self.terminal(m) for m in _END.finditer(self.text))
+
     def terminal(self, m: re.Match) -> bool:
         text, mark = self.text, m.group()
         if mark[0] == ".":
@@ -250,11 +262,12 @@ class Document:
 
     def boundary(self, m: re.Match, end: int, closed: bool, inside: tuple[int, int, bool] | None, last: int) -> bool:
         text, mark = self.text, m.group()
-        kind, follower = _kind(text[end : end + 60])
+        kind, follower = _kind(text, end)
         if kind == "e":
             return True
-        nxt = text[end : end + 40].lstrip()
-        if nxt[:1] in ",;:，、—–" and not re.match(r"[–—-]\s*\S", nxt[:3]) or nxt[:1] in ",;:，、":
+        at = _BLANKS.match(text, end).end()
+        nxt = text[at : at + 3]
+        if nxt[:1] in ",;:，、":
             return False
         if closed and nxt[:1] in "—–":
             return False
@@ -267,7 +280,7 @@ class Document:
                     return False
             return kind != "l"
         # a period
-        word = _WORD_BEFORE.search(text[max(0, m.start() - 40) : m.start()].replace("\n", " ")).group(1)
+        word = self.word_before(m.start())
         lowered = word.lower()
         if kind == "l":
             return False
@@ -285,6 +298,12 @@ class Document:
             return lowered in self.stats.enders
         return self.ordinary(follower) or lowered in self.stats.enders
 
+    def word_before(self, end: int) -> str:
+        start = end
+        while start and not self.text[start - 1].isspace() and self.text[start - 1] not in _NO_WORD:
+            start -= 1
+        return self.text[start:end]
+
     def known_name(self, word: str) -> bool:
         """A word only seen in capitals, within sentences too."""
         return bool(word) and not self.ordinary(word) and word.lower() not in self.stats.abbreviations
@@ -306,25 +325,79 @@ class Document:
         return out
 
 
-def sentence_ends(cues: DataFrame, stats: Corpus, track: str = "track_id", position: str = "cue_idx", row: str = "row_id", text: str = "text") -> DataFrame:
+def _asked(spread: DataFrame) -> DataFrame:
+    """``track, block, word``: words beside periods or at the beginning of a cue, once a task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*seen, strict=True)) or [()] * 3
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["track", "block", "word"])
+
+        for batch in batches:
+            for track, block, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text:
+                    words = {w for pair in _ASKED.findall(text) for w in pair if w}
+                    if first := _FIRST.search(text):
+                        words.add(first.group())
+                    seen.update((track, block, w.lower()) for w in words)
+            if len(seen) > 200_000:
+                yield flush()
+        yield flush()
+
+    return spread.select("track", "block", "text").mapInArrow(work, "track long, block long, word string").distinct()
+
+
+def _document_facts(lines: DataFrame) -> DataFrame:
+    """``track, word, flags`` of documents longer than a block; the word of ``_MARKED`` is empty."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bit = {"small": _SMALL, "plain": _PLAIN, "lower": _LOWER}
+        for batch in batches:
+            seen: dict[tuple, int] = {}
+            for track, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = (text or "").replace("\n", " ")
+                for what, word, _ in evidence(text):
+                    if what in bit:
+                        seen[track, word] = seen.get((track, word), 0) | bit[what]
+                if Document([text], Corpus()).marked():
+                    seen[track, ""] = _MARKED
+            tracks, words = zip(*seen, strict=True) if seen else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(tracks, pa.int64()), pa.array(words, pa.string()), pa.array(list(seen.values()), pa.int32())], ["track", "word", "flags"])
+
+    long = lines.groupBy("track").agg(F.max("cue").alias("last")).where(F.col("last") >= BLOCK).select("track")
+    facts = lines.join(long, "track", "left_semi").select("track", "text").mapInArrow(work, "track long, word string, flags int")
+    return facts.groupBy("track", "word").agg(F.bit_or("flags").alias("flags"))
+
+
+def sentence_ends(cues: DataFrame, stats: DataFrame, track: str = "track_id", position: str = "cue_idx", row: str = "row_id", text: str = "text") -> DataFrame:
     """Every sentence end with the row it lies in.
 
-    ``cues`` has a track, a position, a unique long row id and a text.  Rows that agree
-    in track and position are one delivery repeated: the text counts once, the ends come
-    out for each of them.  Null and empty texts hold no end; rows without track or
-    position are ignored; further columns are ignored.  Result: row, ``end_pos``
-    (code points of the text up to the end).
+    ``cues`` has a track, a position, a unique long row id and a text; ``stats`` is the
+    result of ``corpus``.  Rows that agree in track and position are one delivery
+    repeated: the text counts once, the ends come out for each of them.  Null and empty
+    texts hold no end; rows without track or position are ignored; further columns are
+    ignored.  Result: row, ``end_pos`` (code points of the text up to the end).
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(rows: list[tuple]) -> pa.RecordBatch:
             block = rows[0][1]
             places: dict[int, tuple[str, list[int]]] = {}
-            for _, _, cue, row_id, t in rows:
-                kept = places.setdefault(cue, (t or "", []))
-                kept[1].append(row_id)
+            known = Corpus()
+            sets = list(zip((_ABBREVIATION, _ENDER, _ORDINARY, _SMALL, _PLAIN, _LOWER), (known.abbreviations, known.enders, known.ordinary, known.abbreviated, known.plain, known.lower), strict=True))
+            for _, _, cue, flags, row_id, t in rows:
+                if flags:
+                    known.marked |= bool(flags & _MARKED)
+                    for bit, words in sets:
+                        if flags & bit:
+                            words.add(t)
+                else:
+                    places.setdefault(cue, (t or "", []))[1].append(row_id)
             order = sorted(places)
-            document = Document([places[c][0] for c in order], stats)
+            document = Document([places[c][0] for c in order], known)
             ids, ends = [], []
             for i, end in document.by_cue():
                 if order[i] // BLOCK == block:
@@ -348,10 +421,19 @@ def sentence_ends(cues: DataFrame, stats: Corpus, track: str = "track_id", posit
     blocks = F.array_compact(
         F.array(home, F.when((at < CONTEXT) & (home > 0), home - 1), F.when(at >= BLOCK - CONTEXT, home + 1))
     )
-    spread = (
-        cues.select(F.col(track).cast("long").alias("track"), F.col(position).cast("long").alias("cue"), F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
-        .where("track is not null and cue is not null")
-        .select("track", F.explode(blocks).alias("block"), "cue", "row", "text")
+    lines = cues.select(F.col(track).cast("long").alias("track"), F.col(position).cast("long").alias("cue"), F.col(row).cast("long").alias("row"), F.col(text).alias("text")).where(
+        "track is not null and cue is not null"
+    )
+    spread = lines.select("track", F.explode(blocks).alias("block"), "cue", "row", "text")
+    asked = _asked(spread)
+    whole = _document_facts(lines)
+    homes = lines.select("track", home.alias("block")).distinct().join(whole.where("word = ''"), "track").select("track", "block", F.lit("").alias("word"), "flags")
+    told = (
+        asked.join(stats, "word").select("track", "block", "word", "flags")
+        .unionAll(asked.join(whole, ["track", "word"]).select("track", "block", "word", "flags"))
+        .unionAll(homes)
+        .select("track", "block", F.lit(None).cast("long").alias("cue"), "flags", F.lit(None).cast("long").alias("row"), F.col("word").alias("text"))
     )
-    ordered = spread.repartition("track", "block").sortWithinPartitions("track", "block", "cue", "row")
+    rows = spread.select("track", "block", "cue", F.lit(0).alias("flags"), "row", "text").unionAll(told)
+    ordered = rows.repartition("track", "block").sortWithinPartitions("track", "block", "cue", "row")
     return ordered.mapInArrow(work, "row long, end_pos int").withColumnRenamed("row", row)
