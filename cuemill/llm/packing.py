@@ -138,11 +138,14 @@ def pack(items: DataFrame, key: str, tokens: str, cap: Capacity, rounds: int = 3
 
 
 def containers(packed: DataFrame, cap: Capacity) -> DataFrame:
-    """Content and fill of each container."""
-    return packed.groupBy("container").agg(
+    """Content and use of each container; ``binding`` is the limit it is nearest to (tokens, documents or attention)."""
+    held = packed.groupBy("container").agg(
         F.count("*").alias("pieces"),
         F.sum("tokens").alias("tokens"),
         (F.sum("tokens") / cap.tokens).alias("fill"),
+        (F.count("*") / cap.documents).alias("documents"),
         (F.sum(F.col("tokens").cast("double") * F.col("tokens")) / cap.attention).alias("attention"),
         F.array_sort(F.collect_list(F.struct("item", "piece", "tokens"))).alias("content"),
     )
+    nearest = F.greatest("fill", "documents", F.least("attention", F.lit(1.0)))
+    return held.withColumn("binding", F.when(F.col("documents") == nearest, "documents").when(F.col("fill") == nearest, "tokens").otherwise("attention"))

@@ -18,22 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuemill.session import cut
+
 LABEL_LIMIT = 50_000
-LEAST_SHARE = 2e-6
+LEAST_SHARE = 5e-6
+RAREST = -math.log2(LEAST_SHARE)  # bits of every word of that share or less: the feature is clipped there
 GRADES = 12
 PENALTY = 1.0
+CACHE_WORDS = 400_000
 
-# Connectives that open subordinate or consequent clauses.
+# Connectives that open subordinate or consequent clauses; several words are one connective.
 CONNECTIVES = {
-    "en": "because although whereas consequently notwithstanding however therefore moreover furthermore nevertheless unless while since though hence thus provided whether which that who",
-    "de": "weil obwohl während wohingegen folglich ungeachtet jedoch daher deshalb ferner dennoch sofern indem da wenngleich somit also ob dass welche welcher wobei",
-    "fr": "car bien quoique alors conséquent nonobstant cependant donc puisque toutefois néanmoins tandis lorsque parce afin pourtant ainsi que qui dont lequel laquelle",
-    "es": "porque aunque mientras consiguiente obstante sin embargo por tanto además puesto pues siempre cuando así que quien cual cuyo",
+    "en": "because, although, whereas, consequently, notwithstanding, however, therefore, moreover, furthermore, nevertheless, unless, while, since, though, hence, thus, provided that, whether, which, that, who, in order to, as well as",
+    "de": "weil, obwohl, während, wohingegen, folglich, ungeachtet, jedoch, daher, deshalb, ferner, dennoch, sofern, indem, da, wenngleich, somit, also, ob, dass, welche, welcher, wobei, im hinblick auf",
+    "fr": "car, bien que, quoique, alors que, par conséquent, nonobstant, cependant, donc, puisque, toutefois, néanmoins, tandis que, lorsque, parce que, afin de, pourtant, ainsi que, que, qui, dont, lequel, laquelle",
+    "es": "porque, aunque, mientras que, por consiguiente, no obstante, sin embargo, por tanto, además, puesto que, pues, siempre que, cuando, así que, que, quien, cual, cuyo",
 }
-_CONNECTIVE = {k: frozenset(v.split()) for k, v in CONNECTIVES.items()}
-_ANY = frozenset().union(*_CONNECTIVE.values())
 _WORD = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
-_ASIDE = re.compile(r"\([^()\n]{1,80}\)|—[^—\n]{1,120}—")
+_ASIDE = re.compile(r"\([^()\n]*\)|—[^—\n.!?]*—")
 _SENTENCE = re.compile(r"[.!?…]+[\s”»“)]+|\n{2,}")
 _HYPHEN = re.compile(r"(\w)-\n(\w)")
 _VOWELS = re.compile(r"[aeiouyäöüáàâéèêëíîïóôúùûœæ]+")
@@ -45,69 +47,108 @@ FEATURES = (
 
 
 def words_in(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(_HYPHEN.sub(r"\1\2", text))]
-
-
-def features(text: str | None, lang: str | None, rarity: dict[str, float], worst: float) -> list[float] | None:
-    """Feature values of a whole text; None for a text without words."""
-    body = _ASIDE.sub(" ", _HYPHEN.sub(r"\1\2", text or ""))
-    sentences = [s for s in (words_in(x) for x in _SENTENCE.split(body)) if s]
-    if not sentences:
-        return None
-    words = [w for s in sentences for w in s]
-    n = len(words)
-    linking = _CONNECTIVE.get((lang or "")[:2].lower(), _ANY)
-    lengths = [len(s) for s in sentences]
-    window = [len(set(words[k : k + 50])) / min(50, n - k) for k in range(0, max(1, n - 25), 25)]
-    surprise = [rarity.get(f"{lang}:{w}", worst) for w in words]
-    links = [sum(w in linking for w in s) for s in sentences]
-    commas = body.count(",") + body.count(";")
-    return [
-        float(np.mean(window)),
-        float(np.mean(surprise)),
-        sum(x >= worst - 3 for x in surprise) / n,
-        100.0 * sum(links) / n,
-        (commas + sum(links)) / len(sentences),
-        float(np.mean(np.sort(links)[-max(1, len(links) // 4) :])),
-        float(np.mean(lengths)),
-        math.log1p(float(np.percentile(lengths, 90))),
-        sum(map(len, words)) / n,
-        sum(len(w) >= 10 for w in words) / n,
-        sum(max(1, len(_VOWELS.findall(w))) for w in words) / n,
-        math.log1p(n),
-    ]
-
-
-def word_rarity(docs: DataFrame, least_share: float = LEAST_SHARE) -> tuple[dict[str, float], float]:
-    """Bits of each word in its language over all documents, and the bits of words below ``least_share``.
-
-    At most 1 / ``least_share`` words a language have that share, so what is sent to the
-    driver is bounded; two occurrences are the least in any case.
+    return _WORD.findall(_HYPHEN.sub(r"\1\2", text).lower())
+
+
+class Reader:
+    """Features of texts of one language; what is known of a word is worked out once a task."""
+
+    def __init__(self, lang: str | None, rarity: dict[str, float]):
+        self.rarity = rarity
+        lists = [CONNECTIVES[(lang or "")[:2].lower()]] if (lang or "")[:2].lower() in CONNECTIVES else CONNECTIVES.values()
+        phrases = [p for one in lists for p in one.split(", ")]
+        self.single = frozenset(p for p in phrases if " " not in p)
+        several = sorted((p for p in phrases if " " in p), key=len, reverse=True)
+        self.several = re.compile(r"(?<!\w)(?:" + "|".join(several) + r")(?!\w)")
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.known = np.empty((1024, 5))
+
+    def learn(self, word: str) -> int:
+        k = self.number[word] = len(self.number)
+        if k == len(self.known):
+            self.known = np.concatenate((self.known, np.empty_like(self.known)))
+        # bits, connective, letters, long, syllables
+        self.known[k] = self.rarity.get(word, RAREST), word in self.single, len(word), len(word) >= 10, max(1, len(_VOWELS.findall(word)))
+        return k
+
+    def features(self, text: str | None) -> list[float] | None:
+        """Feature values of a whole text; None for a text without words."""
+        body = _ASIDE.sub(" ", _HYPHEN.sub(r"\1\2", (text or "").lower()))
+        sentences = [s for s in map(_WORD.findall, _SENTENCE.split(body)) if s]
+        if not sentences:
+            return None
+        if len(self.number) > CACHE_WORDS:
+            self.clear()
+        get = self.number.get
+        ids = np.array([k if (k := get(w)) is not None else self.learn(w) for s in sentences for w in s])
+        lengths = np.array([len(s) for s in sentences])
+        n, known = len(ids), self.known[ids]
+        ends = np.cumsum(lengths)
+        links = np.add.reduceat(known[:, 1], ends - lengths)
+        phrases = np.searchsorted(ends, self._places(body), side="right")
+        np.add.at(links, np.minimum(phrases, len(links) - 1), 1)
+        window = [len(set(ids[k : k + 50].tolist())) / min(50, n - k) for k in range(0, max(1, n - 25), 25)]
+        marks = body.count(",") + body.count(";")
+        total = float(links.sum())
+        bits, _, letters, long, syllables = known.mean(0)
+        return [
+            sum(window) / len(window),
+            bits,
+            float((known[:, 0] >= RAREST - 3).mean()),
+            100.0 * total / n,
+            (marks + total) / len(sentences),
+            float(np.sort(links)[-max(1, len(links) // 4) :].mean()),
+            float(lengths.mean()),
+            math.log1p(float(np.percentile(lengths, 90))),
+            letters,
+            long,
+            syllables,
+            math.log1p(n),
+        ]
+
+    def _places(self, body: str) -> list[int]:
+        """Numbers of the words at which connectives of several words begin."""
+        starts = [m.start() for m in self.several.finditer(body)]
+        if not starts:
+            return []
+        words = np.array([m.start() for m in _WORD.finditer(body)])
+        return np.searchsorted(words, starts).tolist()
+
+
+def word_rarity(docs: DataFrame, least_share: float = LEAST_SHARE) -> dict[str, dict[str, float]]:
+    """Bits of each word by language over all documents; words of ``least_share`` or less are left to ``RAREST``.
+
+    At most 1 / ``least_share`` words a language have more, so what is sent to the driver is bounded.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[str | None, Counter] = {}
 
-        def flush() -> pa.RecordBatch:
-            keys = list(counts)
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["word", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, own in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
             counts.clear()
-            return out
 
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.update(f"{lang}:{w}" for w in words_in(text or ""))
-            if len(counts) > 200_000:
-                yield flush()
-        yield flush()
-
-    counts = docs.select("text", "lang").mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
-    totals = {r[0]: r[1] for r in counts.groupBy(F.substring_index("word", ":", 1).alias("lang")).agg(F.sum("n")).collect()}
-    least = F.greatest(F.lit(2.0), F.coalesce(*(F.when(F.startswith("word", F.lit(f"{k}:")), F.lit(least_share * v)) for k, v in totals.items()), F.lit(0.0)))
-    kept = counts.where(F.col("n") >= least).collect()
+                if text:
+                    counts.setdefault(lang, Counter()).update(words_in(text))
+            if sum(map(len, counts.values())) > 200_000:
+                yield from flush()
+        yield from flush()
+
+    counts = docs.select("text", "lang").mapInArrow(work, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    totals = counts.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("total"))
+    share = F.col("n") / F.col("total")
+    kept = counts.join(F.broadcast(totals), F.equal_null("lang", "of")).where(share > least_share).select("lang", "word", (-F.log2(share)).alias("bits")).collect()
     counts.unpersist()
-    bits = {w: -math.log2(n / totals[w.split(":", 1)[0]]) for w, n in kept}
-    return bits, max(bits.values(), default=20.0) + 1.0
+    bits: dict[str, dict[str, float]] = {}
+    for lang, word, b in kept:
+        bits.setdefault(lang, {})[word] = b
+    return bits
 
 
 class Ordinal:
@@ -164,27 +205,35 @@ def reading_levels(docs: DataFrame, labels: DataFrame, label_limit: int = LABEL_
     each have a level.  Result: ``doc_id``, ``lang``, ``source``, ``level``, ``grade``
     (level rounded into 1..12), ``words``.
     """
-    rarity, worst = word_rarity(docs)
-    graded = labels.where("grade between 1 and 12").groupBy("doc_id").agg(F.round(F.avg("grade")).cast("int").alias("grade"))
-    sample = (
-        docs.select("doc_id", "text", "lang").dropDuplicates(["doc_id"]).join(graded, "doc_id").orderBy(F.xxhash64("doc_id")).limit(label_limit)
-    )
+    context = docs.sparkSession.sparkContext
+    rarity = context.broadcast(word_rarity(docs))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        readers: dict[str | None, Reader] = {}
         for batch in batches:
-            x = [features(t, lang, rarity, worst) for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(2)], ["x", "grade"])
-
-    rows = sample.select("text", "lang", "grade").mapInArrow(read, "x array<double>, grade int").where("x is not null").collect()
+            x = []
+            for lang, text in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if lang not in readers:
+                    readers[lang] = Reader(lang, rarity.value.get(lang, {}))
+                x.append(readers[lang].features(text))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.list_(pa.float64()))], ["doc_id", "lang", "source", "x"])
+
+    # every text is read once for all that follows; a document's features are a twelfth of its text or less
+    known = cut(docs.select("doc_id", "lang", "source", "text").mapInArrow(read, "doc_id long, lang string, source string, x array<double>"))
+    graded = labels.where("grade between 1 and 12").groupBy("doc_id").agg(F.round(F.avg("grade")).cast("int").alias("grade"))
+    there = known.where("x is not null").join(graded, "doc_id").withColumn("h", F.xxhash64("doc_id"))
+    share = min(1.0, label_limit / max(1, there.count()))
+    drawn = there.where(F.pmod("h", F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).groupBy("h", "doc_id").agg(F.first("x").alias("x"), F.first("grade").alias("grade"))
+    rows = drawn.orderBy("h", "doc_id").limit(label_limit).select("x", "grade").collect()
     model = Ordinal().fit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows])) if rows else None
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t, lang, rarity, worst) for t, lang in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            known = [k for k, f in enumerate(x) if f is not None]
+            x = batch.column(3).to_pylist()
+            there = [k for k, f in enumerate(x) if f is not None]
             level: list[float | None] = [None] * len(x)
-            if model and known:
-                for k, v in zip(known, model.level(np.array([x[k] for k in known])), strict=True):
+            if model and there:
+                for k, v in zip(there, model.level(np.array([x[k] for k in there])), strict=True):
                     level[k] = float(v)
             words = [round(math.expm1(f[-1])) if f else 0 for f in x]
             yield pa.RecordBatch.from_arrays(
@@ -192,7 +241,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, label_limit: int = LABEL_
                 ["doc_id", "lang", "source", "level", "grade", "words"],
             )
 
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(judge, "doc_id long, lang string, source string, level double, grade int, words long")
+    return known.mapInArrow(judge, "doc_id long, lang string, source string, level double, grade int, words long")
 
 
 def profile(levels: DataFrame) -> DataFrame:

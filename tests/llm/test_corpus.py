@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cuemill.llm import mixing, packing, reading, tokens
 from cuemill.llm.packing import Capacity
@@ -81,7 +82,7 @@ TARGETS = [("a", 0.5, 1), ("b", 0.3, 4), ("c", 0.2, 2), ("none", 0.1, 1)]
 def test_mixing_reaches_targets_within_the_caps(spark):
     rng = random.Random(2)
     rows = [(k, rng.choice(["a", "A ", "a", "a", "b", "c", " c"]), rng.randrange(1, 400)) for k in range(9000)] + [(9001, None, 5), (9002, "x", 5), (9003, "a", None), (9004, "b", 0)]
-    selection, shares = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, tokens long"), spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int"))
+    selection, shares, schedule = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, tokens long"), spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int"))
     got = {r.source: r for r in shares.collect()}
     assert set(got) == {"a", "b", "c", "none", "x"} and got["x"].tokens == 0 and got["none"].tokens == 0
     for s in "abc":
@@ -94,6 +95,36 @@ def test_mixing_reaches_targets_within_the_caps(spark):
         assert max(used) - min(used) <= 1
 
 
+def test_each_limit_binds_alone(spark):
+    rng = random.Random(5)
+    sizes = items(spark, [rng.randrange(20, 200) for _ in range(3000)])
+    for cap, limit in ((Capacity(1000, 1000, 1e9), "tokens"), (Capacity(1000, 4, 1e9), "documents"), (Capacity(1000, 1000, 6e4), "attention")):
+        bound = [r.binding for r in packing.containers(packing.pack(sizes, "doc_id", "tokens", cap), cap).collect()]
+        assert bound.count(limit) > 0.9 * len(bound), (limit, len(bound))
+
+
+def test_passes_take_the_blocks_in_other_orders(spark):
+    rows = [(k, "ab"[k % 3 == 0], 10) for k in range(6000)]
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 6)], "source string, target_share double, max_repeats int")
+    selection, shares, schedule = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, tokens long"), targets)
+    taken = {}
+    for r in schedule.where("source = 'b'").orderBy("pass", "position").collect():
+        taken.setdefault(r["pass"], []).append(r.block)
+    assert len(taken) == 3 and sorted(taken[1]) == sorted(taken[2]) == list(range(3)) and len({tuple(v) for v in taken.values()}) > 1
+    # every record of a source is used once a pass as often as ``times`` says
+    blocks = {(p, b) for p, own in taken.items() for b in own}
+    for r in selection.where("source = 'b'").collect():
+        assert all((p, r.block) in blocks for p in range(1, r.times + 1))
+    _, tempered, _ = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, tokens long"), targets, wanted_entropy=0.69)
+    got = {r.source: r for r in tempered.collect()}
+    assert 0 < got["a"].exponent < 1 and mixing.entropy({k: r.reached_share for k, r in got.items()}) == pytest.approx(0.69, abs=0.003)
+
+
+def test_entropy_yields_to_repeats():
+    w, a = mixing.weights_for_entropy({"a": 90.0, "b": 10.0}, {"a": 1, "b": 2}, 100.0, 0.69)
+    assert w["b"] == pytest.approx(0.2, abs=1e-6) and 0 < a < 1
+
+
 def test_exponents():
     own = {"a": 0.7, "b": 0.2, "c": 0.1}
     a = mixing.exponent_for_entropy(own, 1.0)
@@ -104,7 +135,7 @@ def test_exponents():
 
 
 def test_mixing_nothing(spark):
-    selection, shares = mixing.mix(spark.createDataFrame([], "doc_id long, source string, tokens long"), spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int"))
+    selection, shares, schedule = mixing.mix(spark.createDataFrame([], "doc_id long, source string, tokens long"), spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int"))
     assert selection.count() == 0 and {r.tokens for r in shares.collect()} == {0}
 
 
@@ -127,3 +158,19 @@ def test_reading_without_labels_words_or_rows(spark):
     levels = {r.doc_id: r.level for r in reading.reading_levels(docs, some).collect()}
     assert levels[2] is None and levels[3] is None and 1 <= levels[1] < levels[4] <= 12
     assert reading.profile(reading.reading_levels(docs.limit(0), some)).count() == 0
+
+
+def test_connectives_of_several_words_count_once():
+    reader = reading.Reader("es", {})
+    plain, linked = (reader.features(t) for t in ("El alcalde llegó sin prisa, por la noche.", "El alcalde llegó sin embargo, por tanto."))
+    at = reading.FEATURES.index("connectives")
+    assert plain[at] == 0 and linked[at] == pytest.approx(100 * 2 / 7)
+    assert reader.features("Word " * 9)[reading.FEATURES.index("rarity")] == reading.RAREST
+
+
+def test_levels_do_not_depend_on_the_size_of_the_corpus(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "lang", "source")
+    labels = spark.read.parquet(f"{D}/reading_labels.parquet").select("doc_id", "grade")
+    more = docs.crossJoin(spark.range(5).withColumnRenamed("id", "k")).withColumn("doc_id", F.col("doc_id") + 10_000_000 * F.col("k")).drop("k")
+    a, b = ({r.doc_id: r.level for r in reading.reading_levels(x, labels).where("doc_id < 10000000").collect()} for x in (docs, more))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
