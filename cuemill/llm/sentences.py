@@ -143,18 +143,17 @@ def corpus(texts: DataFrame, text: str = "text") -> DataFrame:
     """``word, flags`` of abbreviations, those that end sentences too, and ordinary words.
 
     A word is ordinary if a stated share of it is in small letters; an abbreviation if its
-    period stands before small letters, or before numbers or several capitalised words that
-    almost never begin sentences, unless it mostly stands without period and before no numbers.
+    period stands before small letters, or before numbers or capitalised words that almost
+    never begin sentences, unless it mostly stands without period and before no numbers.
     """
     counts = corpus_counts(texts, text)
     by_word = counts.groupBy("word").agg(
-        *(F.sum(F.when(F.col("what") == w, F.col("n")).otherwise(0)).alias(w) for w in ("plain", "lower", "small", "number", "big")),
-        F.sum(F.when(F.col("what") == "big", 1).when(F.col("what") == "number", 2).otherwise(0)).alias("variety"),
+        *(F.sum(F.when(F.col("what") == w, F.col("n")).otherwise(0)).alias(w) for w in ("plain", "lower", "small", "number", "big"))
     )
     usual = by_word.where(F.col("lower") > LOWER_SHARE * F.col("plain")).select(F.col("word").alias("follower"))
     starts = counts.where("what = 'big' and follower <> ''").join(usual, "follower").groupBy("word").agg(F.sum("n").alias("starts"))
     judged = by_word.join(starts, "word", "left").withColumn("starts", F.coalesce("starts", F.lit(0))).withColumn("after", F.col("number") + F.col("big"))
-    silent = (F.col("variety") >= 2) & (F.col("starts") <= START_SHARE * F.col("after")) & ((F.col("plain") <= F.col("after")) | (2 * F.col("number") >= F.col("after")))
+    silent = (F.col("after") >= 1) & (F.col("starts") <= START_SHARE * F.col("after")) & ((F.col("plain") <= F.col("after")) | (2 * F.col("number") >= F.col("after")))
     short = ~F.col("word").rlike("^[0-9]+$") & ((F.col("small") > SMALL_SHARE * (F.col("after") + F.col("plain"))) | silent)
     flags = (
         F.when(short, F.lit(_ABBREVIATION)).otherwise(0)

@@ -85,7 +85,7 @@ def test_more_documents_leave_a_document_as_it_is(spark, monkeypatch):
         own[k] = (1, k, k, t)
     want = None
     for more in (0, 20, 100):
-        rest = [(2 + k // 1000, k % 1000, 1000 + k, "The baker left. A clerk, no. 4, came.") for k in range(300 * more)]
+        rest = [(2 + k // 1000, k % 1000, 1000 + k, "The baker left. A clerk, no. 4, came and left a note.") for k in range(300 * more)]
         df = spark.createDataFrame(own + rest, SCHEMA)
         got = sorted((r.row_id, r.end_pos) for r in S.sentence_ends(df, S.corpus(df)).where("row_id < 1000").collect())
         want = want or got
