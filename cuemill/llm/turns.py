@@ -3,9 +3,10 @@
 Each line is parsed by itself: stamps, speaker labels, sound notes and hesitation are
 taken off, and its label is resolved against the register of people.  Labels that fit
 several people go to the one of them that the track names most often beyond doubt.  A
-sweep along each track carries the speaker forward and cuts turns at speaker changes and
-section headers; text that a line repeats from the end of the line before it (rolling
-captions) is dropped by suffix-prefix overlap.
+sweep along each track, by position or by time, carries the speaker forward and cuts
+turns at speaker changes, section headers and, where asked for, at pauses beyond what is
+usual in the track; text that a line repeats from the end of the line before it (rolling
+subtitles) is dropped by suffix-prefix overlap.
 """
 
 from __future__ import annotations
@@ -25,14 +26,17 @@ from cuemill.session import cut
 
 REGISTER_LIMIT = 200_000
 BLOCK = 4096
+BLOCK_SECONDS = 3600
+LEAST_PAUSE = 2.0
+USUAL_PAUSES = 0.9  # share of a track's own pauses that are no break
 
 _STAMP = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 _STAMPED = re.compile(rf"[\[(]\s*{_STAMP}(?:\s*(?:-->|→|-|–)\s*{_STAMP})?\s*[\])]|(?<![\d:]){_STAMP}(?![\d:])(?:\s+[-–—](?=\s))?")
-_NOTE = re.compile(r"\[[^\]\n]{1,60}\]|\([^)\d\n]{1,60}\)|（[^）\n]{1,60}）|【[^】\n]{1,60}】|[♪♫][^♪♫\n]{1,80}[♪♫]|(?<!\*)\*(?!\*)[^*\n]{1,60}\*(?!\*)")
-_TAG = re.compile(r"<[^<>]{1,40}>|\{\\[^{}]*\}")
-_BOLD = re.compile(r"^\s*\*\*([^*\n]{1,80}?)\s*:?\*\*\s*:?\s*")
-_BRACKET = re.compile(r"^\s*\[([^\]\n]{1,80})\]\s*:?\s*")
-_PLAIN = re.compile(r"^\s*([^:\n]{1,60}?)\s*:\s+")
+_NOTE = re.compile(r"\[[^\]\n]+\]|\([^)\d\n]+\)|（[^）\n]+）|【[^】\n]+】|[♪♫][^♪♫\n]+[♪♫]|(?<!\*)\*(?!\*)[^*\n]+\*(?!\*)")
+_TAG = re.compile(r"<[^<>]+>|\{\\[^{}]*\}")
+_BOLD = re.compile(r"^\s*\*\*([^*\n]+?)\s*:?\*\*\s*:?\s*")
+_BRACKET = re.compile(r"^\s*\[([^\]\n]+)\]\s*:?\s*")
+_PLAIN = re.compile(r"^\s*([^:\n]+?)\s*:\s+")
 _MARK = re.compile(r"^(?:\s|>>+|[-–—](?=\s))+")
 _PARTY = re.compile(r"\(([^)]*)\)")
 # Titles and forms of address before names.
@@ -71,8 +75,11 @@ class Register:
         found = {s for k in keys for s in self.near.get(k, ())}
         return sorted(s for s in found if distance(s, token, 1) <= 1)
 
-    def _resolve(self, label: str) -> tuple[int, ...]:
-        """Ids of the people a label fits best; none if it is no label of a person."""
+    def _resolve(self, label: str, sure: bool = False) -> tuple[int, ...]:
+        """Ids of the people a label fits best; none if it is no label of a person.
+
+        Where it is ``sure`` to be a label, other words may stand beside a full name.
+        """
         party = _PARTY.search(label)
         core = _PARTY.sub(" ", label)
         folded = fold(core).replace("’", "'")
@@ -80,7 +87,7 @@ class Register:
         tokens = [t.strip("-'") for t in tokens]
         while len(tokens) > 1 and tokens[0] in _TITLES and len(tokens[0]) > 1:
             tokens.pop(0)
-        if not tokens or len(tokens) > 5:
+        if not tokens:
             return ()
         best: dict[int, float] = {}
         for i, t in enumerate(tokens):
@@ -101,7 +108,8 @@ class Register:
                             pass
                         else:
                             bad = True
-                    if bad:
+                            break
+                    if bad and not (sure and exact and given in rest):
                         continue
                     if party and fold(party.group(1)).strip() == self.people[person][2]:
                         score += 1
@@ -123,13 +131,13 @@ def parse_line(text: str | None, column: str | None, register: Register) -> tupl
         m = pattern.match(body)
         if not m:
             continue
-        found = register.resolve(m.group(1).strip())
+        found = register.resolve(m.group(1).strip(), pattern is _BOLD)
         if found or pattern is _BOLD:
             people, labelled = found, True
             body = _MARK.sub("", body[m.end() :])
             break
     if column and column.strip(" :—–-*"):
-        people, labelled = register.resolve(column.strip()) or people, True
+        people, labelled = register.resolve(column.strip(), True) or people, True
     body = _NOTE.sub(" ", body)
     clean = _HESITANT.sub(" ", body)
     clean = re.sub(r"\s+([,.;:!?…])", r"\1", " ".join(clean.split())).lstrip(",.…;: -–—")
@@ -157,16 +165,18 @@ def parse_lines(lines: DataFrame, speakers: DataFrame) -> DataFrame:
     return lines.select("track", "line", "header", "start", "stop", "text", "speaker").mapInArrow(work, schema)
 
 
-def turns(lines: DataFrame, speakers: DataFrame) -> DataFrame:
+def turns(lines: DataFrame, speakers: DataFrame, by_time: bool = False, split_at_pauses: bool = False) -> DataFrame:
     """Ordered turns of every track.
 
     ``lines``: ``track``, ``line`` (position), ``header`` (section header), ``start`` and
     ``stop`` in seconds, ``text``, ``speaker``.  Rows that agree in track and line count
     once; null texts are unspoken; rows without track or line are ignored; lines before
     the first known speaker form no turn; a label that fits no one of the register ends
-    the turn and opens none.  Result: ``track_id``, ``turn``, ``first_line``,
-    ``last_line``, ``speaker_id``, ``start``, ``stop``, ``lines``, ``pauses`` (breaks over
-    the track's own 90th percentile of breaks and 2 s), ``text``.
+    the turn and opens none.  ``by_time`` sweeps in order of ``start`` (a line without one
+    stays behind the line before it), else in order of position; ``split_at_pauses`` ends
+    turns at pauses over 2 s and over the track's own 90th percentile of pauses.  Result:
+    ``track_id``, ``turn``, ``first_line``, ``last_line``, ``speaker_id``, ``start``,
+    ``stop``, ``lines``, ``pauses`` (such pauses inside), ``text``.
     """
     read = parse_lines(lines.where("track is not null and line is not null").dropDuplicates(["track", "line"]), speakers)
     read = cut(read)
@@ -184,13 +194,19 @@ def turns(lines: DataFrame, speakers: DataFrame) -> DataFrame:
     named = read.join(doubt, ["track", "line"], "left").withColumn(
         "own", F.when(F.col("labelled"), F.coalesce("judged", F.when(F.size("people") == 1, F.col("people")[0]), F.lit(-1)))
     )
-    marked = cut(_swept(named))
-    limits = marked.groupBy("track").agg(F.greatest(F.lit(2.0), F.percentile_approx("pause", 0.9)).alias("limit"))
-    cleaned = marked.join(limits, "track")
+    placed = named.withColumn("block", F.floor(F.col("line") / BLOCK)).withColumn("at", F.lit(0.0))
+    if by_time:
+        placed = _timed(placed)
+    opened = cut(_swept(placed))
+    limits = opened.groupBy("track").agg(F.greatest(F.lit(LEAST_PAUSE), F.percentile_approx("pause", USUAL_PAUSES)).alias("limit"))
+    marked = opened.join(limits, "track").withColumn("long", F.coalesce(F.col("pause") > F.col("limit"), F.lit(False)))
     fresh = F.when(F.col("opens"), F.col("clean")).otherwise(_fresh(F.col("before"), F.col("clean")))
-    said = F.array_sort(F.collect_list(F.struct("line", fresh.alias("said"))))
+    marked = marked.withColumn("said", fresh)
+    if split_at_pauses:
+        marked = marked.withColumn("opens", F.col("opens") | F.col("long"))
+    said = F.array_sort(F.collect_list(F.struct("at", "line", "said")))
     return (
-        cleaned.where("person > 0")
+        _numbered(marked).where("person > 0")
         .groupBy("track", "turn")
         .agg(
             F.min("line").alias("first_line"),
@@ -199,29 +215,39 @@ def turns(lines: DataFrame, speakers: DataFrame) -> DataFrame:
             F.min("start").alias("start"),
             F.max("stop").alias("stop"),
             F.count("*").alias("lines"),
-            F.count_if(~F.col("opens") & (F.col("pause") > F.col("limit"))).alias("pauses"),
+            F.count_if(~F.col("opens") & F.col("long")).alias("pauses"),
             F.array_join(F.filter(F.transform(said, lambda x: x["said"]), lambda x: x != ""), " ").alias("text"),
         )
         .withColumnRenamed("track", "track_id")
-    )
+    )
 
 
-def _swept(named: DataFrame) -> DataFrame:
-    """Spoken lines with their speaker, the line before them and the turn they lie in.
+def _timed(placed: DataFrame) -> DataFrame:
+    """Places by time: lines without a start take the last one before them, carried from block to block by one row each."""
+    upto = Window.partitionBy("track", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = Window.partitionBy("track").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = placed.groupBy("track", "block").agg(F.max_by("start", F.when(F.col("start").isNotNull(), F.col("line"))).alias("last"))
+    carried = lasts.select("track", "block", F.last("last", ignorenulls=True).over(past).alias("came"))
+    filled = placed.join(carried, ["track", "block"]).withColumn("at", F.coalesce(F.last("start", ignorenulls=True).over(upto), "came", F.lit(-1e18)))
+    return filled.withColumn("block", F.when(F.col("at") < 0, F.lit(-1)).otherwise(F.floor(F.col("at") / BLOCK_SECONDS))).drop("came")
+
 
-    The sweep runs in blocks of ``BLOCK`` lines; what a block needs of the lines before it
-    (headers so far, last speaker, last spoken line, turns so far) comes from one summary
-    row per block, so that no track is swept in one task.
+def _swept(placed: DataFrame) -> DataFrame:
+    """Spoken lines with their speaker, the line before them and whether they open a turn.
+
+    The sweep runs in blocks; what a block needs of the lines before it (headers so far,
+    last speaker, last spoken line) comes from one summary row per block, so that no track
+    is swept in one task.
     """
-    blocked = named.withColumn("block", F.floor(F.col("line") / BLOCK))
-    order = Window.partitionBy("track", "block").orderBy("line")
+    order = Window.partitionBy("track", "block").orderBy("at", "line")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = blocked.withColumn("sections", F.sum(F.col("header").cast("int")).over(so_far))
+    local = placed.withColumn("sections", F.sum(F.col("header").cast("int")).over(so_far))
     talk = F.col("spoken") & ~F.col("header")
-    last = lambda c: F.max_by(F.when(talk, F.struct(c)), F.when(talk, F.col("line")))
+    place = F.struct("at", "line")
+    last = lambda c: F.max_by(F.when(talk, F.struct(c)), F.when(talk, place))
     blocks = local.groupBy("track", "block").agg(
         F.sum(F.col("header").cast("int")).alias("headers"),
-        F.max_by("own", F.when(talk & F.col("own").isNotNull(), F.col("line"))).alias("own_out"),
+        F.max_by("own", F.when(talk & F.col("own").isNotNull(), place)).alias("own_out"),
         last("sections").alias("section_out"), last("clean").alias("clean_out"), last("stop").alias("stop_out"),
     )
     past = Window.partitionBy("track").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -236,12 +262,18 @@ def _swept(named: DataFrame) -> DataFrame:
     begins = F.row_number().over(order) == 1
     before = lambda c, came: F.when(begins, came).otherwise(F.lag(c).over(order))
     same = (before("person", F.col("person_in")) == F.col("person")) & (before("sections", F.col("section_in")) == F.col("sections"))
-    opened = said.select(
-        "track", "block", "line", "start", "stop", "clean", "person",
+    return said.select(
+        "track", "block", "at", "line", "start", "stop", "clean", "person",
         (~F.coalesce(same, F.lit(False))).alias("opens"),
         before("clean", F.col("clean_in.clean")).alias("before"),
         (F.col("start") - before("stop", F.col("stop_in.stop"))).alias("pause"),
     )
+
+
+def _numbered(opened: DataFrame) -> DataFrame:
+    """The number of each line's turn in its track, counted in blocks."""
+    so_far = Window.partitionBy("track", "block").orderBy("at", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = Window.partitionBy("track").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     numbers = opened.groupBy("track", "block").agg(F.count_if("opens").alias("n")).withColumn("turns_in", F.coalesce(F.sum("n").over(past), F.lit(0)))
     return opened.join(numbers.select("track", "block", "turns_in"), ["track", "block"]).withColumn("turn", F.col("turns_in") + F.sum(F.col("opens").cast("int")).over(so_far))
 

@@ -26,11 +26,13 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns(transcript_lines(spark, sf_dir), table(spark, sf_dir, "speakers"))
+    """Turns by time, split at pauses beyond the track's own."""
+    return turns(transcript_lines(spark, sf_dir), table(spark, sf_dir, "speakers"), by_time=True, split_at_pauses=True)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_turns(spark, sf_dir).select("track_id", F.col("first_line").cast("int").alias("first_line"), F.col("last_line").cast("int").alias("last_line"), "speaker_id")
+    """Turns by position, which pauses do not end."""
+    return turns(transcript_lines(spark, sf_dir), table(spark, sf_dir, "speakers")).select("track_id", F.col("first_line").cast("int").alias("first_line"), F.col("last_line").cast("int").alias("last_line"), "speaker_id")
 
 
 QUERIES = {"p3_found": p3_found, "p3_turns": p3_turns}

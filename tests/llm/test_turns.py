@@ -29,9 +29,9 @@ def test_lines_are_read():
 SCHEMA = "track long, line long, header boolean, start double, stop double, text string, speaker string"
 
 
-def found(spark, lines):
+def found(spark, lines, **how):
     speakers = spark.createDataFrame(PEOPLE, "speaker_id long, full_name string, given_name string, surname string, party string")
-    return T.turns(spark.createDataFrame(lines, SCHEMA), speakers)
+    return T.turns(spark.createDataFrame(lines, SCHEMA), speakers, **how)
 
 
 def test_turns(spark):
@@ -74,3 +74,25 @@ def test_overlaps_of_any_length_are_dropped(spark):
     shown = [f"w{k}" for k in range(120)]
     df = spark.createDataFrame([(" ".join(shown[:90]), " ".join(shown[10:]))], "before string, now string")
     assert df.select(T._fresh(F.col("before"), F.col("now")).alias("x")).first().x == " ".join(shown[90:])
+
+
+def test_labels_and_notes_of_any_length():
+    read = lambda text, column=None: T.parse_line(text, column, REGISTER)
+    assert read("**The right honourable member for the upper dyke, Dr. Ann Griburest:** Yes.") == (True, True, (1,), "Yes.")
+    assert read("Yes. [" + "a long noise from behind the hall " * 5 + "]")[3] == "Yes."
+    assert read("The long speech of the old engineer who came with Ann Griburest that day: no.")[1] is False
+
+
+def test_sweep_by_time_and_calibrated_pauses(spark, monkeypatch):
+    lines = [(1, k, False, float(10 * k), 10.0 * k + 9.5, f"Number {k}.", "Ann Griburest") for k in range(40)]
+    lines[20:] = [(1, k, False, 10.0 * k + 60, 10.0 * k + 69.5, f"Number {k}.", "Ann Griburest") for k in range(20, 40)]
+    lines += [(1, 99, False, 15.0, 19.8, "Between.", None), (1, 100, False, None, None, "Behind.", None)]
+    split = lambda: sorted((r.first_line, r.last_line, r.pauses) for r in found(spark, lines, by_time=True, split_at_pauses=True).collect())
+    whole = split()
+    assert whole == [(0, 100, 0), (20, 39, 0)]
+    text = {r.first_line: r.text for r in found(spark, lines, by_time=True, split_at_pauses=True).collect()}[0]
+    assert text.startswith("Number 0. Number 1. Between. Behind. Number 2.")
+    assert [(r.first_line, r.last_line, r.pauses) for r in found(spark, lines, by_time=True).collect()] == [(0, 100, 1)]
+    monkeypatch.setattr(T, "BLOCK", 7)
+    monkeypatch.setattr(T, "BLOCK_SECONDS", 45)
+    assert split() == whole
