@@ -36,7 +36,7 @@ CONNECTIVES = {
 }
 _WORD = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
 _ASIDE = re.compile(r"\([^()\n]*\)|—[^—\n.!?]*—")
-_SENTENCE = re.compile(r"[.!?…]+[\s”»“)]+|\n{2,}")
+_TOKEN = re.compile(_WORD.pattern + r"|[.!?…]+[\s”»“)]+|\n{2,}")  # words and ends of sentences
 _HYPHEN = re.compile(r"(\w)-\n(\w)")
 _VOWELS = re.compile(r"[aeiouyäöüáàâéèêëíîïóôúùûœæ]+")
 
@@ -46,8 +46,23 @@ FEATURES = (
 )
 
 
+def _joined(text: str) -> str:
+    """Words cut at line ends in one."""
+    return _HYPHEN.sub(r"\1\2", text) if "-\n" in text else text
+
+
 def words_in(text: str) -> list[str]:
-    return _WORD.findall(_HYPHEN.sub(r"\1\2", text).lower())
+    return _WORD.findall(_joined(text).lower())
+
+
+class _Numbers(dict):
+    """Numbers of words, the reader asked for new ones."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> int:
+        return self.learn(word)
 
 
 class Reader:
@@ -58,64 +73,60 @@ class Reader:
         lists = [CONNECTIVES[(lang or "")[:2].lower()]] if (lang or "")[:2].lower() in CONNECTIVES else CONNECTIVES.values()
         phrases = [p for one in lists for p in one.split(", ")]
         self.single = frozenset(p for p in phrases if " " not in p)
-        several = sorted((p for p in phrases if " " in p), key=len, reverse=True)
-        self.several = re.compile(r"(?<!\w)(?:" + "|".join(several) + r")(?!\w)")
+        self.several: dict[str, list[list[str]]] = {}
+        for p in sorted((p.split() for p in phrases if " " in p), key=len, reverse=True):
+            self.several.setdefault(p[0], []).append(p)
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.known = np.empty((1024, 5))
+        self.number = _Numbers(self.learn)
+        self.known = np.empty((1024, 7))
 
-    def learn(self, word: str) -> int:
-        k = self.number[word] = len(self.number)
+    def learn(self, token: str) -> int:
+        k = self.number[token] = len(self.number)
         if k == len(self.known):
             self.known = np.concatenate((self.known, np.empty_like(self.known)))
-        # bits, connective, letters, long, syllables
-        self.known[k] = self.rarity.get(word, RAREST), word in self.single, len(word), len(word) >= 10, max(1, len(_VOWELS.findall(word)))
+        # bits, rare, connective, letters, long, syllables, and 1 for the end of a sentence or 2 for the beginning of a connective
+        bits = self.rarity.get(token, RAREST)
+        what = 2 if token in self.several else 0 if token[0].isalpha() else 1
+        self.known[k] = bits, bits >= RAREST - 3, token in self.single, len(token), len(token) >= 10, max(1, len(_VOWELS.findall(token))), what
         return k
 
     def features(self, text: str | None) -> list[float] | None:
         """Feature values of a whole text; None for a text without words."""
-        body = _ASIDE.sub(" ", _HYPHEN.sub(r"\1\2", (text or "").lower()))
-        sentences = [s for s in map(_WORD.findall, _SENTENCE.split(body)) if s]
-        if not sentences:
-            return None
+        body = _joined(text or "").lower()
+        if "(" in body or "—" in body:
+            body = _ASIDE.sub(" ", body)
+        tokens = _TOKEN.findall(body)
         if len(self.number) > CACHE_WORDS:
             self.clear()
-        get = self.number.get
-        ids = np.array([k if (k := get(w)) is not None else self.learn(w) for s in sentences for w in s])
-        lengths = np.array([len(s) for s in sentences])
-        n, known = len(ids), self.known[ids]
-        ends = np.cumsum(lengths)
-        links = np.add.reduceat(known[:, 1], ends - lengths)
-        phrases = np.searchsorted(ends, self._places(body), side="right")
-        np.add.at(links, np.minimum(phrases, len(links) - 1), 1)
-        window = [len(set(ids[k : k + 50].tolist())) / min(50, n - k) for k in range(0, max(1, n - 25), 25)]
-        marks = body.count(",") + body.count(";")
+        ids = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        what = self.known[ids, 6]
+        spoken = what != 1
+        where = np.cumsum(~spoken)[spoken]  # the sentence of each word
+        ids = ids[spoken]
+        n = len(ids)
+        if not n:
+            return None
+        known = self.known[ids]
+        lengths, links = np.bincount(where), np.bincount(where, known[:, 2])
+        for at in np.flatnonzero(what == 2).tolist():
+            for phrase in self.several[tokens[at]]:
+                if tokens[at : at + len(phrase)] == phrase:
+                    links[where[int(spoken[:at].sum())]] += 1
+                    break
+        links, lengths = np.sort(links[lengths > 0]), np.sort(lengths[lengths > 0])
+        held, order = len(lengths), ids.tolist()
+        window = [len(set(order[k : k + 50])) / min(50, n - k) for k in range(0, max(1, n - 25), 25)]
         total = float(links.sum())
-        bits, _, letters, long, syllables = known.mean(0)
+        top = links[-max(1, held // 4) :]
+        low = int(0.9 * (held - 1))
+        ninth = lengths[low] + (0.9 * (held - 1) - low) * (lengths[min(low + 1, held - 1)] - lengths[low])
+        bits, rare, _, letters, long, syllables, _ = (known.sum(0) / n).tolist()
         return [
-            sum(window) / len(window),
-            bits,
-            float((known[:, 0] >= RAREST - 3).mean()),
-            100.0 * total / n,
-            (marks + total) / len(sentences),
-            float(np.sort(links)[-max(1, len(links) // 4) :].mean()),
-            float(lengths.mean()),
-            math.log1p(float(np.percentile(lengths, 90))),
-            letters,
-            long,
-            syllables,
-            math.log1p(n),
-        ]
-
-    def _places(self, body: str) -> list[int]:
-        """Numbers of the words at which connectives of several words begin."""
-        starts = [m.start() for m in self.several.finditer(body)]
-        if not starts:
-            return []
-        words = np.array([m.start() for m in _WORD.finditer(body)])
-        return np.searchsorted(words, starts).tolist()
+            sum(window) / len(window), bits, rare, 100.0 * total / n, (body.count(",") + body.count(";") + total) / held,
+            float(top.sum()) / len(top), n / held, math.log1p(float(ninth)), letters, long, syllables, math.log1p(n),
+        ]
 
 
 def word_rarity(docs: DataFrame, least_share: float = LEAST_SHARE) -> dict[str, dict[str, float]]:
