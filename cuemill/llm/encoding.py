@@ -22,7 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cuemill.llm.compress import SAMPLE_ROWS, Profiles, build, collect, lowered
+from cuemill.llm.compress import SAMPLE_ROWS, Profiles, build, calibrate, collect, lowered
 
 # Charset a text was wrongly read as -> charsets it may have been written in.
 READINGS = {
@@ -371,7 +371,7 @@ def fit(cues: DataFrame, lexicon: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     seeds, texts = collect(cues, lexicon, sample_rows)
     strict = Mender(build(seeds, texts, 0.006))
     sound = {code: [t for t in own if not strict.mend(t)[0]] for code, own in texts.items()}
-    return build(seeds, sound, 0.0002)
+    return calibrate(build(seeds, sound, 0.0002), sound)
 
 
 def find_garbled(rows: DataFrame, profiles: Profiles, key: str = "row_id", text: str = "text") -> DataFrame:

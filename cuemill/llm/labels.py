@@ -27,7 +27,7 @@ LANGUAGES = {
     "ar": ("ara", "arabic"),
     "ko": ("kor", "korean"),
 }
-_BY_NAME = {name: code for code, names in LANGUAGES.items() for name in (code, *names)}
+BY_NAME = {name: code for code, names in LANGUAGES.items() for name in (code, *names)}
 
 # Unicode ranges of the scripts told apart.
 SCRIPTS = {
@@ -49,7 +49,7 @@ def code_of(label: str | None) -> str | None:
     if not label:
         return None
     head = re.split(r"[-_\s(]", label.strip().lower(), maxsplit=1)[0]
-    return _BY_NAME.get(head)
+    return BY_NAME.get(head)
 
 
 def script_of(text: str) -> str | None:

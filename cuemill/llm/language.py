@@ -2,7 +2,9 @@
 
 Every cue is encoded with the raw-content dictionary of each language of its script and
 gets the one of least size, with the margin to the next as confidence; narrow margins
-are rejected.  A track has the language of most of its cues.  A cue is foreign if it is
+are rejected.  The next may be a rival of the script that knows letters but no language:
+a language must lead it as texts of that language and length do, so that a text in none
+of the known languages is rejected even where its script has one dictionary only.  A track has the language of most of its cues.  A cue is foreign if it is
 clearly in another language, or doubtful between two cues of one and the same foreign
 language.
 """
@@ -16,17 +18,18 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from cuemill.llm.compress import Profiles, bare
 from cuemill.llm.encoding import Mender
-from cuemill.llm.labels import code_of
+from cuemill.llm.labels import BY_NAME
 
 MARGIN = 0.08
 LONE_MARGIN = 0.45
+CLEAR_MARGIN = 0.3  # a language so far before all others of its script leads the rival too
 _NOTE = re.compile(r"[\[(（【*♪♫][^\])）】*♪♫]*[\])）】*♪♫]?")
 _LABEL = re.compile(r"^\s*(?:\[?[A-Z]+_\d+\]?\s*:|>>+)\s*")
 _MARKED = re.compile(r"[\[(（【*♪♫<{_>]")
+_SENTENCE = re.compile(r"[^.!?。！？।\n]+(?:[.!?。！？।]+[”\"»“)」]*|\n|$)\s*")
 _FOUR = re.compile(r"(?s)(?:[^\W\d_].*?){4}")
 _TWO = re.compile(r"(?s)(?:[^\W\d_].*?){2}")
 
@@ -53,11 +56,33 @@ class Classifier:
         sizes = self.profiles.sizes(spoken)
         ranked = sorted(sizes.items(), key=lambda x: (x[1], x[0]))
         best, least = ranked[0]
+        clear = len(ranked) > 1 and (ranked[1][1] - least) / ranked[1][1] >= CLEAR_MARGIN
+        rival = None if clear else self.profiles.rival(spoken)
+        if rival:
+            lead = (rival - least) / rival
+            if lead < self.profiles.least_lead(best, len(spoken.encode("utf-8", "surrogatepass"))):
+                return None, max(0.0, lead)
         if len(ranked) == 1:
-            return best, 1.0
+            return best, 1.0 if not rival else lead
         confidence = (ranked[1][1] - least) / ranked[1][1]
         return (best if confidence >= self.margin and ranked[1][1] - least >= 2 else None), confidence
 
+    def segments(self, text: str | None) -> list[tuple[int, int, str, float]]:
+        """(from, to, language, confidence) of the stretches of a text, where it holds several languages; else none.
+
+        Stretches are whole sentences or lines; a doubtful one joins the stretch before it.
+        """
+        found: list[list] = []
+        for m in _SENTENCE.finditer(text or ""):
+            lang, confidence = self.classify(m.group())
+            if lang and (not found or found[-1][2] != lang):
+                found.append([m.start() if found else 0, m.end(), lang, [confidence]])
+            elif found:
+                found[-1][1] = m.end()
+                if lang:
+                    found[-1][3].append(confidence)
+        return [(a, b, lang, sum(c) / len(c)) for a, b, lang, c in found] if len(found) > 1 else []
+
 
 def classify(rows: DataFrame, profiles: Profiles, *keys: str, text: str = "text") -> DataFrame:
     """``keys`` with ``lang`` (null where rejected) and ``confidence`` of each row's text."""
@@ -76,8 +101,27 @@ def classify(rows: DataFrame, profiles: Profiles, *keys: str, text: str = "text"
     return rows.select(*keys, text).mapInArrow(work, full)
 
 
+def mixed_segments(rows: DataFrame, profiles: Profiles, key: str = "row_id", text: str = "text") -> DataFrame:
+    """Stretches of texts in several languages: key, ``first`` and ``last`` (code points, the last excluded), ``lang``, ``confidence``.
+
+    Texts in one language, null and empty ones give no row; repeated rows each count.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classifier = Classifier(profiles)
+        for batch in batches:
+            out = [(k, *part) for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for part in classifier.segments(t)]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["k", "first", "last", "lang", "confidence"])
+
+    return rows.select(key, text).mapInArrow(work, "k long, first int, last int, lang string, confidence double").withColumnRenamed("k", key)
+
+
 def label_code(label: Column) -> Column:
-    return F.udf(code_of, StringType())(label)
+    """``code_of`` as a column."""
+    head = F.split(F.lower(F.trim(label)), r"[-_\s(]", 2)[0]
+    return F.create_map(*(F.lit(x) for pair in sorted(BY_NAME.items()) for x in pair))[head]
 
 
 def track_languages(cues: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill.llm.encoding_queries import profiles
-from cuemill.llm.language import classify, foreign_cues, label_cases, stretches, track_languages
+from cuemill.llm.language import classify, foreign_cues, label_cases, mixed_segments, stretches, track_languages
 from cuemill.session import cut, table
 
 
@@ -35,4 +35,8 @@ def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).unionAll(runs.select("track_id", "first_cue", "last_cue", "lang", "confidence", "cues"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_languages": p6_languages}
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_segments(table(spark, sf_dir, "supervisions", "row_id", "text"), profiles(spark, sf_dir))
+
+
+QUERIES = {"p6_segments": p6_segments, "p6_found": p6_found, "p6_languages": p6_languages}

@@ -50,3 +50,25 @@ def test_empty_tables(spark, profiles):
     judged = language.classify(cues, profiles, "row_id", "track_id", "cue_idx")
     tracks = language.track_languages(judged)
     assert tracks.count() == 0 and language.foreign_cues(judged, tracks).count() == 0
+
+
+def test_texts_in_none_of_the_languages_are_rejected(profiles):
+    c = language.Classifier(profiles)
+    for t in ("Мер міста відкрив новий міст через річку після довгої наради.", "Вчора ввечері ми пішли до театру і побачили нову виставу.", "महापौरांनी नदीवरील नवीन पुलाचे उद्घाटन काल संध्याकाळी केले.", "De burgemeester opende gisteren de nieuwe brug over de rivier.", "Borgmesteren åbnede i går den nye bro over floden."):
+        assert c.classify(t)[0] is None, t
+    for t, lang in (("Инженер проверил старую башню весной.", "ru"), ("माली ने बिना झिझक रिपोर्ट को ठुकराया।", "hi"), (EN, "en"), (FR, "fr")):
+        assert c.classify(t)[0] == lang, t
+
+
+def test_segments_within_a_text(spark, profiles):
+    df = spark.createDataFrame([(1, EN + " " + FR + "\n– 25 –", "x"), (2, EN, "x"), (3, None, "x"), (4, "", None)], "row_id long, text string, lang string")
+    got = sorted((r.row_id, r.first, r.last, r.lang) for r in language.mixed_segments(df, profiles).collect())
+    assert got == [(1, 0, len(EN) + 1, "en"), (1, len(EN) + 1, len(EN + " " + FR + "\n– 25 –"), "fr")]
+
+
+def test_label_codes_as_columns(spark):
+    from cuemill.llm.labels import code_of
+
+    labels = ["en-GB", "fr_CA", "deu", "Japanese", " zh-Hans", "und", "", None, "ES", "x-y"]
+    df = spark.createDataFrame([(x,) for x in labels], "label string")
+    assert [r[0] for r in df.select(language.label_code(df["label"])).collect()] == [code_of(x) for x in labels]
