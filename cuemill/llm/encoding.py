@@ -7,9 +7,10 @@ A candidate is compressed only if its characters are likelier than those it repl
 (an order-0 code length, the cheap bound before the real one).  Texts of everyday
 characters are no exception: readings are passed over unseen only where no bytes of the
 text form a sequence they could undo, or where no result could be that much likelier.
-Where no chain pays,
-the text is left unchanged; it still counts as garbled if it holds replacement
-characters, which no chain can undo.
+Where no chain pays, bytes that are lost may have been part of one: replacement characters,
+and first bytes of UTF-8 sequences whose rest is gone.  Such a text counts as garbled, beyond
+repair, if leaving them out or filling them in pays under the same dictionaries.  Any other
+text is left unchanged, letters of languages without a dictionary included.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ CUT_COST = 2
 MAX_STEPS = 3
 LEAST_GAIN = 4
 BIT_WEIGHT = 1 / 6
+LOST_COST = 2
 LOST = "�"
 RARE_BITS = 14.0
 
@@ -54,11 +56,15 @@ _HIGH = re.compile("[^\x00-\x7f]")
 _TWO_HIGH = re.compile("[^\x00-\x7f]{2}")
 _HIGH_BYTES = bytes(range(128, 256))
 _BROKEN = re.compile("[\u0080-\u009f�-]")
-_SPLIT_LEAD = re.compile("[a-zß-öø-ÿ][À-ÖØ-Þ](?![A-ZÀ-ÖØ-Þ])")  # an accented capital inside a word: a lead byte or a misread letter
+# first bytes of UTF-8 sequences, read as cp1252 or mac_roman, without the rest
+_ORPHAN = re.compile("(?:(?:(?<=[a-zß-öø-ÿ])Ã|[√ƒ≈])(?![\u00a0-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u2013-\u203a])|[âЂ](?![^\\W\\d_])|(?<![^\\W\\d_])â)")
+_SYMBOLS = frozenset(map(chr, [*range(0xA1, 0xAA), *range(0xAB, 0xB7), *range(0xB8, 0xBA), *range(0xBB, 0xC0), 0xD7, 0xF7, 0x2020, 0x2021, 0x2030, *range(0x2190, 0x2300), *range(0x2500, 0x25A0)]))
+_INWORD = re.compile("(?<=[^\\W\\d_])[" + "".join(sorted(_SYMBOLS)) + "]+(?=[^\\W\\d_])")
 _CYRILLIC = {"cp1251", "koi8-r", "cp866"}
 _WORD = re.compile(r"\S+")
 _WORD_EDGE = re.compile(r"\b")
-_RISE = re.compile("[a-zß-öø-ÿ][À-ÖØ-Þ]|[а-яё][А-ЯЁ]")
+# a capital inside a word, but for names such as McÉwan
+_RISE = re.compile(r"(?<!\b[A-ZÀ-ÖØ-Þ])(?<!\b[A-ZÀ-ÖØ-Þ][a-z])[a-zß-öø-ÿ][À-ÖØ-Þ]|[a-zß-öø-ÿ][À-ÖØ-Þ](?![a-z])|[а-яё][А-ЯЁ]")
 _THIN = re.compile("\u00e2([\u00a0-\u00bf])")
 _MIXED = re.compile(
     "[A-Za-zÀ-ɏ][Ѐ-ԯऀ-ॿ぀-ヿ一-鿿]|[Ѐ-ԯऀ-ॿ぀-ヿ一-鿿][A-Za-zÀ-ɏ]"
@@ -198,10 +204,13 @@ class Mender:
         common = "".join(re.escape(c) for c, bits in profiles.chars.items() if bits < 13.5)
         self.rare = re.compile(f"[^\x00-\x7f{common}]")
         self.empty = min(profiles.size(x, b"") for x in profiles.all)
-        self.odd = re.compile(f"{self.rare.pattern}|{_RISE.pattern}")
+        self.odd = re.compile(f"{self.rare.pattern}|{_RISE.pattern}|{_INWORD.pattern}")
+        # letters whose UTF-8 form begins with C3, C4 or C5
+        self.fills = [c for c in map(chr, range(0xC0, 0x180)) if c.isalpha() and c.islower() and c in profiles.chars]
         self.gains = {(read, written): self.gain(read, written) for read, writings in READINGS.items() for written in writings if read not in MULTIBYTE and written not in MULTIBYTE and written != "utf-8"}
 
         self.ups = {pair: {c: g for c, g in gains.items() if g > 0} for pair, gains in self.gains.items()}
+        self.pairs_of = lru_cache(100_000)(self._pairs_of)  # texts share few accents
         self.most: dict[str, float] = {}
         for gains in self.ups.values():
             for c, g in gains.items():
@@ -213,6 +222,8 @@ class Mender:
         total = sum([get(c, RARE_BITS) for c in high])
         if len(high) > 1 or total >= RARE_BITS:
             total += (40.0 - RARE_BITS) * len(_BROKEN.findall(text))
+        if not _SYMBOLS.isdisjoint(high):
+            total += 12.0 * len(_INWORD.findall(text))
         return total + 12.0 * len(_RISE.findall(text))
 
     def gain(self, read: str, written: str) -> dict[str, float]:
@@ -224,28 +235,41 @@ class Mender:
                 gains[c] = get(c, RARE_BITS) - (get(back, RARE_BITS) if back > "\x7f" else 0.0)
         return gains
 
+    def _pairs_of(self, high: str) -> tuple[float, float, list[tuple[str, str, str, float]]]:
+        """Bits of some characters, the most they can lose, and every reading they may have come from with its kind and gain."""
+        out = []
+        for read, writings in READINGS.items():
+            if read in MULTIBYTE:
+                out += [(read, written, "many", 0.0) for written in writings]
+            elif not _to_byte(read).keys().isdisjoint(high):
+                for written in writings:
+                    gains = self.ups.get((read, written))
+                    if gains is not None:
+                        gain = sum([gains.get(c, 0.0) for c in high])
+                        if gain > 0:
+                            out.append((read, written, "single", gain))
+                    else:
+                        out.append((read, written, "utf-8" if written == "utf-8" else "two" if written == "euc_jp" else "any", 0.0))
+        return sum([self.profiles.chars.get(c, RARE_BITS) for c in high]), sum([self.most.get(c, 0.0) for c in high]), out
+
     def open_readings(self, text: str, bits: float) -> list[tuple[str, str]]:
         """Every reading but those that have nothing to undo or cannot make the text likelier by enough, whole or in part."""
         high = _HIGH.findall(text)
-        # what may go besides the characters' own bits
-        more = bits - sum([self.profiles.chars.get(c, RARE_BITS) for c in high])
-        single = more + sum([self.most.get(c, 0.0) for c in high]) > LEAST_GAIN
+        own, most, pairs = self.pairs_of("".join(sorted(high))) if len(high) < 8 else self._pairs_of("".join(high))
+        more = bits - own  # what may go besides the characters' own bits
+        single = more + most > LEAST_GAIN
         two = _TWO_HIGH.search(text) or LOST in text
         many = two or any(map(_utf8_alone, high))
         out = []
-        for read, writings in READINGS.items():
-            if read not in MULTIBYTE and _to_byte(read).keys().isdisjoint(high):
-                continue
-            for written in writings:
-                gains = self.ups.get((read, written))
-                if gains is not None:
-                    if single and more + sum([gains.get(c, 0.0) for c in high]) > LEAST_GAIN:
-                        out.append((read, written))
-                elif read in MULTIBYTE:
-                    if many:
-                        out.append((read, written))
-                elif two and _sequence(read).search(text) if written == "utf-8" else two or written != "euc_jp":  # EUC-JP has no ASCII in its pairs
+        for read, written, kind, gain in pairs:
+            if kind == "single":
+                if single and more + gain > LEAST_GAIN:
+                    out.append((read, written))
+            elif kind == "many":
+                if many:
                     out.append((read, written))
+            elif kind == "any" or two and (kind == "two" or _sequence(read).search(text)):  # EUC-JP has no ASCII in its pairs
+                out.append((read, written))
         return out
 
     def words(self, text: str, read: str, written: str) -> tuple[int, int] | None:
@@ -273,7 +297,7 @@ class Mender:
         for read, written in readings:
             back = _undo(text, read, written)
             if back is not None and back != text and self.plausible(back, bits) and (odd or written == "utf-8" or self.pays(text, back, STEP_COST)):
-                solved |= not self.rare.search(back)
+                solved |= not self.odd.search(back) and not _MIXED.search(back)
                 yield back, f"{read}>{written}", STEP_COST
         back = _undo_thinned(text)
         if back != text and self.plausible(back, bits):
@@ -363,7 +387,23 @@ class Mender:
             chain.append(best[2])
         if chain:
             return True, (now if LOST not in now else None), " ".join(chain)
-        return LOST in start or bool(_SPLIT_LEAD.search(start)), None, None
+        return self.lost(start), None, None
+
+    def lost(self, text: str) -> bool:
+        """Whether it pays to take characters for what is left of lost bytes."""
+        if LOST in text:
+            return self.cost(text.replace(LOST, "")) + LOST_COST < self.cost(text)
+        orphans = set(_ORPHAN.findall(text))
+        if not orphans:
+            return False
+        here = self.cost(text)
+        for orphan in orphans:
+            fills = _THIN_MARKS if orphan in "âЂ" else self.fills
+            for fill in fills:
+                filled = _ORPHAN.sub(lambda m, o=orphan, f=fill: f if m.group() == o else m.group(), text)
+                if self.least(filled) + LOST_COST < here and self.cost(filled) + LOST_COST < here:
+                    return True
+        return False
 
 
 def fit(cues: DataFrame, lexicon: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Profiles:

@@ -101,3 +101,16 @@ def test_sizes_tell_languages_apart(profiles):
     sizes = profiles.sizes("The gardener repaired the bridge despite the rain.")
     assert min(sizes, key=sizes.get) == "en"
     assert compress.lowered("ABC É") == "abc é" and compress.lowered("Abc") == "Abc"
+
+
+def test_sound_foreign_letters_and_names_stay(profiles):
+    mender = encoding.Mender(profiles)
+    for t in ("DeÁngelis, LaÉtitia und McÉwan kamen.", "DeÁngelis", "LaÉtitia praised the map.", "Åse købte rødgrød på øen.", "Zażółć gęślą jaźń w środę.", "Žluťoučký kůň úpěl ďábelské ódy.", "Şişli’de güneş çıktı, ağaç büyüdü.", "Їжак з'їв ґудзик."):
+        assert not mender.mend(t)[0], (t, mender.mend(t))
+
+
+def test_one_misread_letter_and_lost_bytes(profiles):
+    mender = encoding.Mender(profiles)
+    assert mender.mend("O presidente da câmara descreveu o orÁamento no bairro antigo.")[:2] == (True, "O presidente da câmara descreveu o orçamento no bairro antigo.")
+    assert mender.mend("Der Bibliothekar vergaÃ den Vertrag hinter dem Bahnhof.")[0]
+    assert mender.mend("�")[0]
