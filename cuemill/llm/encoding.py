@@ -64,7 +64,8 @@ _CYRILLIC = {"cp1251", "koi8-r", "cp866"}
 _WORD = re.compile(r"\S+")
 _WORD_EDGE = re.compile(r"\b")
 # a capital inside a word, but for names such as McÉwan
-_RISE = re.compile(r"(?<!\b[A-ZÀ-ÖØ-Þ])(?<!\b[A-ZÀ-ÖØ-Þ][a-z])[a-zß-öø-ÿ][À-ÖØ-Þ]|[a-zß-öø-ÿ][À-ÖØ-Þ](?![a-z])|[а-яё][А-ЯЁ]")
+_RISE = re.compile(r"[a-zß-öø-ÿ][À-ÖØ-Þ](?:(?![a-z])|(?<!\b[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ][À-ÖØ-Þ])(?<!\b[A-ZÀ-ÖØ-Þ][a-z][a-zß-öø-ÿ][À-ÖØ-Þ]))|[а-яё][А-ЯЁ]")
+_CAPITALS = frozenset(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF), *range(0x410, 0x430), 0x401]))
 _THIN = re.compile("\u00e2([\u00a0-\u00bf])")
 _MIXED = re.compile(
     "[A-Za-zÀ-ɏ][Ѐ-ԯऀ-ॿ぀-ヿ一-鿿]|[Ѐ-ԯऀ-ॿ぀-ヿ一-鿿][A-Za-zÀ-ɏ]"
@@ -210,21 +211,28 @@ class Mender:
         self.gains = {(read, written): self.gain(read, written) for read, writings in READINGS.items() for written in writings if read not in MULTIBYTE and written not in MULTIBYTE and written != "utf-8"}
 
         self.ups = {pair: {c: g for c, g in gains.items() if g > 0} for pair, gains in self.gains.items()}
-        self.pairs_of = lru_cache(100_000)(self._pairs_of)  # texts share few accents
+        # texts share few accents and alphabets
+        self.known, self.readings_of, self.mend = lru_cache(100_000)(self._known), lru_cache(100_000)(self._readings_of), lru_cache(5_000)(self._mend)
         self.most: dict[str, float] = {}
         for gains in self.ups.values():
             for c, g in gains.items():
                 self.most[c] = max(g, self.most.get(c, 0.0))
 
-    def bits(self, text: str) -> float:
+    def bits(self, text: str, high: list[str] | None = None) -> float:
+        """Order-0 code length of what is not ASCII, with surcharges for what sound text does not hold."""
+        if high is None:
+            high = _HIGH.findall(text)
+        if not high:
+            return 0.0
         get = self.profiles.chars.get
-        high = _HIGH.findall(text)
         total = sum([get(c, RARE_BITS) for c in high])
-        if len(high) > 1 or total >= RARE_BITS:
+        if (len(high) > 1 or total >= RARE_BITS) and (min(high) < "\xa0" or max(high) >= "\ue000"):
             total += (40.0 - RARE_BITS) * len(_BROKEN.findall(text))
         if not _SYMBOLS.isdisjoint(high):
             total += 12.0 * len(_INWORD.findall(text))
-        return total + 12.0 * len(_RISE.findall(text))
+        if not _CAPITALS.isdisjoint(high):
+            total += 12.0 * len(_RISE.findall(text))
+        return total
 
     def gain(self, read: str, written: str) -> dict[str, float]:
         """Bits each character would lose if read anew; below 0 where it would gain."""
@@ -235,35 +243,37 @@ class Mender:
                 gains[c] = get(c, RARE_BITS) - (get(back, RARE_BITS) if back > "\x7f" else 0.0)
         return gains
 
-    def _pairs_of(self, high: str) -> tuple[float, float, list[tuple[str, str, str, float]]]:
-        """Bits of some characters, the most they can lose, and every reading they may have come from with its kind and gain."""
+    def _known(self, high: str) -> tuple[float, float, list[tuple[str, str, str, dict]]]:
+        """Bits of some characters, the most they can lose, and every reading they may have come from with its kind and gains."""
+        own = sum([self.profiles.chars.get(c, RARE_BITS) for c in high])
+        most = sum([self.most.get(c, 0.0) for c in high])
+        return own, most, self.readings_of("".join(sorted(set(high))))
+
+    def _readings_of(self, high: str) -> list[tuple[str, str, str, dict]]:
         out = []
         for read, writings in READINGS.items():
             if read in MULTIBYTE:
-                out += [(read, written, "many", 0.0) for written in writings]
+                out += [(read, written, "many", {}) for written in writings]
             elif not _to_byte(read).keys().isdisjoint(high):
                 for written in writings:
                     gains = self.ups.get((read, written))
-                    if gains is not None:
-                        gain = sum([gains.get(c, 0.0) for c in high])
-                        if gain > 0:
-                            out.append((read, written, "single", gain))
-                    else:
-                        out.append((read, written, "utf-8" if written == "utf-8" else "two" if written == "euc_jp" else "any", 0.0))
-        return sum([self.profiles.chars.get(c, RARE_BITS) for c in high]), sum([self.most.get(c, 0.0) for c in high]), out
-
-    def open_readings(self, text: str, bits: float) -> list[tuple[str, str]]:
+                    if gains is None:
+                        out.append((read, written, "utf-8" if written == "utf-8" else "two" if written == "euc_jp" else "any", {}))
+                    elif not gains.keys().isdisjoint(high):
+                        out.append((read, written, "single", gains))
+        return out
+
+    def open_readings(self, text: str, bits: float, high: list[str]) -> list[tuple[str, str]]:
         """Every reading but those that have nothing to undo or cannot make the text likelier by enough, whole or in part."""
-        high = _HIGH.findall(text)
-        own, most, pairs = self.pairs_of("".join(sorted(high))) if len(high) < 8 else self._pairs_of("".join(high))
+        own, most, pairs = self.known("".join(sorted(high))) if len(high) < 8 else self._known("".join(high))
         more = bits - own  # what may go besides the characters' own bits
         single = more + most > LEAST_GAIN
         two = _TWO_HIGH.search(text) or LOST in text
         many = two or any(map(_utf8_alone, high))
         out = []
-        for read, written, kind, gain in pairs:
+        for read, written, kind, gains in pairs:
             if kind == "single":
-                if single and more + gain > LEAST_GAIN:
+                if single and more + sum([gains.get(c, 0.0) for c in high]) > LEAST_GAIN:
                     out.append((read, written))
             elif kind == "many":
                 if many:
@@ -289,10 +299,11 @@ class Mender:
 
     def candidates(self, text: str) -> Iterator[tuple[str, str, int]]:
         """Whole-text candidates first; parts only where those leave rare characters, or by words where there are none."""
-        bits, solved = self.bits(text), False
+        high = _HIGH.findall(text)
+        bits, solved = self.bits(text, high), False
         if bits <= LEAST_GAIN:
             return
-        readings = self.open_readings(text, bits)
+        readings = self.open_readings(text, bits, high)
         odd = self.odd.search(text)
         for read, written in readings:
             back = _undo(text, read, written)
@@ -342,10 +353,11 @@ class Mender:
         return self.cost(" ".join(new)) + price < self.cost(" ".join(old))
 
     def plausible(self, text: str, bits: float) -> bool:
+        high = _HIGH.findall(text)
         get = self.profiles.chars.get
-        if sum([get(c, RARE_BITS) for c in _HIGH.findall(text)]) >= bits - LEAST_GAIN:
+        if sum([get(c, RARE_BITS) for c in high]) >= bits - LEAST_GAIN:
             return False
-        return self.bits(text) < bits - LEAST_GAIN and len(_MIXED.findall(text)) <= 4
+        return self.bits(text, high) < bits - LEAST_GAIN and len(_MIXED.findall(text)) <= 4
 
     def least(self, text: str) -> float:
         """What ``cost`` cannot fall below: all but the frame, of which only the least size is known."""
@@ -363,7 +375,7 @@ class Mender:
             size = min(size, *(self.profiles.size(x, data) for x in self.profiles.languages_of(text)))
         return size - self.empty + least
 
-    def mend(self, text: str | None) -> tuple[bool, str | None, str | None]:
+    def _mend(self, text: str | None) -> tuple[bool, str | None, str | None]:
         """(garbled, restored text or None, chain)."""
         if not text or not _HIGH.search(text):
             return False, None, None
