@@ -1,4 +1,4 @@
-"""Colour notations of caption formats."""
+"""Colour notations of cue formats."""
 
 from __future__ import annotations
 

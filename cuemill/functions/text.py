@@ -13,18 +13,6 @@ ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#3
 END_MARKS = ".。!！?？"
 # Letters of scripts, as inner part of a character class.
 CJK = "\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}\\x{FF00}-\\x{FFEF}\\x{20000}-\\x{2A6DF}"
-SCRIPT_RANGES = {
-    "latin": "A-Za-z\\x{00C0}-\\x{024F}",
-    "han": "\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}",
-    "kana": "\\x{3040}-\\x{30FF}",
-    "hangul": "\\x{AC00}-\\x{D7AF}",
-    "cyrillic": "\\x{0400}-\\x{04FF}",
-    "arabic": "\\x{0600}-\\x{06FF}",
-    "hebrew": "\\x{0590}-\\x{05FF}",
-    "greek": "\\x{0370}-\\x{03FF}",
-    "thai": "\\x{0E00}-\\x{0E7F}",
-    "devanagari": "\\x{0900}-\\x{097F}",
-}
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -148,15 +136,6 @@ def cue_settings(line: Column) -> Column:
     return F.map_from_arrays(F.regexp_extract_all(line, p, F.lit(1)), F.regexp_extract_all(line, p, F.lit(2)))
 
 
-def ass_signals(raw: Column) -> Column:
-    """Override values that tell what a line is for."""
-    number = lambda tag: F.regexp_extract(raw, f"\\\\{tag}(-?[\\d.]+)", 1).try_cast("double")
-    return F.struct(
-        number("an").cast("int").alias("an"), number("fs").alias("fs"), number("bord").alias("bord"), number("b").alias("bold"),
-        raw.rlike("\\\\pos\\(").alias("pos"), raw.rlike("\\\\t\\([^)]*\\\\fs").alias("animated_size"), raw.rlike("\\\\k[fo]?\\d|\\\\K\\d").alias("karaoke"),
-    )
-
-
 def estimate_duration(text: Column) -> Column:
     """Seconds a text takes to say: 4 characters a second if mostly CJK, else 3.3 words a second; at least 0.3."""
     spoken = F.when(cjk_ratio(text) > 0.3, F.length(F.regexp_replace(text, "(?U)\\s", "")) / 4.0).otherwise(F.size(F.filter(F.split(squash(text), " "), lambda w: w != "")) / 3.3)
@@ -170,13 +149,6 @@ def cjk_ratio(text: Column) -> Column:
     return F.when(letters > 0, cjk / letters).otherwise(0.0)
 
 
-def script(text: Column) -> Column:
-    """Script with most letters, ties to the one listed first; null without letters."""
-    counted = [F.struct(F.regexp_count(text, F.lit(f"[{r}]")).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, r) in enumerate(SCRIPT_RANGES.items())]
-    best = F.array_max(F.array(*counted))
-    return F.when(best["n"] > 0, best["name"])
-
-
 def effective_tokens(text: Column) -> Column:
     """Han characters plus runs of Latin letters and digits."""
     return F.regexp_count(text, F.lit("[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]")) + F.regexp_count(text, F.lit("[A-Za-z0-9'’]+"))

@@ -1,4 +1,4 @@
-"""Stamps and timecodes of caption formats as Columns over seconds."""
+"""Stamps and timecodes of cue formats as Columns over seconds."""
 
 from __future__ import annotations
 

@@ -91,23 +91,6 @@ def merge_same_speaker(cues: DataFrame, max_gap: float = 2.0, track: str = "trac
     )
 
 
-def bilingual_mode(cues: DataFrame, track: str = "track_id", position: str = "cue_idx") -> DataFrame:
-    """Layout of each track: ``line_by_line`` where most cues with a line break hold two scripts, ``same_timing_pairs``
-    where most neighbours share their times and differ in script, else ``none``."""
-    order = Window.partitionBy(track).orderBy(position)
-    lines = F.split("text", "\n")
-    two = (F.size(lines) == 2) & (F.abs(T.cjk_ratio(F.get(lines, F.lit(0))) - T.cjk_ratio(F.get(lines, F.lit(1)))) > 0.4)
-    paired = (F.abs(F.col("start") - F.lag("start").over(order)) < 0.01) & (F.abs(T.cjk_ratio(F.col("text")) - F.lag(T.cjk_ratio(F.col("text"))).over(order)) > 0.4)
-    facts = cues.where("text is not null").select(track, (F.size(lines) == 2).alias("broken"), two.alias("two"), F.coalesce(paired, F.lit(False)).alias("paired"))
-    counted = facts.groupBy(track).agg(F.count("*").alias("n"), F.count_if("broken").alias("broken"), F.count_if("two").alias("two"), F.count_if("paired").alias("paired"))
-    mode = (
-        F.when((F.col("two") >= 2) & (F.col("two") > 0.5 * F.col("broken")) & (F.col("two") >= 0.2 * F.col("n")), "line_by_line")
-        .when((F.col("paired") >= 2) & (F.col("paired") >= 0.3 * F.col("n")), "same_timing_pairs")
-        .otherwise("none")
-    )
-    return counted.select(track, mode.alias("mode"), "n", "two", "paired")
-
-
 def merge_lines(cues: DataFrame) -> DataFrame:
     """First line as text, the rest as translation."""
     lines = F.split("text", "\n", 2)
@@ -133,11 +116,57 @@ def extract_sides(cues: DataFrame) -> DataFrame:
     return cues.withColumn("x", F.explode(sides)).where("x.said is not null and x.said <> ''").select(*[c for c in cues.columns if c not in ("text", "translation")], "x.side", F.col("x.said").alias("text"))
 
 
-def speaker_candidates(lines: DataFrame, track: str = "track_id", least: int = 3) -> DataFrame:
-    """Capitalised names of one to four words before a colon, seen at least ``least`` times in a track."""
-    p = "^([A-Z][a-zA-Z\\x{00C0}-\\x{024F}'-]+(?:\\s+[A-Z][a-zA-Z\\x{00C0}-\\x{024F}'-]+){0,3})[:：]\\s+"
-    name = F.regexp_extract("text", p, 1)
-    return lines.where(F.col("text").rlike(p)).groupBy(track, name.alias("name")).agg(F.count("*").alias("lines")).where(F.col("lines") >= least)
+def is_event(text: Column) -> Column:
+    """A text that is all in brackets, such as ``[Music]``."""
+    return F.trim(text).rlike("(?s)^\\[.*\\]$")
+
+
+# Fixed value: a name of one to four capitalised words before a colon.
+NAME_LABEL = "^([A-Z][a-zA-Z\\x{00C0}-\\x{024F}'-]+(?:\\s+[A-Z][a-zA-Z\\x{00C0}-\\x{024F}'-]+){0,3})[:：]\\s+"
+
+
+def frequent_names(lines: DataFrame, least: int = 3, track: str = "track_id") -> DataFrame:
+    """Names before a colon seen at least ``least`` times in a track."""
+    name = F.nullif(F.regexp_extract("text", NAME_LABEL, 1), F.lit(""))
+    return lines.select(track, name.alias("name")).where("name is not null").groupBy(track, "name").agg(F.count("*").alias("lines")).where(F.col("lines") >= least)
+
+
+def speaker_candidates(lines: DataFrame, track: str = "track_id", position: str = "cue_idx", least: int = 3) -> DataFrame:
+    """Names that label speakers, with the ``lines`` they stand before.
+
+    A name seen ``least`` times is one, and so is its neighbour among the labels if it
+    recurs.  Without any such name all names of a track count if they alternate, recur and
+    leave lines without a label between them, or if every line has a label, none twice in
+    a row and four at least.  Blank lines do not count.
+    """
+    spoken = lines.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    order = Window.partitionBy(track).orderBy(position)
+    labelled = spoken.select(track, position, F.row_number().over(order).alias("nr"), F.nullif(F.regexp_extract("text", NAME_LABEL, 1), F.lit("")).alias("name"))
+    totals = labelled.groupBy(track).agg(F.count("*").alias("all"))
+    names = labelled.where("name is not null")
+    counts = names.groupBy(track, "name").agg(F.count("*").alias("lines"))
+    counted = names.join(counts, [track, "name"])
+    beside = counted.select(
+        track, "name", "nr", "lines", F.lag("name").over(order).alias("before"), F.lag("lines").over(order).alias("lines_before"), F.lead("name").over(order).alias("behind"),
+        F.lead("lines").over(order).alias("lines_behind"), F.lag("nr").over(order).alias("nr_before"),
+    )
+    sure = F.col("lines") >= least
+    near = (F.col("lines") >= 2) & ((F.col("lines_before") >= least) | (F.col("lines_behind") >= least))
+    facts = beside.groupBy(track).agg(
+        F.bool_or(sure).alias("any_sure"), F.count_distinct("name").alias("names"), F.count("*").alias("labels"),
+        F.bool_or(F.coalesce(F.col("before") != F.col("name"), F.lit(False))).alias("alternates"), F.bool_and(F.coalesce(F.col("before") != F.col("name"), F.lit(True))).alias("never_twice"),
+        F.bool_or(F.col("lines") >= 2).alias("recurs"), F.bool_or(F.coalesce(F.col("nr") - F.col("nr_before") > 1, F.lit(False))).alias("gaps"),
+    ).join(totals, track)
+    talk = (F.col("names") >= 2) & (F.col("alternates") & F.col("recurs") & F.col("gaps") | (F.col("labels") == F.col("all")) & F.col("never_twice") & (F.col("labels") >= 4))
+    told = beside.join(facts.select(track, "any_sure", talk.alias("talk")), track)
+    return told.where(F.when(F.col("any_sure"), sure | near).otherwise(F.col("talk"))).groupBy(track, "name").agg(F.max("lines").alias("lines"))
+
+
+def by_candidates(cues: DataFrame, candidates: DataFrame, *keys: str, exact: bool = False) -> DataFrame:
+    """Cues whose speaker, without its colon unless ``exact``, is a candidate (``speaker``), of the same ``keys`` where given."""
+    bare = F.col("speaker") if exact else F.regexp_replace(F.rtrim("speaker"), "[:：]+$", "")
+    known = candidates.select(*keys, F.col("speaker").alias("__name")).distinct()
+    return cues.withColumn("__name", bare).join(known, [*keys, "__name"], "left_semi").drop("__name")
 
 
 def apply_alignment(cues: DataFrame, aligned: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as T
+from cuemill.functions.vectorised import vectorised
+from cuemill.functions.kinds import line_type  # noqa: F401
 from cuemill.operators.segments import words_of
 
 
@@ -140,11 +142,7 @@ def split_translation(translation: Column, shares: Column) -> Column:
     Slices hold their blanks, so joined they give the translation back.
     """
 
-    @F.udf("array<string>")
-    def cut(text: str, parts: list):
-        return slices(text, parts)
-
-    return cut(translation, shares)
+    return vectorised(slices, "array<string>")(translation, shares)
 
 
 def slices(text: str | None, parts: list[float] | None) -> list[str] | None:
@@ -165,37 +163,3 @@ def slices(text: str | None, parts: list[float] | None) -> list[str] | None:
         out.append(text[at:best])
         at = best
     return [*out, text[at:]]
-
-
-# Name, sung, unsung, outline and shadow colour of karaoke schemes.
-COLOR_SCHEMES = (
-    ("azure-gold", "#FFC209", "#FFFFFF", "#1387C0", "#0A3D5C"),
-    ("sakura-purple", "#F7C3D9", "#7953B1", "#063C85", "#1A1A2E"),
-    ("mint-ocean", "#A1FEEF", "#658AE4", "#28314E", "#0A0A1A"),
-    ("gardenia-green", "#FFFFFF", "#9DC92A", "#77964A", "#1C2B1A"),
-    ("sunset-warm", "#FAEDD1", "#F4520D", "#1387C0", "#0A1628"),
-    ("prussian-elegant", "#FFFFFF", "#FBC03D", "#003153", "#001A2C"),
-    ("burgundy-classic", "#F7F2DF", "#CC5D84", "#800020", "#2A000D"),
-    ("langgan-spring", "#C1D796", "#CC5D84", "#8A3A5A", "#2A1020"),
-    ("mars-teal", "#FFFFFF", "#008C8C", "#003153", "#001A1A"),
-    ("spring-field", "#FBFFF2", "#46B065", "#008E6B", "#0A2A1A"),
-    ("navy-pink", "#FFFFFF", "#F7C3D9", "#063C85", "#021A3A"),
-    ("apricot-dark", "#FEA72E", "#F7F2DF", "#3A3C50", "#1A1A28"),
-    ("yellow-pop", "#FACC15", "#FFFFFF", "#000000", "#000000"),
-)
-
-
-def line_type(text: Column, start: Column, raw: Column) -> Column:
-    """Kind of a line that is no dialogue, by its override tags, then by early credits and web addresses; null for dialogue."""
-    s = T.ass_signals(raw)
-    early = (start <= 120) & (F.length(text) <= 50)
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", F.lit(None).cast("string"))
-        .when(s["karaoke"], "karaoke")
-        .when(s["an"].isin(8, 9) & (s["bord"] == 1) & (s["bold"] == 1) & s["fs"].between(16, 22), "sign")
-        .when((s["an"] == 8) & (s["fs"] >= 28) & s["animated_size"], "title")
-        .when((s["an"] == 1) & text.rlike("前情提要|前情回顾|上集回顾|上期回顾|本剧纯属虚构"), "banner")
-        .when(s["an"].isin(3, 9) & (s["fs"] > 0) & (s["fs"] <= 16) & (s["bold"] == 0) & s["pos"], "translator_note")
-        .when(early & text.rlike("^\\s*(?:翻译|校对|时间轴|后期|总监|压制|监制|特效|听译|编辑|审核|片源|录制|制作|调轴|打轴|翻\\|校\\|监|翻\\|校|校\\|监)\\s+\\S"), "staff_credit")
-        .when(early & F.lower(text).rlike("www\\.|\\.(?:com|tv|net|org)|人人影视|字幕组|字幕社|原创翻译|双语字幕|仅供(?:交流|学习)|禁止商用|请勿用于商业"), "branding")
-    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("periods", "scalars", "timing", "formats", "analysis", "wordlevel", "composite")
+MODULES = ("periods", "scalars", "timing", "formats", "analysis", "wordlevel", "composite", "cases")
 
 
 def collect() -> tuple[dict, dict]:

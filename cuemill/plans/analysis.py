@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as T
-from cuemill.operators import segments
+from cuemill.operators import bilingual, cues, measures, segments
 from cuemill.plans.timing import _CUES, _cues
 from cuemill.session import table
 
@@ -31,9 +31,7 @@ def query(sql: str):
 
 @query(f"with {_CUES} select track_id, {_R.format('arg_max(start, cue_idx) + arg_max(duration, cue_idx) - arg_min(start, cue_idx)')} span_ms, {_R.format('arg_min(start, cue_idx)')} first_ms from (select * from cues where start is not null and duration is not null) group by track_id")
 def a01_track_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = _cues(spark, sf_dir).where("start is not null and duration is not null")
-    end = F.max_by(F.col("start") + F.col("duration"), "cue_idx")
-    return cues.groupBy("track_id").agg(_ms(end - F.min_by("start", "cue_idx")).alias("span_ms"), _ms(F.min_by("start", "cue_idx")).alias("first_ms"))
+    return measures.span(_cues(spark, sf_dir)).select("track_id", _ms(F.col("span")).alias("span_ms"), _ms(F.col("start")).alias("first_ms"))
 
 
 @query(f"with {_CUES} select track_id, {_R.format('max(start + duration)')} end_ms, count(*) num_segments, coalesce(list_sort(list_distinct(list(case when speaker <> '' then speaker end))), []) speakers from cues group by track_id")
@@ -44,51 +42,44 @@ def a02_document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select track_id, speaker, count(*) lines, count(distinct cue_idx) cues from supervisions where speaker <> '' group by track_id, speaker")
 def a03_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supervisions", "track_id", "cue_idx", "speaker").where("speaker <> ''").groupBy("track_id", "speaker").agg(F.count("*").alias("lines"), F.count_distinct("cue_idx").alias("cues"))
+    return measures.speaker_counts(table(spark, sf_dir, "supervisions", "track_id", "cue_idx", "speaker"))
 
 
 @query(f"select track_id, count(*) filter (len({_WORDS}) > 0) with_words, cast(sum(len({_WORDS})) as bigint) as words from supervisions group by track_id")
 def a09_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.size(segments.words_of(F.coalesce("text", F.lit(""))))
-    return table(spark, sf_dir, "supervisions", "track_id", "text").groupBy("track_id").agg(F.count_if(n > 0).alias("with_words"), F.sum(n).cast("long").alias("words"))
+    return measures.word_counts(table(spark, sf_dir, "supervisions", "track_id", "text"))
 
 
 @query("select json_extract_string(custom, '$.ass_style') style, count(*) cues, count(distinct track_id) tracks from supervisions where custom is not null group by 1")
 def a12_style_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = table(spark, sf_dir, "supervisions", "track_id", "custom").where("custom is not null")
-    return cues.groupBy(F.get_json_object("custom", "$.ass_style").alias("style")).agg(F.count("*").alias("cues"), F.count_distinct("track_id").alias("tracks"))
+    return measures.style_histogram(cues, F.get_json_object("custom", "$.ass_style"))
 
 
 @query(f"with {_CUES} select track_id, coalesce({_R.format('max(start + duration)')}, 3600000) total_ms from cues group by track_id")
 def a14_total_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cues(spark, sf_dir).groupBy("track_id").agg(F.coalesce(_ms(F.max(F.col("start") + F.col("duration"))), F.lit(3_600_000).cast("long")).alias("total_ms"))
+    return measures.total_duration(_cues(spark, sf_dir)).select("track_id", _ms(F.col("total")).alias("total_ms"))
 
 
 @query("select track_id, speaker, row_number() over (partition by track_id order by first_cue) - 1 as place, (row_number() over (partition by track_id order by first_cue) - 1) % 10 as color from (select track_id, speaker, min(cue_idx) first_cue from supervisions where speaker <> '' group by 1, 2)")
 def w21_speaker_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speakers in order of first appearance with their place in a palette of ten."""
-    first = table(spark, sf_dir, "supervisions", "track_id", "cue_idx", "speaker").where("speaker <> ''").groupBy("track_id", "speaker").agg(F.min("cue_idx").alias("first_cue"))
-    # two speakers never share a position, as each position has one label
-    place = (F.row_number().over(Window.partitionBy("track_id").orderBy("first_cue")) - 1).cast("long")
-    return first.select("track_id", "speaker", place.alias("place"), (place % 10).alias("color"))
+    return measures.speaker_places(table(spark, sf_dir, "supervisions", "track_id", "cue_idx", "speaker"))
 
 
 @query(f"with {_CUES} select row_id, coalesce(speaker, '') <> '' and speaker is distinct from lag(speaker) over (partition by track_id order by cue_idx) as is_new from cues")
 def w05_speaker_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fresh = (F.coalesce("speaker", F.lit("")) != "") & ~F.col("speaker").eqNullSafe(F.lag("speaker").over(_TRACK()))
-    return _cues(spark, sf_dir, "speaker").select("row_id", fresh.alias("is_new"))
+    return cues.new_speaker(_cues(spark, sf_dir, "speaker")).select("row_id", F.col("new_speaker").alias("is_new"))
 
 
 @query(f"with {_CUES} select row_id, printf('Marker %03d', row_number() over w) marker, printf('segment_%05d', row_number() over w - 1) segment from cues window w as (partition by track_id order by cue_idx)")
 def w22_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(_TRACK())
-    return _cues(spark, sf_dir).select("row_id", F.format_string("Marker %03d", n).alias("marker"), F.format_string("segment_%05d", n - 1).alias("segment"))
+    return measures.numbered(_cues(spark, sf_dir)).select("row_id", "marker", "segment")
 
 
 @query(f"with {_CUES} select row_id, last_value(speaker ignore nulls) over (partition by track_id order by cue_idx rows unbounded preceding) carried from (select * replace (nullif(speaker, '') as speaker) from cues)")
 def w11_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = _cues(spark, sf_dir, "speaker").withColumn("speaker", F.nullif("speaker", F.lit("")))
-    return cues.select("row_id", F.last("speaker", ignorenulls=True).over(_TRACK().rowsBetween(Window.unboundedPreceding, 0)).alias("carried"))
+    return measures.carried_forward(_cues(spark, sf_dir, "speaker"), "speaker").select("row_id", "carried")
 
 
 @query(f"""with {_CUES}, m as (select *, case when speaker is not distinct from lag(speaker) over w and start - lag(start + duration) over w <= 2.0 then 0 else 1 end opens
@@ -161,14 +152,13 @@ def j02_apply_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select track_id, regexp_extract(text, '^([A-Z][a-zA-Z\\x{00C0}-\\x{024F}''-]+(?:\\s+[A-Z][a-zA-Z\\x{00C0}-\\x{024F}''-]+){0,3})[:：]\\s+', 1) as name, count(*) as lines from supervisions where regexp_matches(text, '^([A-Z][a-zA-Z\\x{00C0}-\\x{024F}''-]+(?:\\s+[A-Z][a-zA-Z\\x{00C0}-\\x{024F}''-]+){0,3})[:：]\\s+') group by 1, 2 having count(*) >= 2")
 def a07_speaker_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.speaker_candidates(table(spark, sf_dir, "supervisions", "track_id", "text"), least=2)
+    return segments.frequent_names(table(spark, sf_dir, "supervisions", "track_id", "text"), 2)
 
 
 @query("select s.row_id from supervisions s where s.speaker in (select full_name from speakers)")
 def j08_candidate_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = table(spark, sf_dir, "speakers", "full_name")
-    cues = table(spark, sf_dir, "supervisions", "row_id", "speaker")
-    return cues.join(people, cues["speaker"] == people["full_name"], "left_semi").select("row_id")
+    people = table(spark, sf_dir, "speakers", F.col("full_name").alias("speaker"))
+    return segments.by_candidates(table(spark, sf_dir, "supervisions", "row_id", "speaker"), people, exact=True).select("row_id")
 
 
 @query("select t.track_id from (select distinct track_id from text_tracks) t where not exists (select 1 from validation_results v where v.track_id = t.track_id)")
@@ -184,8 +174,9 @@ def s_repeated_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select track_id, row_id, cast(place as integer) place from (select track_id, row_id, row_number() over (partition by track_id order by duration desc, row_id) place from supervisions where duration is not null) where place <= 3")
 def s05_longest_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three longest cues of each track: a top-k report."""
+    held = table(spark, sf_dir, "supervisions", "track_id", "row_id", "duration").where("duration is not null")
     order = Window.partitionBy("track_id").orderBy(F.desc("duration"), "row_id")
-    return table(spark, sf_dir, "supervisions", "track_id", "row_id", "duration").where("duration is not null").withColumn("place", F.row_number().over(order)).where("place <= 3").drop("duration")
+    return held.withColumn("place", F.row_number().over(order)).where("place <= 3").drop("duration")
 
 
 @query("select track_id from supervisions intersect select track_id from validation_results")
@@ -212,7 +203,7 @@ def t_tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a05_bilingual_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.bilingual_mode(_cues(spark, sf_dir, "text")).select("track_id", "mode")
+    return bilingual.bilingual_mode(_cues(spark, sf_dir, "text")).select("track_id", "mode")
 
 
 QUERIES["a05_bilingual_mode"] = a05_bilingual_mode

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.functions import color, text, timecode
+from cuemill.functions import color, languages, text, timecode
 from cuemill.session import table
 
 
@@ -109,8 +109,13 @@ _add(
     {"ms": f"cast(round_even(1000 * greatest(0.3, case when {_RATIO} > 0.3 then length(regexp_replace(text, '{_WS}', '', 'g')) / 4.0 else len(list_filter(string_split({_SQUASH}, ' '), lambda w: w <> '')) / 3.3 end), 0) as bigint)"},
 )
 _add("f36_effective_tokens", lambda: {"tokens": text.effective_tokens(C()).cast("long")}, {"tokens": "length(regexp_replace(text, '[^\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]', '', 'g')) + len(regexp_extract_all(text, '[A-Za-z0-9''’]+'))"})
-_COUNTS = ", ".join(f"{{'n': length(regexp_replace(text, '[^{r}]', '', 'g')), 'k': {-k}, 'name': '{name}'}}" for k, (name, r) in enumerate(text.SCRIPT_RANGES.items()))
-_add("a10_detect_script", lambda: {"script": text.script(C())}, {"script": f"(select case when b.n > 0 then b.name end from (select list_max([{_COUNTS}]) b))"})
+# ranges of letters by script, in the order of preference
+_RANGES = [
+    ("latin", "A-Za-z\\x{C0}-\\x{24F}"), ("east_asian", "\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}"), ("cyrillic", "\\x{400}-\\x{4FF}"), ("greek", "\\x{370}-\\x{3FF}"), ("arabic", "\\x{600}-\\x{6FF}"), ("hebrew", "\\x{590}-\\x{5FF}"),
+    ("armenian", "\\x{530}-\\x{58F}"), ("georgian", "\\x{10A0}-\\x{10FF}"), ("devanagari", "\\x{900}-\\x{97F}"), ("bengali", "\\x{980}-\\x{9FF}"), ("gurmukhi", "\\x{A00}-\\x{A7F}"), ("gujarati", "\\x{A80}-\\x{AFF}"), ("tamil", "\\x{B80}-\\x{BFF}"), ("thai", "\\x{E00}-\\x{E7F}"),
+]
+_COUNTS = ", ".join(f"{{'n': length(regexp_replace(text, '[^{r}]', '', 'g')), 'k': {-k}, 'name': '{name}'}}" for k, (name, r) in enumerate(_RANGES))
+_add("a10_detect_script", lambda: {"script": languages.detect_script(C())}, {"script": f"(select case when b.n > 0 then b.name end from (select list_max([{_COUNTS}]) b))"})
 _SP = [
     ("^((?:>>|&gt;&gt;|>|&gt;)[^:：]*?[:：])\\s*((?s:.*))$", None),
     ("^(\\[SPEAKER_[^\\]]*\\][:：])\\s*((?s:.*))$", None),

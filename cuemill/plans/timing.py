@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuemill.operators import timing
+from cuemill.operators import cues, measures, segments, timing
 from cuemill.session import table
 
 MS = lambda c: F.rint(F.col(c) * 1000).cast("long")
@@ -30,11 +30,11 @@ def p01_filter_by_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p02_shift_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ms_of(timing.shift_time(table(spark, sf_dir, "supervisions", "row_id", "start", "duration"), -30.0), "row_id")
+    return _ms_of(cues.shift_time(table(spark, sf_dir, "supervisions", "row_id", "start", "duration"), -30.0), "row_id")
 
 
 def p03_apply_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ms_of(timing.apply_offset(table(spark, sf_dir, "supervisions", "row_id", "start", "duration"), 3600.0), "row_id")
+    return _ms_of(cues.timecode_offset(table(spark, sf_dir, "supervisions", "row_id", "start", "duration"), 3600.0), "row_id")
 
 
 def p05_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,20 +47,22 @@ def p12_valid_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p13_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supervisions", "row_id", "text").where(F.trim("text").rlike("(?s)^\\[.*\\]$")).select("row_id")
+    return table(spark, sf_dir, "supervisions", "row_id", "text").where(segments.is_event(F.col("text"))).select("row_id")
 
 
 def p14_custom_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supervisions", "row_id", "custom").where("custom is not null").select("row_id", F.get_json_object("custom", "$.ass_style").alias("style"))
+    held = table(spark, sf_dir, "supervisions", "row_id", "custom").where("custom is not null")
+    return held.select("row_id", cues.custom_get(F.from_json("custom", "map<string,string>"), "ass_style").alias("style"))
 
 
 def p16_include_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = (F.coalesce("speaker", F.lit("")) != "") & F.coalesce(F.get_json_object("custom", "$.original_speaker").cast("boolean"), F.lit(True))
+    shown = cues.include_speaker(True, F.col("speaker"), F.get_json_object("custom", "$.original_speaker").cast("boolean"))
     return table(spark, sf_dir, "supervisions", "row_id", "speaker", "custom").select("row_id", shown.alias("shown"))
 
 
 def p20_derived_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supervisions", "row_id", "start", "duration").select("row_id", F.rint((F.col("start") + F.col("duration")) * 1000).cast("long").alias("end_ms"))
+    ends = table(spark, sf_dir, "supervisions", "row_id", "start", "duration").withColumn("end", cues.derived_end(F.col("start"), F.col("duration")))
+    return ends.select("row_id", MS("end").alias("end_ms"))
 
 
 def j01_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +92,11 @@ def c02_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w09_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("track_id").orderBy("cue_idx")
-    gap = F.col("start") - F.lag(F.col("start") + F.col("duration")).over(order)
-    return _cues(spark, sf_dir).select("row_id", F.rint(gap * 1000).cast("long").alias("gap_ms"))
+    return measures.with_gaps(_cues(spark, sf_dir)).select("row_id", MS("gap").alias("gap_ms"))
 
 
 def w06_lead_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("track_id").orderBy("cue_idx")
-    return _cues(spark, sf_dir).select("row_id", F.rint(F.coalesce(F.lead("start").over(order) - F.col("start"), F.lit(5.0)) * 1000).cast("long").alias("shown_ms"))
+    return measures.with_lead_duration(_cues(spark, sf_dir)).select("row_id", MS("shown").alias("shown_ms"))
 
 
 def w04_margins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,12 +103,6 @@ def f24_line_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supervisions", "row_id", "text", "start").where("text is not null").select("row_id", words.line_type(F.col("text"), F.coalesce("start", F.lit(999.0)), F.lit("")).alias("kind"))
 
 
-@query("select * from (values " + ", ".join(f"('{n}', '{a}', '{a[5:7]}{a[3:5]}{a[1:3]}')" for n, a, *_ in words.COLOR_SCHEMES) + ") t(scheme, sung, bgr)")
-def f72_color_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schemes = spark.createDataFrame(list(words.COLOR_SCHEMES), "scheme string, sung string, unsung string, outline string, shadow string")
-    return schemes.select("scheme", "sung", color.hex_to_bgr(F.col("sung")).alias("bgr"))
-
-
 @query(f"""select row_id, text <> '' and duration > 0.01 as alignable, coalesce(nullif(speaker, ''), '') <> '' as labelled, len({_WORDS}) >= 3 as long_enough from supervisions where text is not null and duration is not null""")
 def xp10_alignable(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = table(spark, sf_dir, "supervisions", "row_id", "text", "duration", "speaker").where("text is not null and duration is not null")

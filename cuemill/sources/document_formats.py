@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
@@ -103,23 +105,42 @@ def textgrid(content: str) -> list[Cue]:
     return sorted(out, key=lambda c: c[0])
 
 
-def audition(content: str) -> list[Cue]:
-    lines = [x for x in content.split("\n") if x.strip()]
-    head = [h.strip().lower() for h in lines[0].split("\t")] if lines else []
+def comma_rows(content: str) -> list[Cue]:
+    """``start, end, text`` or ``speaker, start, end, text`` in milliseconds, told by the header; further cells belong to the text.
+
+    Quoted cells may hold commas and line breaks; rows that are none are skipped.
+    """
+    rows = [r for r in csv.reader(io.StringIO(content)) if r]
+    head = [c.strip().lower() for c in rows[0]] if rows else []
+    named = "speaker" in head
+    out = []
+    for row in rows[1:] if {"start", "end", "text"} <= {*head} else rows:
+        shift = 1 if named and len(row) >= 4 else 0
+        try:
+            start, end = float(row[shift]) / 1000, float(row[shift + 1]) / 1000
+        except (ValueError, IndexError):
+            continue
+        if end > start and len(row) > shift + 2:
+            out.append((start, end - start, (row[0].strip() or None) if shift else None, ",".join(row[shift + 2 :]).strip()))
+    return out
+
+
+def audition(content: str, rate: int = 48_000) -> list[Cue]:
+    """Markers with commas or tabs between the cells; times in seconds or samples; the text is the description, else a telling name."""
+    first = content.split("\n", 1)[0]
+    table = csv.DictReader(io.StringIO(content), delimiter="\t" if first.count("\t") > first.count(",") else ",")
     out = []
-    for line in lines[1:]:
-        row = dict(zip(head, line.split("\t"), strict=False))
+    for row in table:
+        name, said = row.get("Name") or "", row.get("Description") or ""
+        per = rate if "sample" in (row.get("Time Format") or "") or (row.get("Time Format") or "").startswith("48000") else 1
         try:
-            start, length = float(row.get("start", "")), float(row.get("duration", ""))
-        except ValueError:
+            start, length = float(row["Start"]) / per, float(row["Duration"]) / per
+        except (KeyError, TypeError, ValueError):
             continue
-        if row.get("time format", "decimal").startswith("48000") or row.get("time format") == "samples":
-            start, length = start / 48000, length / 48000
-        name = row.get("name", "")
-        said = row.get("description") or ("" if re.search(r"Marker \d+$", name) else name)
+        said = said or ("" if name.startswith("Marker ") else name)
         m = re.match(r"^(.*) - Marker \d+$", name)
         if length > 0 and said:
-            out.append((start, length, m[1] if m and m[1] != "Speaker" else None, said))
+            out.append((start, length, m[1] if m and m[1] != "Speaker" else None, said.strip()))
     return sorted(out, key=lambda c: c[0])
 
 
@@ -167,39 +188,6 @@ def premiere(content: str) -> list[Cue]:
     return sorted(out, key=lambda c: c[0])
 
 
-def markdown(content: str, last: float = 0.3) -> list[Cue]:
-    """Transcript lines: speakers in bold, stamps in brackets, bracketed events; headers and front matter are skipped.
-
-    A cue without an end lasts to the next start, or by its length.
-    """
-    body = re.sub(r"(?s)\A---\s*\n.*?\n---\s*\n", "", re.sub(r"(?s)<thinking>.*?</thinking>", "", content))
-    found: list[list] = []
-    for line in body.split("\n"):
-        line = line.strip()
-        if not line or line.startswith(("#", "![", "|", "* [", "- [")):
-            continue
-        if line.startswith(">") and found:
-            continue
-        m = re.match(r"^\*\*([^*]{1,80}?):?\*\*:?\s*(.*)$", line)
-        speaker, said = (m[1], m[2]) if m else (None, line)
-        stamps = [clock(s) for s in re.findall(r"\[(\d{1,2}:\d{2}(?::\d{2})?(?:\.\d{1,3})?)\]", said)]
-        said = re.sub(r"\s*\[\d{1,2}:\d{2}(?::\d{2})?(?:\.\d{1,3})?\]\s*", " ", said).strip()
-        if not said or (not speaker and not stamps and not re.match(r"^\[.*\]$", said)):
-            if said and found:
-                found[-1][3] += " " + said
-            continue
-        found.append([stamps[0] if stamps else None, stamps[1] if len(stamps) > 1 else None, speaker, said])
-    out, end = [], 0.0
-    for k, (start, stop, speaker, said) in enumerate(found):
-        guess = max(last, len(said.split()) / 3.3)
-        start = end if start is None else start
-        ahead = next((x[0] for x in found[k + 1 :] if x[0] is not None and x[0] > start), None)
-        stop = stop if stop is not None else min(ahead, start + guess) if ahead is not None else start + guess
-        end = max(stop, start + 0.1)
-        out.append((start, end - start, speaker, said))
-    return out
-
-
 def reader(parse: Callable[[str], list[Cue]]) -> Callable[..., DataFrame]:
     """A DataFrame reader of ``doc_id, content`` out of a function over one content."""
 
@@ -219,7 +207,7 @@ def reader(parse: Callable[[str], list[Cue]]) -> Callable[..., DataFrame]:
     return read
 
 
-# ---- captions with a stamp on each word, as video sites deliver them
+# ---- cues with a stamp on each word, as video sites deliver them
 
 WORD_SCHEMA = SCHEMA + ", words array<struct<symbol:string,start:double,duration:double>>"
 _CUE_LINE = re.compile(r"^((?:\d+:)?\d+:\d+\.\d+)\s+-->\s+((?:\d+:)?\d+:\d+\.\d+)")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from cuemill.sources import document_formats as D
 from cuemill.sources import text_formats as X
+from cuemill.sources import transcripts
 
-_md, _ttml = D.reader(D.markdown), D.reader(D.ttml)
+_md, _ttml = D.reader(transcripts.cues), D.reader(D.ttml)
 READERS: dict[str, Callable[..., DataFrame]] = {
     "srt": X.read_srt, "vtt": X.read_vtt, "ass": X.read_ass, "ssa": X.read_ass, "sub": X.read_microdvd, "sami": X.read_sami, "smi": X.read_sami,
-    "sbv": X.read_sbv, "lrc": X.read_lrc, "srv3": D.reader(D.srv3), "json": X.read_json, "json3": X.read_json3, "csv": X.read_csv, "tsv": X.read_tsv,
+    "sbv": X.read_sbv, "lrc": X.read_lrc, "srv3": D.reader(D.srv3), "json": X.read_json, "json3": X.read_json3, "csv": D.reader(D.comma_rows), "tsv": X.read_tsv,
     "aud": X.read_aud, "txt": X.read_txt, "textgrid": D.reader(D.textgrid), "ttml": _ttml, "imsc1": _ttml, "ebu_tt_d": _ttml,
     "markdown": _md, "md": _md, "gemini": _md, "avid_ds": D.reader(D.avid), "fcpxml": D.reader(D.fcpxml), "premiere_xml": D.reader(D.premiere), "audition_csv": D.reader(D.audition),
 }
@@ -76,7 +77,7 @@ def detect_format(content: Column) -> Column:
         .when(head.rlike("<xmeml"), "premiere_xml")
         .when(head.rlike("(?i)^(?:speaker,)?start,end"), "csv")
         .when(head.rlike("(?i)^(?:speaker\\t)?start\\tend"), "tsv")
-        .when(head.rlike("^Name\\tStart\\tDuration"), "audition_csv")
+        .when(head.rlike("^\"?Name\"?[,\\t]\"?Start\"?[,\\t]\"?Duration"), "audition_csv")
         .when(head.rlike("^File type = \"ooTextFile"), "textgrid")
         .when(head.rlike("^@ This file written"), "avid_ds")
         .when(head.rlike("^\\d+(\\.\\d+)?\\t\\d+(\\.\\d+)?\\t"), "aud")
@@ -86,20 +87,63 @@ def detect_format(content: Column) -> Column:
         .when(head.rlike("(?m)\\[\\d{1,2}:\\d{2}(:\\d{2})?\\]\\s*$|^## \\["), "markdown")
         .when(head.rlike("\\d+:\\d{2}:\\d{2}[,.]\\d{1,3}\\s*-->"), "srt")
         .when(head.rlike("(?m)^\\d+:\\d{2}:\\d{2}\\.\\d{3},\\d+:\\d{2}:\\d{2}\\.\\d{3}$"), "sbv")
-        .when(head.rlike("<fcpxml"), "fcpxml")
-        .when(head.rlike("<xmeml"), "premiere_xml")
-        .when(head.rlike("(?i)^(?:speaker,)?start,end"), "csv")
-        .when(head.rlike("(?i)^(?:speaker\\t)?start\\tend"), "tsv")
-        .when(head.rlike("^Name\\tStart\\tDuration"), "audition_csv")
         .when(head.rlike("(?m)^\\d+(\\.\\d+)?\\t\\d+(\\.\\d+)?\\t"), "aud")
         .when(head.rlike("ooTextFile"), "textgrid")
         .when(head.rlike("(?m)^\\{\\d+\\}\\{\\d+\\}"), "sub")
         .when(head.rlike("(?i)<SAMI>"), "sami")
-        .when(head.rlike("^@ This file written"), "avid_ds")
         .otherwise("txt")
     )
 
 
+# Endings of paths in the order they are tried.
+EXTENSIONS = (
+    (".srt", "srt"), (".ass", "ass"), (".ssa", "ssa"), (".sub", "sub"), (".smi", "sami"), (".sami", "sami"), (".sbv", "sbv"), (".lrc", "lrc"), (".srv3", "srv3"), (".ytt", "srv3"),
+    (".json", "json"), (".json3", "json3"), (".csv", "csv"), (".tsv", "tsv"), (".aud", "aud"), (".txt", "aud"), (".textgrid", "textgrid"), (".ttml", "ttml"), (".xml", "ttml"),
+    (".fcpxml", "fcpxml"), (".fcpxmld", "fcpxml"),
+)
+
+
+def is_content(source: Column) -> Column:
+    """A text that cannot be a path: several lines or over 500 characters."""
+    return F.contains(source, F.lit("\n")) | (F.length(source) > 500)
+
+
+def can_read(source: Column, content: Column, fmt: str) -> Column:
+    """Whether a format's reader takes a path (with the file's content, null where unknown) or a text given in its place."""
+    low, given = F.lower(source), is_content(source)
+    body = F.when(given, source).otherwise(content)
+    head = F.left(F.coalesce(body, F.lit("")), F.lit(4096))
+    if fmt == "vtt":
+        return F.when(given, F.startswith(F.trim(source), F.lit("WEBVTT"))).otherwise(F.endswith(low, F.lit(".vtt")))
+    if fmt in ("markdown", "md", "gemini"):
+        known = F.contains(low, F.lit("gemini")) | head.rlike("\\[\\d{1,2}:\\d{2}(?::\\d{2})?\\]|\\*\\*.+?[:：]\\*\\*")
+        return ~given & F.endswith(low, F.lit(".md")) & known
+    if fmt == "premiere_xml":
+        return (given | F.endswith(low, F.lit(".xml"))) & F.contains(F.lower(F.left(head, F.lit(1024))), F.lit("<xmeml"))
+    if fmt == "json3":
+        marked = F.contains(F.left(source, F.lit(500)), F.lit('"wireMagic"')) | F.contains(F.left(source, F.lit(2000)), F.lit('"events"')) & F.contains(F.left(source, F.lit(2000)), F.lit('"tStartMs"'))
+        return F.when(given | F.ltrim(source).rlike("^\\{"), marked).otherwise(F.endswith(low, F.lit(".json3")))
+    if fmt == "srv3":
+        marks = F.contains(source, F.lit("<timedtext")) & F.contains(source, F.lit('format="3"'))
+        return F.when(given | F.contains(source, F.lit("<timedtext")) | F.contains(source, F.lit('format="3"')), marks).otherwise(low.rlike("\\.(?:srv3|ytt)$"))
+    endings = [e for e, f in EXTENSIONS if f == fmt]
+    found = F.lit(False)
+    for e in endings:
+        found = found | F.endswith(low, F.lit(e))
+    return found
+
+
+def detect_path(path: Column, content: Column) -> Column:
+    """Format of a file by its path: those told by content first, then the ending, then an ending that is a format's name; else null."""
+    low = F.lower(path)
+    ending = F.regexp_extract(low, "\\.([^./]+)$", 1)
+    sure = lambda fmt: F.coalesce(can_read(path, content, fmt), F.lit(False))
+    found = F.when(sure("vtt"), "vtt").when(sure("markdown"), "markdown").when(sure("premiere_xml"), "premiere_xml").when(is_content(path), F.lit(None).cast("string"))
+    for e, fmt in EXTENSIONS:
+        found = found.when(F.endswith(low, F.lit(e)), fmt)
+    return found.when(ending.isin(*READERS), ending)
+
+
 def line_terminator(content: Column) -> Column:
     crlf = F.regexp_count(content, F.lit("\r\n"))
     return F.when(crlf > F.regexp_count(content, F.lit("\n")) - crlf, "\r\n").otherwise("\n")

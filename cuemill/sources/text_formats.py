@@ -1,4 +1,4 @@
-"""Readers and writers of line-based caption formats, as column expressions over whole documents.
+"""Readers and writers of line-based cue formats, as column expressions over whole documents.
 
 A reader takes ``doc_id, content`` and gives ``doc_id, cue_idx, start, duration, speaker,
 text``; a writer takes those (and ``translation`` where there is one) and gives ``doc_id,
@@ -176,6 +176,32 @@ def read_json3(docs: DataFrame, normalize: bool = True) -> DataFrame:
     return _numbered(cues.where(F.trim("text") != ""), normalize)
 
 
+def vtt_header(content: Column) -> Column:
+    """What stands before the first cue: struct of ``kind, language, regions, styles, notes`` and the ``pairs`` of one-line notes."""
+    plain = F.regexp_replace(F.regexp_replace(content, "\\r\\n?", "\n"), "^\\x{FEFF}", "")
+    trimmed = F.transform(F.split(plain, "\\n\\s*\\n"), lambda b: F.regexp_replace(b, "^\\s+|\\s+$", ""))
+    is_head = lambda b: b.rlike("^(?:WEBVTT|REGION|STYLE|NOTE)")
+
+    def read(blocks: Column) -> Column:
+        stop = F.array_position(F.transform(blocks, lambda b: F.contains(b, F.lit("-->")) & ~is_head(b)), F.lit(True))
+        heads = F.filter(F.when(stop > 0, F.slice(blocks, F.lit(1), stop - 1)).otherwise(blocks), is_head)
+        of = lambda name: F.filter(heads, lambda b: F.startswith(b, F.lit(name)))
+        body = lambda b, name: F.regexp_replace(F.substring(b, len(name) + 1, 1 << 30), "^\\s+", "")
+        fact = lambda name: F.nullif(F.trim(F.regexp_extract(F.get(of("WEBVTT"), F.lit(0)), f"(?m)^\\s*{name}:(.*)$", 1)), F.lit(""))
+        parts = lambda b: F.filter(F.split(b, "\n"), lambda x: F.contains(x, F.lit(":")))
+        pair = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("value"))
+        regions = F.transform(of("REGION"), lambda b: F.map_from_entries(F.transform(parts(b), pair)))
+        notes = F.filter(F.transform(of("NOTE"), lambda b: body(b, "NOTE")), lambda x: x != "")
+        single = F.filter(notes, lambda x: x.rlike("^\\w+:\\s*.+$") & ~F.contains(x, F.lit("\n")))
+        told = F.transform(single, lambda x: F.struct(F.lower(F.regexp_extract(x, "^(\\w+):", 1)).alias("key"), F.trim(F.regexp_extract(x, "^\\w+:\\s*(.+)$", 1)).alias("value")))
+        return F.struct(
+            fact("Kind").alias("kind"), fact("Language").alias("language"), regions.alias("regions"),
+            F.filter(F.transform(of("STYLE"), lambda b: body(b, "STYLE")), lambda x: x != "").alias("styles"), notes.alias("notes"), F.map_from_entries(told).alias("pairs"),
+        )
+
+    return T.let(trimmed, read)
+
+
 # ---- writers
 
 
@@ -211,6 +237,15 @@ def write_srt(cues: DataFrame, speakers: bool = False) -> DataFrame:
     return gathered(cues, F.concat(_nr(), F.lit("\n"), K.vtt_stamp_comma(F.col("start")), F.lit(" --> "), K.vtt_stamp_comma(_end()), F.lit("\n"), _said(speakers)), "\n\n", tail="\n")
 
 
+def write_srt_content(cues: DataFrame, include_speaker: bool = True, byte_order_mark: bool = True) -> DataFrame:
+    """A second way to SRT: cut milliseconds, a byte-order mark, and no label where ``original_speaker`` is false."""
+    own = F.col("original_speaker") if "original_speaker" in cues.columns else F.lit(None).cast("boolean")
+    named = F.lit(include_speaker) & F.coalesce(F.col("speaker") != "", F.lit(False)) & F.coalesce(own, F.lit(True))
+    label = F.when(named, F.concat(F.col("speaker"), F.when(F.col("speaker") == ">>", " ").otherwise(": "))).otherwise("")
+    part = F.concat_ws("\n", _nr(), F.concat(K.srt_stamp(F.col("start")), F.lit(" --> "), K.srt_stamp(_end())), F.concat(label, F.trim("text")))
+    return gathered(cues, part, "\n\n", head="\ufeff" if byte_order_mark else "", tail="\n")
+
+
 def write_vtt(cues: DataFrame, speakers: bool = False) -> DataFrame:
     return gathered(cues, F.concat(_nr(), F.lit("\n"), K.vtt_stamp(F.col("start")), F.lit(" --> "), K.vtt_stamp(_end()), F.lit("\n"), _said(speakers)), "\n\n", head="WEBVTT\n\n", tail="\n")
 
@@ -341,8 +376,8 @@ def write_avid(cues: DataFrame, speakers: bool = True, fps: int = 25) -> DataFra
 
 def write_audition(cues: DataFrame, speakers: bool = True) -> DataFrame:
     name = F.format_string("%s - Marker %03d", F.when(F.coalesce("speaker", F.lit("")) != "", F.col("speaker")).otherwise("Speaker"), "nr")
-    line = F.concat_ws("\t", name, K.fixed(F.col("start"), 3), K.fixed(F.col("duration"), 3), F.lit("decimal"), F.lit("Cue"), T.squash(F.col("text")))
-    return gathered(cues, line, "\n", head="Name\tStart\tDuration\tTime Format\tType\tDescription\n", tail="\n")
+    line = F.concat_ws(",", _quoted(name), K.fixed(F.col("start"), 3), K.fixed(F.col("duration"), 3), F.lit("decimal"), F.lit("Cue"), _quoted(F.col("text")))
+    return gathered(cues, line, "\r\n", head="Name,Start,Duration,Time Format,Type,Description\r\n", tail="\r\n")
 
 
 def write_edimarker(cues: DataFrame, speakers: bool = True) -> DataFrame:
@@ -351,8 +386,8 @@ def write_edimarker(cues: DataFrame, speakers: bool = True) -> DataFrame:
 
 
 def write_fcpxml(cues: DataFrame, speakers: bool = False) -> DataFrame:
-    caption = F.concat(F.lit('<caption offset="'), K.rational(F.col("start")), F.lit('" duration="'), K.rational(F.col("duration")), F.lit('"><text><text-style ref="ts1">'), _escaped(_said(speakers)), F.lit("</text-style></text></caption>"))
-    return gathered(cues, caption, "\n", head='<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE fcpxml>\n<fcpxml version="1.10"><library><event><project><sequence><spine><gap offset="0s">\n', tail="\n</gap></spine></sequence></project></event></library></fcpxml>\n")
+    element = F.concat(F.lit('<caption offset="'), K.rational(F.col("start")), F.lit('" duration="'), K.rational(F.col("duration")), F.lit('"><text><text-style ref="ts1">'), _escaped(_said(speakers)), F.lit("</text-style></text></caption>"))
+    return gathered(cues, element, "\n", head='<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE fcpxml>\n<fcpxml version="1.10"><library><event><project><sequence><spine><gap offset="0s">\n', tail="\n</gap></spine></sequence></project></event></library></fcpxml>\n")
 
 
 def write_premiere(cues: DataFrame, speakers: bool = False, fps: int = 25) -> DataFrame:

