@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuemill.operators import streams
+
 from cuemill.functions.timecode import on_grid
 
 BIN_MS = 30_000
@@ -128,29 +132,48 @@ def sanitize_timeline(cues: DataFrame, min_duration: float = 0.8, min_gap: float
     A cue nearer than ``min_gap`` to the one before shortens it if that keeps
     ``min_duration``, else begins later (lasting at least 100 ms); then a short cue is
     extended up to ``min_gap`` before the next original start.  The fold needs the
-    modified previous cue, so it runs over each track's sorted array, in the JVM.
+    modified previous cue only, so a track streams past in order.  Track ids are longs.
     """
     least, gap = round(min_duration * 1000), round(min_gap * 1000)
     unit = lambda c: F.rint(c * 1000).cast("long")
-    item = F.struct(unit(F.col("start")).alias("s"), F.col(position).cast("long").alias("p"), unit(F.col("duration")).alias("d"))
-    folded = cues.where("start is not null and duration is not null").groupBy(track).agg(F.array_sort(F.collect_list(item)).alias("c"))
-    kind = "array<struct<p:bigint,s:bigint,d:bigint>>"
-    zipped = F.transform("c", lambda x, i: F.struct(x["s"].alias("s"), x["p"].alias("p"), x["d"].alias("d"), F.get(F.col("c"), i + 1)["s"].alias("n")))
-
-    def step(acc: Column, x: Column) -> Column:
-        prev = F.element_at(acc, -1)
-        has = F.size(acc) > 0
-        prev_end = prev["s"] + prev["d"]
-        close = has & (x["s"] - prev_end < gap)
-        target = x["s"] - gap - prev["s"]
-        shrink = close & (target >= least)
-        delay = close & (target < least)
-        start = F.when(delay, prev_end + gap).otherwise(x["s"])
-        length = F.when(delay, F.greatest(F.lit(100).cast("long"), x["d"] - (prev_end + gap - x["s"]))).otherwise(x["d"])
-        room = x["n"] - start - gap
-        full = F.when(length < least, F.when(x["n"].isNull(), F.lit(least).cast("long")).otherwise(F.least(F.lit(least).cast("long"), F.greatest(room, length)))).otherwise(length)
-        before = F.when(shrink, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(prev["p"].alias("p"), prev["s"].alias("s"), target.alias("d"))))).otherwise(acc)
-        return F.concat(before, F.array(F.struct(x["p"].alias("p"), start.alias("s"), full.alias("d")))).cast(kind)
-
-    done = folded.select(track, F.explode(F.aggregate(zipped, F.array().cast(kind), step)).alias("x"))
-    return done.select(track, F.col("x.p").alias(position), F.col("x.s").alias("start_ms"), F.col("x.d").alias("duration_ms"))
+
+    def make():
+        held: list[tuple] = []  # the cue before as it now is, and the present one as it came
+
+        def settle(following: int | None) -> Iterator[tuple]:
+            track_, start, place, length = held.pop()
+            if held:
+                _, s, p, d = held.pop()
+                close = start - (s + d) < gap
+                if close and start - gap - s >= least:
+                    d = start - gap - s
+                elif close:
+                    length, start = max(100, length - (s + d + gap - start)), s + d + gap
+                yield track_, p, s, d
+            if length < least:
+                length = least if following is None else min(least, max(following - start - gap, length))
+            held.append((track_, start, place, length))
+
+        def step(row: tuple | None) -> Iterator[tuple]:
+            if row is None:
+                yield from settle(None)
+                track_, s, p, d = held.pop()
+                yield track_, p, s, d
+                return
+            if pending:
+                held.append(pending.pop())
+                yield from settle(row[1])
+            pending.append(row)
+
+        pending: list[tuple] = []
+
+        def run(row: tuple | None) -> Iterator[tuple]:
+            if row is None and pending:
+                held.append(pending.pop())
+            yield from step(row)
+
+        return run
+
+    rows = cues.where("start is not null and duration is not null").select(F.col(track).cast("long").alias("t"), unit(F.col("start")).alias("s"), F.col(position).cast("long").alias("p"), unit(F.col("duration")).alias("d")).where("t is not null")
+    done = streams.fold(rows, "t", ["s", "p", "d"], "t long, p long, s long, d long", make)
+    return done.select(F.col("t").alias(track), F.col("p").alias(position), F.col("s").alias("start_ms"), F.col("d").alias("duration_ms"))

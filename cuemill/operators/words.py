@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as T
 from cuemill.functions.vectorised import vectorised
 from cuemill.functions.kinds import line_type  # noqa: F401
+from cuemill.operators import streams
 from cuemill.operators.segments import words_of
 
 
@@ -68,41 +71,64 @@ def split_with_words(cues: DataFrame, max_chars: int = 42, max_duration: float =
     )
 
 
+GRAM = 12  # characters a shorter text begins with, looked for near the head of a longer one
+CONTAINED = 0.8
+
+
 def match_texts(original: DataFrame, aligned: DataFrame, track: str = "track_id") -> DataFrame:
-    """Best aligned line of each original line: equal text (1.0) or one holding the other at a word border, scored by length; over 0.8.
+    """Best aligned line of each original line: equal text (1.0) or one holding the other, scored by length; over 0.8.
 
-    ``original``/``aligned``: track, ``id``, ``text``.  The shorter text's first word lies in
-    the longer one, so candidates are joined on (track, word), not line by line.
+    ``original``/``aligned``: track, ``id``, ``text``; a line is not matched with itself (equal
+    ``id``); ties go to the least id.  As the shorter text has over 0.8 of the longer one's
+    length, it begins within the first fifth of it: candidates are joined on its first
+    characters there, so none is lost and no track is compared line by line.  Equal texts
+    of a track are compared once.
     """
-    words = lambda c: F.array_distinct(words_of(c))
-    first = lambda c: F.get(words_of(c), F.lit(0))
-    a = original.select(F.col(track).alias("t"), F.col("id").alias("a_id"), T.squash(F.col("text")).alias("a")).where("a <> ''")
-    b = aligned.select(F.col(track).alias("t"), F.col("id").alias("b_id"), T.squash(F.col("text")).alias("b")).where("b <> ''")
-    by_b = a.withColumn("w", F.explode(words(F.col("a")))).join(b.withColumn("w", first(F.col("b"))), ["t", "w"])
-    by_a = a.withColumn("w", first(F.col("a"))).join(b.withColumn("w", F.explode(words(F.col("b")))), ["t", "w"])
-    columns = ["t", "a_id", "b_id", "a", "b"]
+    own = lambda df: df.select(F.col(track).alias("t"), F.col("id").alias("id"), T.squash(F.col("text")).alias("s")).where("s <> ''")
+    a = own(original)
+    b = own(aligned).select("t", "s").distinct()
+    n = F.length("s")
+    key = F.when(n >= GRAM, F.left("s", F.lit(GRAM))).otherwise(F.col("s"))
+    reach = F.floor(n * (1 - CONTAINED)).cast("int")
+    grams = F.when(n >= GRAM, F.transform(F.sequence(F.lit(0), F.least(reach, n - GRAM)), lambda i: F.substring(F.col("s"), i + 1, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
+    # short texts hold shorter ones whole
+    lengths = F.filter(F.sequence(F.lit(1), F.lit(GRAM - 1)), lambda k: (k > CONTAINED * n) & (k <= n))
+    short = F.when(n < GRAM / CONTAINED, F.flatten(F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(0), n - k), lambda i: F.substring(F.col("s"), i + 1, k))))).otherwise(F.array().cast("array<string>"))
+    keyed = lambda df: df.withColumn("k", key)
+    opened = lambda df: df.withColumn("k", F.explode(F.array_distinct(F.concat(grams, short))))
+    texts = a.select("t", "s").distinct()
+    pair = lambda x, y, first, second: x.select("t", "k", F.col("s").alias(first)).join(y.select("t", "k", F.col("s").alias(second)), ["t", "k"]).select("t", "a", "b")
+    both = pair(opened(texts), keyed(b), "a", "b").unionAll(pair(keyed(texts), opened(b), "a", "b")).distinct()
     la, lb = F.length("a"), F.length("b")
-    score = F.when(F.col("a") == F.col("b"), 1.0).when(F.contains("a", "b") | F.contains("b", "a"), F.least(la, lb) / F.greatest(la, lb))
-    near = (la > 0.8 * lb) & (lb > 0.8 * la)
-    pairs = by_b.select(*columns).where(near).unionAll(by_a.select(*columns).where(near)).withColumn("score", score).where("score > 0.8")
-    best = pairs.groupBy("t", "a_id").agg(F.max(F.struct("score", (-F.col("b_id")).alias("neg"))).alias("x"))
-    return best.select(F.col("t").alias(track), F.col("a_id").alias("id"), (-F.col("x.neg")).alias("match"), F.col("x.score").alias("score"))
+    held = F.contains("a", "b") | F.contains("b", "a")
+    scored = both.where(held).withColumn("score", F.least(la, lb) / F.greatest(la, lb)).where(F.col("score") > CONTAINED)
+    ids = own(aligned).withColumnsRenamed({"s": "b", "id": "b_id"})
+    # the two best lines of each text are enough, as only one can be the line itself
+    best = scored.join(ids, ["t", "b"]).groupBy("t", "a").agg(F.max(F.struct("score", (-F.col("b_id")).alias("neg"))).alias("x"))
+    second = scored.join(ids, ["t", "b"]).join(best, ["t", "a"]).where(-F.col("x.neg") != F.col("b_id")).groupBy("t", "a").agg(F.max(F.struct("score", (-F.col("b_id")).alias("neg"))).alias("y"))
+    chosen = a.withColumnRenamed("s", "a").join(best.join(second, ["t", "a"], "left"), ["t", "a"])
+    z = F.when(-F.col("x.neg") != F.col("id"), F.col("x")).otherwise(F.col("y"))
+    return chosen.withColumn("z", z).where("z is not null").select(F.col("t").alias(track), "id", (-F.col("z.neg")).alias("match"), F.col("z.score").alias("score"))
 
 
 def event_tiers(cues: DataFrame, track: str = "track_id", position: str = "cue_idx") -> DataFrame:
-    """First tier, greedily, whose last cue ends by the cue's start; a fold over each track's sorted cues in the JVM."""
-    item = F.struct(F.rint(F.col("start") * 1000).cast("long").alias("s"), F.col(position).cast("long").alias("p"), F.rint((F.col("start") + F.col("duration")) * 1000).cast("long").alias("e"))
-    folded = cues.where("start is not null and duration is not null").groupBy(track).agg(F.array_sort(F.collect_list(item)).alias("c"))
-    kind = "struct<ends:array<bigint>,out:array<struct<p:bigint,tier:int>>>"
-    start = F.struct(F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<struct<p:bigint,tier:int>>").alias("out")).cast(kind)
-
-    def step(acc: Column, x: Column) -> Column:
-        free = F.filter(F.transform(acc["ends"], lambda e, i: F.when(e <= x["s"], i)), lambda i: i.isNotNull())
-        tier = F.coalesce(F.get(free, F.lit(0)), F.size(acc["ends"]))
-        ends = F.when(tier == F.size(acc["ends"]), F.concat(acc["ends"], F.array(x["e"]))).otherwise(F.transform(acc["ends"], lambda e, i: F.when(i == tier, x["e"]).otherwise(e)))
-        return F.struct(ends.alias("ends"), F.concat(acc["out"], F.array(F.struct(x["p"].alias("p"), tier.cast("int").alias("tier")))).alias("out")).cast(kind)
-
-    return folded.select(track, F.explode(F.aggregate("c", start, step, lambda a: a["out"])).alias("x")).select(track, F.col("x.p").alias(position), "x.tier")
+    """First tier, greedily, whose last cue ends by the cue's start; a track streams past, one end per tier is kept."""
+
+    def make():
+        ends: list[int] = []
+
+        def step(row: tuple | None) -> Iterator[tuple]:
+            if row is not None:
+                t, start, place, end = row
+                tier = next((k for k, e in enumerate(ends) if e <= start), len(ends))
+                ends[tier : tier + 1] = [end]
+                yield t, place, tier
+
+        return step
+
+    ms = lambda c: F.rint(c * 1000).cast("long")
+    rows = cues.where("start is not null and duration is not null").select(F.col(track).cast("long").alias("t"), ms(F.col("start")).alias("s"), F.col(position).cast("long").alias("p"), ms(F.col("start") + F.col("duration")).alias("e")).where("t is not null")
+    return streams.fold(rows, "t", ["s", "p", "e"], "t long, p long, tier int", make).select(F.col("t").alias(track), F.col("p").alias(position), "tier")
 
 
 def split_sentences(cues: DataFrame, track: str = "track_id", position: str = "cue_idx") -> DataFrame:

@@ -241,3 +241,30 @@ def test_translations_of_another_number_are_refused(spark):
     both = one_.union(spark.createDataFrame([(1, 1, "y")], one_.schema))
     assert sorted(r.translation for r in pipelines.set_translations(cues, both, "de").collect()) == ["x", "y"]
     assert {r.translation for r in pipelines.strip_translations(pipelines.set_translations(cues, both, "de")).collect()} == {None}
+
+
+def test_matches_lose_no_link(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.choice([1, 3, 8, 12, 13, 20, 40]))).strip() for _ in range(120)]
+    texts += [t + "。" for t in ("市长来了", "市长在河边走了很久很久才回家")] + ["市长来了", "市长在河边走了很久很久才回家"] + [t[1:] for t in texts[:30]] + [t + "b" for t in texts[:30]]
+    lines = [(k % 3, k, t) for k, t in enumerate(texts)]
+    squash = lambda t: " ".join(t.split())
+    want = {}
+    for t, i, x in lines:
+        x = squash(x)
+        found = [(min(len(x), len(y)) / max(len(x), len(y)), -j) for u, j, y in ((u, j, squash(y)) for u, j, y in lines) if u == t and j != i and x and y and (x in y or y in x)]
+        found = [f for f in found if f[0] > 0.8]
+        if found:
+            want[i] = -max(found)[1]
+    df = spark.createDataFrame(lines, "track_id int, id long, text string")
+    assert {r.id: r.match for r in words.match_texts(df, df).collect()} == want
+
+
+def test_folds_stream_over_one_long_track(spark):
+    n = 200_000
+    cues = spark.range(n).select(F.lit(1).cast("long").alias("track_id"), F.col("id").cast("int").alias("cue_idx"), (F.col("id") * 1.0).alias("start"), F.when(F.col("id") % 3 == 0, 1.5).otherwise(0.2).alias("duration"))
+    done = timing.sanitize_timeline(cues)
+    assert done.count() == n and done.where("duration_ms < 100").count() == 0
+    assert words.event_tiers(cues).groupBy("tier").count().orderBy("tier").collect()[0][0] == 0
