@@ -54,6 +54,7 @@ _PRIVATE = re.compile("[\ue000-\uf8ff]")
 _LOST_OR_PRIVATE = re.compile("[�]")
 _HIGH = re.compile("[^\x00-\x7f]")
 _TWO_HIGH = re.compile("[^\x00-\x7f]{2}")
+_TRACE = re.compile("[\u3400-\u9fff\uf900-\ufaff\uff61-\uff9f\ue000-\uf8ff\ufffd\U00020000-\U0002ffff]")
 _HIGH_BYTES = bytes(range(128, 256))
 _BROKEN = re.compile("[\u0080-\u009f�-]")
 # first bytes of UTF-8 sequences, read as cp1252 or mac_roman, without the rest
@@ -269,7 +270,8 @@ class Mender:
         more = bits - own  # what may go besides the characters' own bits
         single = more + most > LEAST_GAIN
         two = _TWO_HIGH.search(text) or LOST in text
-        many = two or any(map(_utf8_alone, high))
+        # the first bytes of UTF-8 sequences (C2 to F4) read as ideographs or half-width kana in every multibyte charset, or not at all
+        many = _TRACE.search(text) and (two or any(map(_utf8_alone, high)))
         out = []
         for read, written, kind, gains in pairs:
             if kind == "single":
@@ -305,7 +307,11 @@ class Mender:
             return
         readings = self.open_readings(text, bits, high)
         odd = self.odd.search(text)
+        more = bits - sum([self.profiles.chars.get(c, RARE_BITS) for c in high])
         for read, written in readings:
+            gains = self.gains.get((read, written))
+            if gains is not None and more + sum([gains.get(c, 0.0) for c in high]) <= LEAST_GAIN:
+                continue  # read anew as a whole it is not likelier by enough
             back = _undo(text, read, written)
             if back is not None and back != text and self.plausible(back, bits) and (odd or written == "utf-8" or self.pays(text, back, STEP_COST)):
                 solved |= not self.odd.search(back) and not _MIXED.search(back)
