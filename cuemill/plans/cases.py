@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import breaks, kinds, kinetic, languages
 from cuemill.operators import bilingual, cues, segments, sentences
-from cuemill.sources import registry, styles, text_formats, transcripts
+from cuemill.sources import registry, styles, text_formats, transcripts, word_formats
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -589,3 +589,55 @@ def p10_alignable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p15_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(1, 0, "d"), (2, 7, "e")], "track_id long, cue_idx int, text string")
     return cues.append(_worded(spark).select("track_id", "cue_idx", "text"), more)
+
+
+# ---- words in documents
+
+_WORDED_DOCS = {
+    "json": '{"supervisions":[{"text":"a b","start":1.0,"end":3.0,"speaker":"A","words":[{"word":"a","start":1.0,"end":1.5,"score":0.5},{"word":"b","start":2.0,"duration":1.0}]},{"text":"c","start":4.0,"duration":1.0,"end":9.0}]}',
+    "json3": '{"wireMagic":"pb3","events":[{"tStartMs":0,"dDurationMs":9,"id":1},{"tStartMs":1000,"dDurationMs":2000,"segs":[{"utf8":">> a"},{"utf8":" b","tOffsetMs":1000,"acAsrConf":255}]},{"tStartMs":3000,"aAppend":1,"segs":[{"utf8":"\\n"}]},{"tStartMs":4000,"dDurationMs":1000,"segs":[{"utf8":"c"}]}]}',
+    "srv3": '<timedtext format="3"><body><p t="1000" d="2000"><s>a</s><s t="1000"> b</s></p><p t="2000" d="10" a="1"><s>x</s></p><p t="4000" d="1000"><s>c</s></p></body></timedtext>',
+    "ttml": '<tt xmlns="http://www.w3.org/ns/ttml"><body><div><p begin="1s"><span begin="1s" end="1.5s">a</span> <span begin="2s" dur="1s">b</span></p><p begin="00:00:04.000" end="5s">c</p></div></body></tt>',
+    "lrc": "[ti:x]\n[00:01.00]<00:01.00>a <00:02.00>b\n[00:04.00]c\n",
+    "ass": "[Events]\nDialogue: 0,0:00:01.00,0:00:03.00,Default,A,0,0,0,,{\\k100}a {\\kf100}b\nDialogue: 0,0:00:04.00,0:00:05.00,Default,,0,0,0,,c\n",
+}
+_A = [("json", 0, "A", "a:1.0:0.5:0.5 b:2.0:1.0"), ("json3", 0, ">>", "a:1.0:1.0 b:2.0:1.0:1.0"), ("srv3", 0, None, "a:1.0:1.0 b:2.0:1.0"), ("ttml", 0, None, "a:1.0:0.5 b:2.0:1.0"), ("lrc", 0, None, "a:1.0:0.0 b:2.0:0.0"), ("ass", 0, "A", "a:1.0:1.0 b:2.0:1.0")]
+
+
+@rows("r_words_in_documents", "fmt string, cue_idx int, start double, duration double, speaker string, text string, words string", [
+    r for f, k, s, w in _A for r in ((f, 0, 1.0, 3.0 if f == "lrc" else 2.0, s, "a b", w), (f, 1, 4.0, 5.0 if f == "lrc" else 1.0, None, "c", None))
+])
+def r_words_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for fmt, content in _WORDED_DOCS.items():
+        read = word_formats.read_words(spark.createDataFrame([(1, content), (2, None)], "doc_id long, content string"), fmt)
+        shown = F.array_join(F.transform("words", lambda w: F.concat_ws(":", w["symbol"], w["start"].cast("string"), w["duration"].cast("string"), w["score"].cast("string"))), " ")
+        one = read.select(F.lit(fmt).alias("fmt"), "cue_idx", "start", "duration", "speaker", "text", shown.alias("words"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@rows("k_words_in_documents", "fmt string, content string", [
+    ("json", '{"version":2,"duration":5.0,"num_segments":2,"speakers":["A"],"supervisions":[{"start":1.0,"end":3.0,"duration":2.0,"text":"a b","speaker":"A","words":[{"word":"a","start":1.0,"end":1.5},{"word":"b","start":2.0,"end":3.0}]},{"start":4.0,"end":5.0,"duration":1.0,"text":"c"}]}'),
+    ("json3", '{"wireMagic":"pb3","events":[{"tStartMs":0,"dDurationMs":5000,"id":1},{"tStartMs":1000,"dDurationMs":2000,"segs":[{"utf8":"a"},{"utf8":" b","tOffsetMs":1000}]},{"tStartMs":3000,"aAppend":1,"segs":[{"utf8":"\\n"}]},{"tStartMs":4000,"dDurationMs":1000,"segs":[{"utf8":"c"}]},{"tStartMs":5000,"aAppend":1,"segs":[{"utf8":"\\n"}]}]}'),
+    ("srv3", '<?xml version="1.0" encoding="utf-8" ?><timedtext format="3">\n<body>\n<p t="1000" d="2000"><s>a</s><s t="1000"> b</s></p>\n<p t="4000" d="1000"><s>c</s></p>\n</body>\n</timedtext>\n'),
+    ("ttml", '<?xml version="1.0" encoding="UTF-8"?>\n<tt xmlns="http://www.w3.org/ns/ttml" xmlns:tts="http://www.w3.org/ns/ttml#styling" xml:lang="en"><body><div>\n<p begin="00:00:01.000" end="00:00:03.000"><span tts:fontWeight="bold">A:</span> <span begin="00:00:01.000" end="00:00:01.500">a</span> <span begin="00:00:02.000" end="00:00:03.000">b</span></p>\n<p begin="00:00:04.000" end="00:00:05.000">c</p>\n</div></body></tt>\n'),
+])
+def k_words_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _worded(spark).where("track_id = 1").withColumnRenamed("track_id", "doc_id")
+    out = None
+    for fmt in ("json", "json3", "srv3", "ttml"):
+        one = word_formats.write_words(own, fmt).select(F.lit(fmt).alias("fmt"), "content")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@rows("k34_render_options", "wanted boolean, words boolean", [(None, True), (True, True), (False, False)])
+def k34_render_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word option of a JSON document: by custom, forced, and off."""
+    own = _worded(spark).where("track_id = 1").withColumnRenamed("track_id", "doc_id")
+    out = None
+    for wanted in (None, True, False):
+        one = word_formats.write_words(own, "json", wanted).select(F.lit(wanted).cast("boolean").alias("wanted"), F.contains("content", F.lit('"words"')).alias("words"))
+        out = one if out is None else out.unionAll(one)
+    return out
