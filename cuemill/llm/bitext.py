@@ -11,6 +11,7 @@ within the rectangle's width.
 
 The lexicon is partial: a first pass pairs what is beyond doubt, words that go together
 in these pairs over all tracks are learned as further terms, and a second pass uses both.
+Learned terms never pass through the driver: each block gets those of its own words by a join.
 
 Tracks longer than ``BLOCK`` lines are read in blocks with ``CONTEXT`` lines around them.
 As omissions let the sides drift apart, the blocks are cut along a course of the whole
@@ -30,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuemill.session import cut
+
 BLOCK = 1024
 CONTEXT = 48
 WIDTH = 6
 CHAIN_POINTS = 6
 LEAST_TOGETHER = 3
-LEAST_SHARE = 1e-5
+LEAST_DICE = 0.35
+LEAST_FIRST, LEAST_THROUGH = 0.5, 0.3  # of the way over a third language
 
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 _WORD = re.compile(r"[^\W\d_]+(?:[ऀ-ःऺ-ॏ]+[^\W\d_]*)*")
@@ -380,7 +384,29 @@ def _blocks(segments: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
     mine = ranges.groupBy("track").agg(F.collect_list(F.struct("block", "low", "high")).alias("ranges"))
     there = F.transform(F.filter("ranges", lambda x: (F.col("line") >= x["low"]) & (F.col("line") <= x["high"])), lambda x: x["block"])
     right = right.join(mine, "track", "left").select("track", F.explode(F.when(F.col("ranges").isNull(), F.array(F.lit(0).cast("long"))).otherwise(there)).alias("block"), "line", "seg_id", "translation_id", "text", "translation")
-    return left.unionByName(right).repartition("track", "block").sortWithinPartitions("track", "block", "line", "seg_id", "translation_id")
+    return left.unionByName(right)
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    return rows.repartition("track", "block").sortWithinPartitions("track", "block", "line", "seg_id", "translation_id")
+
+
+def _tokens(blocks: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
+    """``track, block, a``: the words and concepts of each block."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(lexicon)
+        for batch in batches:
+            seen: set[tuple] = set()
+            for track, block, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for text in texts:
+                    found, words = terms.read(text) if text else ((), ())
+                    seen.update((track, block, "*" + c) for c, _ in found if c[0] != "#")
+                    seen.update((track, block, w) for w, _ in words)
+            cols = list(zip(*seen, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["track", "block", "a"])
+
+    return blocks.select("track", "block", "text", "translation").mapInArrow(work, "track long, block long, a string").distinct()
 
 
 def _per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -400,6 +426,8 @@ def _sides(rows: list[tuple]) -> tuple[list, list]:
     left: dict[int, tuple] = {}
     right: dict[int, tuple] = {}
     for _, _, line, seg, tra, text, translation in rows:
+        if line is None:
+            continue  # a learned term
         if text:
             left.setdefault(line, (line, [], text))[1].append(seg)
         if translation:
@@ -407,12 +435,11 @@ def _sides(rows: list[tuple]) -> tuple[list, list]:
     return [left[k] for k in sorted(left)], [right[k] for k in sorted(right)]
 
 
-def learn(segments: DataFrame, lexicon: list[tuple[str, str]]) -> dict[str, dict[str, float]]:
-    """Terms that go together in pairs beyond doubt, both ways.
+def learn(blocks: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
+    """``a, b, weight``: terms that go together in pairs beyond doubt, both ways, and what two share with a third.
 
-    A kept pair has at least ``LEAST_SHARE`` of all words of the sure pairs (and
-    ``LEAST_TOGETHER``), which bounds what the driver gets to some 1 / ``LEAST_SHARE``
-    pairs for each word of a sentence.
+    A pair counts if seen ``LEAST_TOGETHER`` times with a Dice coefficient of ``LEAST_DICE``,
+    however large the corpus is.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,39 +469,18 @@ def learn(segments: DataFrame, lexicon: list[tuple[str, str]]) -> dict[str, dict
                 yield flush()
         yield flush()
 
-    counts = _blocks(segments, lexicon).mapInArrow(work, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TOGETHER)
-    counts = counts.persist()
-    total = counts.where("b = ''").agg(F.sum("n")).first()[0] or 0
+    counts = cut(_ordered(blocks).mapInArrow(work, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TOGETHER))
     left = counts.where("b = ''").select("a", F.col("n").alias("na"))
     right = counts.where("a = ''").select("b", F.col("n").alias("nb"))
-    dice = 2 * F.col("n") / (F.col("na") + F.col("nb"))
-    rows = (
-        counts.where("a <> '' and b <> ''")
-        .where(F.col("n") >= LEAST_SHARE * total)
-        .join(left, "a")
-        .join(right, "b")
-        .select("a", "b", dice.alias("dice"))
-        .where("dice >= 0.35")
-        .orderBy("a", "b")
-        .collect()
-    )
-    counts.unpersist()
-    learned: dict[str, dict[str, float]] = defaultdict(dict)
-    for a, b, d in rows:
-        learned[a][b] = max(d, learned[a].get(b, 0))
-        learned[b][a] = max(d, learned[b].get(a, 0))
-    # what two languages share with a third they share with each other
-    through: dict[str, dict[str, float]] = defaultdict(dict)
-    for a, partners in learned.items():
-        for b, d in partners.items():
-            if d >= 0.5:
-                for c, e in learned[b].items():
-                    if c != a and c not in partners and d * e >= 0.3:
-                        through[a][c] = max(d * e, through[a].get(c, 0))
-    for a, partners in through.items():
-        for c, d in partners.items():
-            learned[a].setdefault(c, d)
-    return {a: dict(sorted(x.items())) for a, x in learned.items()}
+    sure = (
+        counts.where("a <> '' and b <> ''").join(left, "a").join(right, "b")
+        .select("a", "b", (2 * F.col("n") / (F.col("na") + F.col("nb"))).alias("weight")).where(F.col("weight") >= LEAST_DICE)
+    )
+    direct = cut(sure.unionAll(sure.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.max("weight").alias("weight")))
+    first = direct.where(F.col("weight") >= LEAST_FIRST).select("a", F.col("b").alias("via"), F.col("weight").alias("w1"))
+    then = direct.select(F.col("a").alias("via"), "b", F.col("weight").alias("w2"))
+    through = first.join(then, "via").where((F.col("a") != F.col("b")) & (F.col("w1") * F.col("w2") >= LEAST_THROUGH)).groupBy("a", "b").agg(F.max(F.col("w1") * F.col("w2")).alias("weight"))
+    return direct.unionAll(through.join(direct.select("a", "b"), ["a", "b"], "left_anti"))
 
 
 def align(segments: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -487,15 +493,25 @@ def align(segments: DataFrame, lexicon: DataFrame) -> DataFrame:
     ignored, further columns too.  Result: ``seg_id``, ``translation_id``, ``score``, ``cover``.
     """
     terms_rows = [(r[0], r[1]) for r in lexicon.select("term", "target_term").where("term is not null and target_term is not null").distinct().orderBy("term", "target_term").collect()]
-    learned = learn(segments, terms_rows)
+    blocks = cut(_blocks(segments, terms_rows))
+    learned = learn(blocks, terms_rows)
+    # a term travels in a row without a line, its weight in millionths
+    told = _tokens(blocks, terms_rows).join(learned, "a").select(
+        "track", "block", F.lit(None).cast("long").alias("line"), F.rint(F.col("weight") * 1_000_000).cast("long").alias("seg_id"), F.lit(None).cast("long").alias("translation_id"), F.col("a").alias("text"), F.col("b").alias("translation")
+    )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(terms_rows)
         for rows in _per_block(batches):
             block = rows[0][1]
             left, right = _sides(rows)
+            known: dict[str, dict[str, float]] = defaultdict(dict)
+            for _, _, line, weight, _, a, b in rows:
+                if line is None:
+                    known[a][b] = weight / 1_000_000
+            known = {a: dict(sorted(x.items())) for a, x in known.items()}
             out = []
-            for i, j, score, share in Bitext([x[2] for x in left], [x[2] for x in right], terms, learned).pairs():
+            for i, j, score, share in Bitext([x[2] for x in left], [x[2] for x in right], terms, known).pairs():
                 if left[i][0] // BLOCK == block:
                     out += [(s, t, score, share) for s in left[i][1] for t in right[j][1] if s is not None and t is not None]
             cols = list(zip(*out, strict=True)) or [()] * 4
@@ -504,4 +520,4 @@ def align(segments: DataFrame, lexicon: DataFrame) -> DataFrame:
                 ["seg_id", "translation_id", "score", "cover"],
             )
 
-    return _blocks(segments, terms_rows).mapInArrow(work, "seg_id long, translation_id long, score double, cover double")
+    return _ordered(blocks.unionByName(told)).mapInArrow(work, "seg_id long, translation_id long, score double, cover double")
