@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from cuemill.llm import bitext as B
 
 SUBJECTS = [("the mayor", "der Bürgermeister"), ("the baker", "der Bäcker"), ("the doctor", "der Arzt"), ("the clerk", "der Schreiber"), ("the surveyor", "der Landvermesser")]
@@ -65,3 +67,28 @@ def test_nulls_repeats_and_empty(spark):
     got = {(r.seg_id, r.translation_id) for r in B.align(*frames(spark, rows)).collect()}
     assert got == {(1, 2), (3, 2)}
     assert B.align(*frames(spark, [])).count() == 0
+
+
+def long_track(lines, omitted):
+    """One long track whose second side leaves out a stretch, and the true pairs."""
+    rng = random.Random(9)
+    rows, truth = [], set()
+    left, right = [], []
+    for k in range(lines):
+        (s, t), (u, v), (o, p) = rng.choice(SUBJECTS), rng.choice(VERBS), rng.choice(OBJECTS)
+        n = rng.randrange(100_000)
+        left.append(f"{s} {u} {o} {n}.")
+        if not lines // 2 <= k < lines // 2 + omitted:
+            right.append((k, f"{t} {v} {p} {n}."))
+    for k, text in enumerate(left):
+        other = right[k] if k < len(right) else None
+        rows.append((1, k, k, text, 1_000_000 + k if other else None, other[1] if other else None))
+    truth = {(source, 1_000_000 + j) for j, (source, _) in enumerate(right)}
+    return rows, truth
+
+
+@pytest.mark.parametrize("omitted", [120, 500])
+def test_long_omissions_in_a_long_track(spark, omitted):
+    rows, truth = long_track(3000, omitted)
+    got = {(r.seg_id, r.translation_id) for r in B.align(*frames(spark, rows)).collect()}
+    assert len(got & truth) >= 0.97 * len(truth) and len(got & truth) >= 0.97 * len(got)
