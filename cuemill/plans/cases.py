@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.functions import breaks, kinds, kinetic, languages
-from cuemill.operators import bilingual, cues, segments, sentences
+from cuemill.config import StandardizationConfig
+from cuemill.functions import breaks, color, kinds, kinetic, languages
+from cuemill.operators import bilingual, cues, segments, sentences, standard
 from cuemill.sources import registry, styles, text_formats, transcripts, word_formats
 
 QUERIES: dict = {}
@@ -641,3 +642,32 @@ def k34_render_options(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = word_formats.write_words(own, "json", wanted).select(F.lit(wanted).cast("boolean").alias("wanted"), F.contains("content", F.lit('"words"')).alias("words"))
         out = one if out is None else out.unionAll(one)
     return out
+
+
+# ---- long cues
+
+_say = lambda *times: [(w, s, d) for w, s, d in times]
+_WORDS = _say(("alpha", 0.0, 0.5), ("bravo", 0.5, 0.5), ("charlie", 1.6, 0.5), ("delta", 2.1, 0.5), ("echo", 2.6, 0.4))
+_python("w18_pause_split", "", lambda w, most: str(standard.pause_split(w, most)), [(_WORDS, 14, "2"), (_WORDS, 40, "None"), (_WORDS[:2], 10, "None"), (_say(("aaaa", 0.0, 1.0), ("bbbb", 1.1, 1.0), ("cccc", 2.2, 1.0)), 8, "None")])
+_groups = lambda gs: "|".join(" ".join(w[0] for w in g) for g in gs)
+_python("w17_word_groups", "", lambda w, most, s: _groups(standard.word_groups(w, most, s)), [(_WORDS, 20, 9.0, "alpha bravo charlie|delta echo"), (_WORDS, 100, 1.2, "alpha bravo|charlie delta|echo"), (_WORDS, 14, 9.0, "alpha bravo|charlie delta|echo"), (_WORDS, 3, 9.0, "alpha|bravo|charlie|delta|echo")])
+_python("w20_orphan_merge", "", lambda w, most, s: _groups(standard.merge_orphan([w[:4], w[4:]], most, s)), [(_WORDS, 20, 9.0, "alpha bravo charlie delta echo"), (_WORDS, 20, 2.0, "alpha bravo charlie delta|echo"), (_WORDS, 8, 9.0, "alpha bravo charlie delta|echo")])
+_CJK = _say(*((c, float(k), 1.0) for k, c in enumerate("我们用组件好")))
+_python("w19_word_snap", "", lambda seg: _groups(standard.snap("我们用组件好", [_CJK[:4], _CJK[4:]], 4, seg)), [(None, "我 们 用 组|件 好"), (lambda t: ["我们", "用", "组件", "好"], "我 们 用|组 件 好"), (lambda t: ["我们用组件", "好"], "我 们 用 组|件 好")])
+_SHORT = StandardizationConfig(max_chars_per_line=10, max_lines=1, max_duration=7.0, min_duration=0.5, min_gap=0.1)
+_pieces = lambda got: " / ".join(f"{s:.2f}+{d:.2f} {t!r} {o!r}" for s, d, t, o, _ in got)
+_python("g03_split_cues", "", lambda s, d, t, o, w: _pieces(standard.split_cue(s, d, t, o, w, _SHORT)), [
+    (0.0, 2.0, "short one", "x", None, "0.00+2.00 'short one' 'x'"),
+    (0.0, 3.0, "alpha bravo charlie delta echo", None, _WORDS, "0.00+0.50 'alpha ' None / 0.60+0.50 'bravo ' None / 1.60+0.50 'charlie ' None / 2.20+0.80 'delta echo' None"),
+    (1.0, 4.0, "one two, three four", "eins zwei, drei vier", None, "1.00+1.73 'one two,' 'eins zwei, ' / 2.83+2.17 'three four' 'drei vier'"),
+])
+_python("g04_shares", "", lambda s, d, t: _pieces(standard.split_by_shares(s, d, t, None, _SHORT)), [(0.0, 10.0, "abcdefgh", "0.00+4.95 'abcd' None / 5.05+4.95 'efgh' None"), (0.0, 1.0, "", "0.00+1.00 '' None"), (0.0, 1.0, "one two", "0.00+1.00 'one two' None")])
+
+
+@rows("c01_split_long", "cue_idx int, part int, start_ms long, text string", [(0, 0, 0, "alpha "), (0, 1, 600, "bravo "), (0, 2, 1600, "charlie "), (0, 3, 2200, "delta echo"), (1, 0, 4000, "")])
+def c01_split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(0, 0.0, 3.0, "alpha bravo charlie delta echo", _WORDS), (1, 4.0, 1.0, None, None), (2, None, 1.0, "x", None)], f"cue_idx int, start double, duration double, text string, words {_WORD}")
+    return standard.split_long(own, _SHORT).select("cue_idx", "part", F.rint(F.col("start") * 1000).cast("long").alias("start_ms"), "text")
+
+
+scalar("f71_palette", "place long, spec string", color.speaker_color, [(0, "auto", "#658AE4"), (11, "auto", "#008C8C"), (1, "#ff0000, 00FF00", "#00FF00"), (2, "#ff0000,00FF00", "#ff0000"), (0, "", None)])

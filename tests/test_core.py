@@ -43,7 +43,7 @@ def duck(data):
 def test_query_equals_sql(spark, duck, data, name):
     got = QUERIES[name](spark, data).toPandas()
     if name not in ORACLES:
-        assert list(got.columns)
+        assert len(got) and not got.isna().all().any()  # rows, and no column without any value
         return
     want = duck.sql(ORACLES[name]).df()
     columns = sorted(got.columns)
@@ -268,3 +268,10 @@ def test_folds_stream_over_one_long_track(spark):
     done = timing.sanitize_timeline(cues)
     assert done.count() == n and done.where("duration_ms < 100").count() == 0
     assert words.event_tiers(cues).groupBy("tier").count().orderBy("tier").collect()[0][0] == 0
+
+
+def test_a_wrong_colour_fails(spark):
+    from cuemill.functions import color
+
+    with pytest.raises(Exception, match="no colour"):
+        spark.range(1).select(color.palette(F.lit("#GGGGGG"))).collect()
