@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cuemill.config import StandardizationConfig
 from cuemill.functions import breaks, color, kinds, kinetic, languages
 from cuemill.operators import bilingual, cues, segments, sentences, standard
-from cuemill.sources import registry, styles, text_formats, transcripts, word_formats
+from cuemill.sources import document_formats, registry, styles, text_formats, transcripts, word_formats
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -671,3 +671,51 @@ def c01_split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 scalar("f71_palette", "place long, spec string", color.speaker_color, [(0, "auto", "#658AE4"), (11, "auto", "#008C8C"), (1, "#ff0000, 00FF00", "#00FF00"), (2, "#ff0000,00FF00", "#ff0000"), (0, "", None)])
+
+
+@rows("k03_vtt_head", "content string, again string", [
+    ("WEBVTT\nKind: subtitles\nLanguage: en\n\nREGION\nid:fred\nwidth:40%\n\nSTYLE\n::cue {color: red}\n\nNOTE author: Ann\n\nNOTE\ntwo\nlines\n\n",
+     '{"kind":"subtitles","language":"en","regions":[{"id":"fred","width":"40%"}],"styles":["::cue {color: red}"],"notes":["author: Ann","two\\nlines"],"pairs":{"author":"Ann"}}'),
+])
+def k03_vtt_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header read, written and read again."""
+    df = spark.createDataFrame([(_HEADER,)], "c string").select(text_formats.vtt_head(text_formats.vtt_header(F.col("c"))).alias("content"))
+    return df.select("content", F.to_json(text_formats.vtt_header(F.col("content"))).alias("again"))
+
+
+@rows("f23_cue_settings", "cue_idx int, cue_id string, settings string", [(0, "intro", "align:start,line:0"), (1, None, ""), (2, "7", "position:10%")])
+def f23_cue_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = "WEBVTT\n\nintro\n00:01.000 --> 00:02.000 align:start line:0\nHi\n\n00:03.000 --> 00:04.000\nplain\n\n7\n00:05.000 --> 00:06.000 position:10%\nx\n"
+    found = text_formats.read_vtt_settings(spark.createDataFrame([(1, content), (2, None)], "doc_id long, content string"))
+    return found.select("cue_idx", "cue_id", F.array_join(F.transform(F.array_sort(F.map_keys("settings")), lambda k: F.concat_ws(":", k, F.col("settings")[k])), ",").alias("settings"))
+
+
+@rows("f11_without_preamble", "nr long, value string", [(0, "text"), (1, "text --- more")])
+def f11_without_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.functions import text
+
+    df = spark.createDataFrame([(0, "---\na: b\n---\n<thinking>x\ny</thinking>\ntext"), (1, "text --- more")], "nr long, c string")
+    return df.select("nr", F.trim(text.without_preamble(F.col("c"))).alias("value"))
+
+
+scalar("f27_tag_prefix", "raw string", styles.tag_prefix, [("{\\an8}{\\fad(0,500)}Hi {\\i1}there", "{\\an8}{\\fad(0,500)}"), ("Hi", ""), ("{\\an8}", "{\\an8}")])
+scalar("f25_ass_signals", "raw string", lambda r: F.to_json(kinds.signals(r)), [
+    ("{\\an8\\fs20\\bord1\\b1\\pos(1,2)}x", '{"an":8,"fs":20.0,"bord":1.0,"bold":1,"pos":true,"animated_size":false,"karaoke":false}'), ("plain", '{"pos":false,"animated_size":false,"karaoke":false}'), ("{\\t(0,1,\\fs9)\\kf20}", '{"fs":9.0,"pos":false,"animated_size":true,"karaoke":true}'),
+])
+scalar("d05_line_ends", "content string", lambda c: F.when(registry.line_terminator(c) == "\r\n", "crlf").otherwise("lf"), [("a\r\nb\r\nc\n", "crlf"), ("a\nb\r\n", "lf"), ("a", "lf")])
+
+
+@rows("r12_ttml_times", "nr long, ms long", [(0, 3723500), (1, 1500), (2, 250), (3, 2000), (4, 0), (5, 12500), (6, 1033)])
+def r12_ttml_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clock, offsets and frames at 30, as begin of a paragraph."""
+    times = ("01:02:03.500", "1.5s", "250ms", "60f", "bad", "12.5", "00:00:01:01")
+    docs = spark.createDataFrame([(k, f'<tt><body><p begin="{t}" dur="1s">x</p></body></tt>') for k, t in enumerate(times)], "doc_id long, content string")
+    return registry.read(docs, "ttml").select(F.col("doc_id").alias("nr"), F.rint(F.col("start") * 1000).cast("long").alias("ms"))
+
+
+@rows("w10_echo_cues", "cue_idx int, text string, words long", [(0, "one two", 2), (1, "three", 1)])
+def w10_echo_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues of 10 ms that only show the line again are dropped."""
+    content = "WEBVTT\n\n00:00:00.000 --> 00:00:02.000\n \none<00:00:01.000><c> two</c>\n\n00:00:02.000 --> 00:00:02.010\none two\n \n\n00:00:02.010 --> 00:00:04.000\none two\n<00:00:02.010>three<00:00:03.000>\n"
+    words = document_formats.rolling_words(content)
+    return spark.createDataFrame([(k, said, len(w)) for k, (_, _, _, said, w) in enumerate(words)], "cue_idx int, text string, words long")

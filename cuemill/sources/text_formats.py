@@ -202,6 +202,27 @@ def vtt_header(content: Column) -> Column:
     return T.let(trimmed, read)
 
 
+def vtt_head(meta: Column) -> Column:
+    """The text before the first cue out of the struct ``vtt_header`` gives."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
+    first = F.concat_ws("\n", F.lit("WEBVTT"), line("Kind", meta["kind"]), line("Language", meta["language"]))
+    regions = F.transform(meta["regions"], lambda m: F.concat(F.lit("REGION\n"), F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(":", e["key"], e["value"])), "\n")))
+    styles = F.transform(meta["styles"], lambda x: F.concat(F.lit("STYLE\n"), x))
+    notes = F.transform(meta["notes"], lambda x: F.concat(F.lit("NOTE"), F.when(F.contains(x, F.lit("\n")), "\n").otherwise(" "), x))
+    return F.concat(F.array_join(F.concat(F.array(first), regions, styles, notes), "\n\n"), F.lit("\n\n"))
+
+
+def read_vtt_settings(docs: DataFrame) -> DataFrame:
+    """``doc_id, cue_idx, cue_id, settings`` (a map) of every cue of WebVTT documents, in the order ``read_vtt`` numbers them."""
+    stamp = "(?:\\d+:)?\\d+:\\d+[,.]\\d+"
+    p = f"(?s)^\\n*(?:([^\\n]*)\\n)?{stamp}[ \\t]*-->[ \\t]*{stamp}[ \\t]*([^\\n]*)"
+    found = _exploded(docs, "\\n[ \\t]*\\n+").where(F.col("part").rlike(p))
+    order = Window.partitionBy("doc_id").orderBy("at")
+    return found.select(
+        "doc_id", (F.row_number().over(order) - 1).alias("cue_idx"), F.nullif(F.trim(F.regexp_extract("part", p, 1)), F.lit("")).alias("cue_id"), T.cue_settings(F.regexp_extract("part", p, 2)).alias("settings")
+    )
+
+
 # ---- writers
 
 
