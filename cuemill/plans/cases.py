@@ -719,3 +719,14 @@ def w10_echo_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = "WEBVTT\n\n00:00:00.000 --> 00:00:02.000\n \none<00:00:01.000><c> two</c>\n\n00:00:02.000 --> 00:00:02.010\none two\n \n\n00:00:02.010 --> 00:00:04.000\none two\n<00:00:02.010>three<00:00:03.000>\n"
     words = document_formats.rolling_words(content)
     return spark.createDataFrame([(k, said, len(w)) for k, (_, _, _, said, w) in enumerate(words)], "cue_idx int, text string, words long")
+
+
+_python("k31_output_formats", "", lambda fmt, path, source: registry.output_format(fmt, path, source), [
+    (None, None, None, "srt"), ("VTT", "a.srt", None, "vtt"), (None, "a/b.LRC", "vtt", "lrc"), (None, "a.unknown", "ass", "ass"), (None, "a.txt", None, "txt"), (None, "a.md", None, "markdown"), (None, "a.json3", None, "json3"),
+])
+
+
+@rows("k31_rendered", "doc_id long, content string", [(1, "1\n00:00:00,000 --> 00:00:01,733\none two,\n\n2\n00:00:01,833 --> 00:00:04,000\nthree four\n")])
+def k31_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(1, 0, 0.0, 4.0, "one two, three four", None)], "doc_id long, cue_idx int, start double, duration double, text string, speaker string")
+    return registry.render(own, path="x.srt", standardization=_SHORT)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuemill.config import StandardizationConfig
+from cuemill.operators import standard
 from cuemill.sources import document_formats as D
 from cuemill.sources import text_formats as X
 from cuemill.sources import transcripts
@@ -54,6 +56,28 @@ def write(cues: DataFrame, fmt: str, **options: bool) -> DataFrame:
         raise FormatNotSupportedError(fmt) from None
 
 
+def output_format(fmt: str | None = None, path: str | None = None, source: str | None = None) -> str:
+    """Format to be written: the one asked for, else by the path's ending, else the source's, else SRT; one without a writer is refused."""
+    ending = next((f for e, f in sorted(EXTENSIONS, key=lambda x: -len(x[0])) if path and path.lower().endswith(e)), None)
+    if path and path.lower().endswith((".md", ".vtt")):
+        ending = "markdown" if path.lower().endswith(".md") else "vtt"
+    if path and path.lower().endswith(".txt"):
+        ending = "txt"
+    found = (fmt or ending or source or "srt").lower()
+    if found not in WRITERS:
+        raise FormatNotSupportedError(found)
+    return found
+
+
+def render(cues: DataFrame, fmt: str | None = None, path: str | None = None, source: str | None = None, standardization: StandardizationConfig | None = None, **options: bool) -> DataFrame:
+    """Documents of cues, cut for reading first where limits are given."""
+    if standardization:
+        pieces = standard.split_long(cues, standardization)
+        order = Window.partitionBy("doc_id").orderBy("cue_idx", "part")
+        cues = pieces.withColumn("cue_idx", (F.row_number().over(order) - 1).cast("int")).drop("part")
+    return write(cues, output_format(fmt, path, source), **options)
+
+
 def convert(docs: DataFrame, source: str, target: str) -> DataFrame:
     return write(read(docs, source), target)
 
