@@ -79,6 +79,25 @@ def ends_sentence(text: Column) -> Column:
     return F.rtrim(text).rlike(f"[{END_MARKS}…][\"”’»」』)]*$")
 
 
+# Marks any of which closes a sentence, quotes and brackets included.
+CLOSING_MARKS = ".!?\"']）。！？”】」』〗〙〛｡؟…"
+
+
+def ends_with_mark(text: Column) -> Column:
+    """Whether the last character is one that closes a sentence."""
+    return F.right(text, F.lit(1)).isin(*CLOSING_MARKS)
+
+
+def speaker_among(text: Column, candidates: Column) -> Column:
+    """``(speaker, text)`` by ``speaker_of``, or by a name before a colon that is among the candidates (an array)."""
+    p = "^([^:：]+)([:：])\\s*((?s).*)$"
+    name = F.regexp_extract(text, p, 1)
+    known = text.rlike(p) & F.coalesce(F.array_contains(candidates, F.trim(name)), F.lit(False))
+    found = speaker_of(text)
+    own = F.struct(F.concat(name, F.regexp_extract(text, p, 2)).alias("speaker"), F.regexp_extract(text, p, 3).alias("text"))
+    return F.when(found["speaker"].isNotNull(), found).when(known, own).otherwise(found)
+
+
 def ends_colon(text: Column) -> Column:
     return F.rtrim(text).rlike("[:：]$")
 

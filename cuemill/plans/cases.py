@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill.config import StandardizationConfig
-from cuemill.functions import breaks, color, kinds, kinetic, languages
+from cuemill.functions import breaks, color, kinds, kinetic, languages, text
 from cuemill.operators import bilingual, cues, segments, sentences, standard
 from cuemill.sources import document_formats, registry, styles, text_formats, transcripts, word_formats
 
@@ -692,8 +692,6 @@ def f23_cue_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @rows("f11_without_preamble", "nr long, value string", [(0, "text"), (1, "text --- more")])
 def f11_without_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cuemill.functions import text
-
     df = spark.createDataFrame([(0, "---\na: b\n---\n<thinking>x\ny</thinking>\ntext"), (1, "text --- more")], "nr long, c string")
     return df.select("nr", F.trim(text.without_preamble(F.col("c"))).alias("value"))
 
@@ -730,3 +728,9 @@ _python("k31_output_formats", "", lambda fmt, path, source: registry.output_form
 def k31_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(1, 0, 0.0, 4.0, "one two, three four", None)], "doc_id long, cue_idx int, start double, duration double, text string, speaker string")
     return registry.render(own, path="x.srt", standardization=_SHORT)
+
+
+scalar("f09_closing_marks", "text string", text.ends_with_mark, [("Yes.", True), ("(so)", False), ("（对）", True), ("“Go!”", True), ("well…", True), ("[x]", True), ("no", False), ("so:", False)], "boolean")
+scalar("f20_speakers_among", "line string", lambda t: F.concat_ws("|", text.speaker_among(t, F.array(F.lit("Ann Dale"), F.lit("Bo")))["speaker"], text.speaker_among(t, F.array(F.lit("Ann Dale"), F.lit("Bo")))["text"]), [
+    ("Ann Dale: hello", "Ann Dale:|hello"), ("Note: hello", "Note: hello"), (">> Cleo: hi", ">> Cleo:|hi"), ("Bo：你好", "Bo：|你好"), ("no label", "no label"),
+])
