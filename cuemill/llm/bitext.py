@@ -391,24 +391,6 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return rows.repartition("track", "block").sortWithinPartitions("track", "block", "line", "seg_id", "translation_id")
 
 
-def _tokens(blocks: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
-    """``track, block, a``: the words and concepts of each block."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(lexicon)
-        for batch in batches:
-            seen: set[tuple] = set()
-            for track, block, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for text in texts:
-                    found, words = terms.read(text) if text else ((), ())
-                    seen.update((track, block, "*" + c) for c, _ in found if c[0] != "#")
-                    seen.update((track, block, w) for w, _ in words)
-            cols = list(zip(*seen, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["track", "block", "a"])
-
-    return blocks.select("track", "block", "text", "translation").mapInArrow(work, "track long, block long, a string").distinct()
-
-
 def _per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     rows: list[tuple] = []
     for batch in batches:
@@ -435,21 +417,33 @@ def _sides(rows: list[tuple]) -> tuple[list, list]:
     return [left[k] for k in sorted(left)], [right[k] for k in sorted(right)]
 
 
-def learn(blocks: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
-    """``a, b, weight``: terms that go together in pairs beyond doubt, both ways, and what two share with a third.
+def learn(blocks: DataFrame, lexicon: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Learned terms, and the words and concepts of each block (``track, block, a``).
 
-    A pair counts if seen ``LEAST_TOGETHER`` times with a Dice coefficient of ``LEAST_DICE``,
+    Terms are ``a, b, weight``: what goes together in pairs beyond doubt, both ways, and
+    what two share with a third.  A pair counts if seen ``LEAST_TOGETHER`` times with a Dice coefficient of ``LEAST_DICE``,
     however large the corpus is.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(lexicon)
         counts: Counter = Counter()
+        own: list[tuple[int, int, str]] = []
 
         def flush() -> pa.RecordBatch:
+            # pairs of words with their number, and words of blocks without one
             a, b = zip(*counts, strict=True) if counts else ((), ())
-            out = pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(counts.values()), pa.int64())], ["a", "b", "n"])
+            tracks, numbers, held = zip(*own, strict=True) if own else ((), (), ())
+            none, blank = [None] * len(counts), [None] * len(own)
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*none, *tracks], pa.int64()), pa.array([*none, *numbers], pa.int64()), pa.array([*a, *held], pa.string()),
+                    pa.array([*b, *blank], pa.string()), pa.array([*counts.values(), *blank], pa.int64()),
+                ],
+                ["track", "block", "a", "b", "n"],
+            )
             counts.clear()
+            own.clear()
             return out
 
         for rows in _per_block(batches):
@@ -458,6 +452,7 @@ def learn(blocks: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
             found = bitext.pairs()
             degree = Counter(("l", i) for i, *_ in found) + Counter(("r", j) for _, j, *_ in found)
             bags = bitext.bags(0), bitext.bags(1)
+            own += [(rows[0][0], rows[0][1], w) for w in {w for side in bags for bag in side for w in bag if w[0] != "#"}]
             for i, j, score, share in found:
                 if degree["l", i] == 1 and degree["r", j] == 1 and share >= 0.6 and score >= 3:
                     a = {w for w in bags[0][i] if w[0] != "#"} - set(bags[1][j])
@@ -465,11 +460,12 @@ def learn(blocks: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
                     counts.update((x, y) for x in a for y in b)
                     counts.update((x, "") for x in a)
                     counts.update(("", y) for y in b)
-            if len(counts) > 300_000:
+            if len(counts) + len(own) > 300_000:
                 yield flush()
         yield flush()
 
-    counts = cut(_ordered(blocks).mapInArrow(work, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TOGETHER))
+    seen = cut(_ordered(blocks).mapInArrow(work, "track long, block long, a string, b string, n long"))
+    counts = cut(seen.where("n is not null").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TOGETHER))
     left = counts.where("b = ''").select("a", F.col("n").alias("na"))
     right = counts.where("a = ''").select("b", F.col("n").alias("nb"))
     sure = (
@@ -480,7 +476,7 @@ def learn(blocks: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
     first = direct.where(F.col("weight") >= LEAST_FIRST).select("a", F.col("b").alias("via"), F.col("weight").alias("w1"))
     then = direct.select(F.col("a").alias("via"), "b", F.col("weight").alias("w2"))
     through = first.join(then, "via").where((F.col("a") != F.col("b")) & (F.col("w1") * F.col("w2") >= LEAST_THROUGH)).groupBy("a", "b").agg(F.max(F.col("w1") * F.col("w2")).alias("weight"))
-    return direct.unionAll(through.join(direct.select("a", "b"), ["a", "b"], "left_anti"))
+    return direct.unionAll(through.join(direct.select("a", "b"), ["a", "b"], "left_anti")), seen.where("n is null").select("track", "block", "a")
 
 
 def align(segments: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -494,9 +490,9 @@ def align(segments: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     terms_rows = [(r[0], r[1]) for r in lexicon.select("term", "target_term").where("term is not null and target_term is not null").distinct().orderBy("term", "target_term").collect()]
     blocks = cut(_blocks(segments, terms_rows))
-    learned = learn(blocks, terms_rows)
+    learned, words = learn(blocks, terms_rows)
     # a term travels in a row without a line, its weight in millionths
-    told = _tokens(blocks, terms_rows).join(learned, "a").select(
+    told = words.join(learned, "a").select(
         "track", "block", F.lit(None).cast("long").alias("line"), F.rint(F.col("weight") * 1_000_000).cast("long").alias("seg_id"), F.lit(None).cast("long").alias("translation_id"), F.col("a").alias("text"), F.col("b").alias("translation")
     )
 
