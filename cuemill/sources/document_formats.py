@@ -164,6 +164,7 @@ def _rational(text: str | None) -> float:
 def fcpxml(content: str) -> list[Cue]:
     root = _root(re.sub(r"<!DOCTYPE[^>]*>", "", content))
     out = []
+    # fixed value: the element of the format
     for c in root.iter("caption") if root is not None else ():
         said = "".join("".join(t.itertext()) for t in c.iter("text"))
         length = _rational(c.get("duration"))

@@ -392,6 +392,7 @@ def write_avid(cues: DataFrame, speakers: bool = True, fps: int = 25) -> DataFra
     fresh = (F.coalesce("speaker", F.lit("")) != "") & ~F.coalesce(F.col("speaker") == F.lag("speaker").over(order), F.lit(False))
     changed = usable(cues).withColumn("shown", F.when(fresh, T.speaker_prefix(F.col("speaker"))).otherwise(""))
     line = F.concat_ws("\t", K.timecode(F.col("start"), fps), K.timecode(_end(), fps), F.concat(F.col("shown") if speakers else F.lit(""), T.squash(F.col("text"))))
+    # fixed value: a keyword of the format
     return gathered(changed, line, "\n", head="@ This file written with timed captions\n\n<begin subtitles>\n\n", tail="\n\n<end subtitles>\n")
 
 
@@ -407,6 +408,7 @@ def write_edimarker(cues: DataFrame, speakers: bool = True) -> DataFrame:
 
 
 def write_fcpxml(cues: DataFrame, speakers: bool = False) -> DataFrame:
+    # fixed value: a keyword of the format
     element = F.concat(F.lit('<caption offset="'), K.rational(F.col("start")), F.lit('" duration="'), K.rational(F.col("duration")), F.lit('"><text><text-style ref="ts1">'), _escaped(_said(speakers)), F.lit("</text-style></text></caption>"))
     return gathered(cues, element, "\n", head='<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE fcpxml>\n<fcpxml version="1.10"><library><event><project><sequence><spine><gap offset="0s">\n', tail="\n</gap></spine></sequence></project></event></library></fcpxml>\n")
 
@@ -446,6 +448,7 @@ def write_word_vtt(cues: DataFrame) -> DataFrame:
     first, last = F.get("words", F.lit(0)), F.element_at("words", -1)
     timed = cues.where("size(words) > 0").withColumns({"start": first["start"], "duration": last["start"] + last["duration"] - first["start"]})
     tagged = F.concat(safe(first["symbol"]), F.array_join(F.transform(F.slice("words", 2, 1_000_000), lambda w: F.concat(F.lit("<"), K.vtt_stamp(w["start"]), F.lit("><c> "), safe(w["symbol"]), F.lit("</c>"))), ""))
+    # fixed value: a keyword of the format
     return gathered(timed, F.concat(K.vtt_stamp(F.col("start")), F.lit(" --> "), K.vtt_stamp(_end()), F.lit("\n"), tagged), "\n\n", head="WEBVTT\nKind: captions\n\n", tail="\n")
 
 
