@@ -9,12 +9,12 @@ from cuemill.llm.encoding import find_garbled, fit
 from cuemill.session import table
 
 
-def profiles(spark: SparkSession, sf_dir: str) -> Profiles:
-    return fit(table(spark, sf_dir, "supervisions", "text", "language"), table(spark, sf_dir, "lexicon"))
+def profiles(spark: SparkSession, sf_dir: str, leads: bool = True) -> Profiles:
+    return fit(table(spark, sf_dir, "supervisions", "text", "language"), table(spark, sf_dir, "lexicon"), leads)
 
 
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_garbled(table(spark, sf_dir, "supervisions", "row_id", "text"), profiles(spark, sf_dir))
+    return find_garbled(table(spark, sf_dir, "supervisions", "row_id", "text"), profiles(spark, sf_dir, leads=False))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,3 +114,22 @@ def test_one_misread_letter_and_lost_bytes(profiles):
     assert mender.mend("O presidente da câmara descreveu o orÁamento no bairro antigo.")[:2] == (True, "O presidente da câmara descreveu o orçamento no bairro antigo.")
     assert mender.mend("Der Bibliothekar vergaÃ den Vertrag hinter dem Bahnhof.")[0]
     assert mender.mend("�")[0]
+
+
+def test_profiles_count_every_labelled_row(spark):
+    texts = [(f"report {k} of the caf{'e' if k % 4 else 'é'} house", "en") for k in range(30_000)]
+    cues = spark.createDataFrame(texts, "text string, language string").repartition(3)
+    lexicon = spark.createDataFrame([], "lang string, term string, target_lang string, target_term string")
+    made = encoding.fit(cues, lexicon)
+    assert made.chars["é"] == pytest.approx(2.0, abs=1e-12)
+    assert {"report", "of", "the", "cafe", "café", "house"} <= set(compress._TERM.findall(made.dictionaries["en"].decode()))
+    # a text delivered again counts again
+    twice = encoding.fit(cues.unionAll(cues.where("text like '%é%'")), lexicon)
+    assert twice.chars["é"] == pytest.approx(-compress.math.log2(0.4), abs=1e-12)
+
+
+def test_hundredth_of_counted_leads():
+    leads = [(0.5, 150), (0.1, 1), (0.2, 1), (0.3, 150)]
+    flat = sorted(x for x, n in leads for _ in range(n))
+    assert compress._hundredth(leads) == flat[len(flat) // 100]
+    assert compress._hundredth([(0.5, 19)]) == compress._hundredth([]) == 0.0
