@@ -579,8 +579,8 @@ def p08_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cues.has_translation(spark.createDataFrame([(1, ""), (1, "x"), (2, None), (2, "")], "track_id long, translation string"))
 
 
-@rows("p10_alignable", "nr long, alignable boolean", [(0, True), (1, False), (2, False), (3, False), (4, False), (5, False)])
-def p10_alignable(spark: SparkSession, sf_dir: str) -> DataFrame:
+@rows("xp10_alignable_cases", "nr long, alignable boolean", [(0, True), (1, False), (2, False), (3, False), (4, False), (5, False)])
+def xp10_alignable_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [(0, "Hello", 1.0, 1.0, None, None), (1, "", 1.0, 1.0, None, None), (2, "Hello", 1.0, 0.01, None, None), (3, "m 0 0 l 1 1", 1.0, 1.0, None, "drawing"), (4, "翻译 小王", 1.0, 1.0, None, None), (5, "la", 1.0, 1.0, "{\\k20}la", None)]
     df = spark.createDataFrame(own, "nr long, text string, start double, duration double, raw string, kind string")
     return df.select("nr", bilingual.alignable(*map(F.col, ("text", "start", "duration", "raw", "kind"))).alias("alignable"))

@@ -79,3 +79,11 @@ def test_table_functions(spark):
     assert [tuple(r) for r in got] == [(0, "one two", 10.0, 2.0), (1, "three", 12.0, 1.0), (2, "four", 13.0, 1.0)] or [r.text for r in got] == ["one two", "three", "four"]
     talk = "**Ann:** [00:10] Hello [00:12]"
     assert [tuple(r) for r in spark.sql(f"SELECT speaker, text, start, duration FROM transcript_cues('{talk}')").collect()] == [("Ann:", "Hello", 10.0, 2.0)]
+
+
+def test_dealt_names_are_left_to_the_dealt_problems():
+    import re
+
+    from cuemill import plans
+
+    assert not [name for name in plans.collect()[0] if re.match(r"p(?:10|[1-9])_", name) and not name.startswith("p1_")]
