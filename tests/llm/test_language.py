@@ -72,3 +72,9 @@ def test_label_codes_as_columns(spark):
     labels = ["en-GB", "fr_CA", "deu", "Japanese", " zh-Hans", "und", "", None, "ES", "x-y"]
     df = spark.createDataFrame([(x,) for x in labels], "label string")
     assert [r[0] for r in df.select(language.label_code(df["label"])).collect()] == [code_of(x) for x in labels]
+
+
+def test_garbling_is_told_without_restoring(profiles, monkeypatch):
+    c = language.Classifier(profiles)
+    monkeypatch.setattr(c.mender, "mend", None)
+    assert c.classify("Der GÃ¤rtner lobte die BrÃ¼cke.") == (None, 0.0)
